@@ -334,8 +334,8 @@ def statements() -> dict[str, str]:
         CASE WHEN source LIKE '%7' THEN 'refused' END AS error FROM documents"""
     ids = "CASE WHEN i <= len(seq) THEN seq[i] ELSE 0 END"
     sql["t5_encode_texts"] = f"""WITH {VOCAB},
-        kept AS (SELECT doc_id, unnest(words[1:62]) AS token, generate_subscripts(words[1:62], 1) AS at FROM toks),
-        found AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY at) AS ids FROM kept LEFT JOIN vocab USING (token) GROUP BY 1),
+        kept AS (SELECT doc_id, unnest(words[1:62]) AS token, generate_subscripts(words[1:62], 1) AS nth FROM toks),
+        found AS (SELECT doc_id, list(coalesce(id, 1) ORDER BY nth) AS ids FROM kept LEFT JOIN vocab USING (token) GROUP BY 1),
         seqs AS (SELECT doc_id, list_concat([2], coalesce(ids, []), [3]) AS seq FROM toks LEFT JOIN found USING (doc_id))
         SELECT 'N' || doc_id AS news_id, array_to_string(list_transform(range(1, 65), lambda i: {ids}), ' ') AS input_ids,
         CAST(len(seq) AS INTEGER) AS n_ids FROM seqs"""
@@ -348,9 +348,9 @@ def statements() -> dict[str, str]:
                 WHEN la > lb THEN 31 ELSE 30 END] AS a,
           b[1 : CASE WHEN la + lb <= 61 THEN lb WHEN least(la, lb) <= 30 THEN CASE WHEN la > lb THEN lb ELSE 61 - la END
                 WHEN la > lb THEN 30 ELSE 31 END] AS b FROM budget),
-        flat AS (SELECT doc_id, 'a' AS side, unnest(a) AS token, generate_subscripts(a, 1) AS at FROM kept
+        flat AS (SELECT doc_id, 'a' AS side, unnest(a) AS token, generate_subscripts(a, 1) AS nth FROM kept
           UNION ALL SELECT doc_id, 'b', unnest(b), generate_subscripts(b, 1) FROM kept),
-        found AS (SELECT doc_id, side, list(coalesce(id, 1) ORDER BY at) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY 1, 2),
+        found AS (SELECT doc_id, side, list(coalesce(id, 1) ORDER BY nth) AS ids FROM flat LEFT JOIN vocab USING (token) GROUP BY 1, 2),
         seqs AS (SELECT doc_id, list_concat(list_concat([2], coalesce(fa.ids, []), [3]), list_concat(coalesce(fb.ids, []), [3])) AS seq
           FROM kept LEFT JOIN (SELECT * FROM found WHERE side = 'a') fa USING (doc_id)
           LEFT JOIN (SELECT * FROM found WHERE side = 'b') fb USING (doc_id))
