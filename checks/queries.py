@@ -487,9 +487,9 @@ def w7_auc(spark, sf):
     return _rounded(rank.auc(_valued(spark, sf)), "auc")
 
 
-def model_scores(spark: SparkSession, sf: str, behaviors: DataFrame | None = None) -> DataFrame:
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every candidate, the empty one included, scored against the additive user vector of the padded history."""
-    rows, vectors = behaviors if behaviors is not None else t.behaviors(spark, sf), t.news_vectors(spark, sf)
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
     user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
     return score_behaviors(rows, vectors, user_vectors, HISTORY_SIZE)
 
@@ -643,7 +643,7 @@ def m8_score_candidates(spark, sf):
 
 
 def _sampled_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows, vectors = t.behaviors(spark, sf), t.news_vectors(spark, sf)
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
     user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
     with_user = att.attach_history_vector(rows, user_vectors, HISTORY_SIZE)
     return scoring.score_candidates(sampled_candidates(with_user, NPRATIO, SEED, EPOCH, keep=("user_vec",)), vectors)
@@ -654,15 +654,15 @@ def m9_listwise_loss(spark, sf):
     return _rounded(scoring.listwise_loss(_sampled_scores(spark, sf)), "loss")
 
 
-def _ranker(spark: SparkSession, sf: str):
-    return train_ranker(t.behaviors(spark, sf), t.news_vectors(spark, sf), POOLING, NPRATIO, HISTORY_SIZE, seed=SEED)
+def _ranker(behaviors: DataFrame, vectors: DataFrame):
+    return train_ranker(behaviors, vectors, POOLING, NPRATIO, HISTORY_SIZE, seed=SEED)
 
 
 @query
 def m10_fit_ranker(spark, sf):
     """The stored and loaded model's weights."""
     path = scratch_path(spark, "ranker")
-    scoring.save_ranker(_ranker(spark, sf), path)
+    scoring.save_ranker(_ranker(t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)), path)
     model = scoring.load_ranker(path)
     weights = [(i, float(w)) for i, w in enumerate([model.intercept, *model.coefficients])]
     return spark.createDataFrame(weights, "place int, weight double")
@@ -670,8 +670,8 @@ def m10_fit_ranker(spark, sf):
 
 @query
 def m11_score_with_ranker(spark, sf):
-    rows, vectors = t.behaviors(spark, sf), t.news_vectors(spark, sf)
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
     user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
     with_user = att.attach_history_vector(rows, user_vectors, HISTORY_SIZE)
     features = scoring.ranker_features(beh.explode_candidates(with_user, keep=("user_vec",)), vectors)
-    return scoring.score_with_ranker(features, _ranker(spark, sf))
+    return scoring.score_with_ranker(features, _ranker(rows, vectors))

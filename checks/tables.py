@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clickrank.operators.scale import lookup, number_rows
+from clickrank.operators.scale import HOT_ROWS, lookup, number_rows, spread
 from clickrank.operators.users import build_user_index
+from clickrank.session import stage
 
 LINE_CANDIDATES = 256        # a user-day with more events is logged as several impressions
 NEXT_LINE = 1_000_000_000_000
@@ -19,33 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
-    return table(spark, sf_dir, name).count()  # answered from the file footers
+_counts: dict[tuple[str, str], int] = {}
 
 
-def shown_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(impression_id, user_id, day, ts, event_id, pos, news_id, clicked)``: one row per event.
+def n_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Counted once per table, from the file footers."""
+    if (sf_dir, name) not in _counts:
+        _counts[sf_dir, name] = table(spark, sf_dir, name).count()
+    return _counts[sf_dir, name]
 
-    An impression is a user-day, cut into lines of at most ``LINE_CANDIDATES`` events.
-    """
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(user, user_id, day, ts, event_id, news_id, clicked)``: one row per event."""
     n_docs = n_rows(spark, sf_dir, "documents")
-    events = table(spark, sf_dir, "events").select(
-        "user_id",
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("user"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
         F.day("ts").alias("day"),
         "ts",
         "event_id",
+        F.concat(F.lit("N"), F.pmod("event_id", F.lit(n_docs)).cast("string")).alias("news_id"),
         F.col("event_type").isin("click", "purchase").cast("int").alias("clicked"),
     )
-    numbered = number_rows(events, ["user_id", "day"], [F.col("ts").asc(), F.col("event_id").asc()], "seq", start=0)
+
+
+def shown_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with ``impression_id`` and ``pos``.
+
+    An impression is a user-day, cut into lines of at most ``LINE_CANDIDATES`` events.
+    """
+    order = [F.col("ts").asc(), F.col("event_id").asc()]
+    # No group is larger than the table, so a small table needs no count of its groups.
+    small = n_rows(spark, sf_dir, "events") <= HOT_ROWS
+    numbered = number_rows(event_log(spark, sf_dir), ["user", "day"], order, "seq", start=0, bounded=small)
     line = F.floor(F.col("seq") / LINE_CANDIDATES)
     return numbered.select(
-        (F.col("user_id") * 100 + F.col("day") + line * NEXT_LINE).alias("impression_id"),
-        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
+        (F.col("user") * 100 + F.col("day") + line * NEXT_LINE).alias("impression_id"),
+        "user_id",
         "day",
         "ts",
         "event_id",
         (F.col("seq") - line * LINE_CANDIDATES).cast("int").alias("pos"),
-        F.concat(F.lit("N"), F.pmod("event_id", F.lit(n_docs)).cast("string")).alias("news_id"),
+        "news_id",
         "clicked",
     )
 
@@ -54,12 +70,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_news(spark, sf_dir).select("impression_id", "pos", "news_id", "clicked")
 
 
-def first_clicks(shown: DataFrame) -> DataFrame:
+def first_clicks(log: DataFrame) -> DataFrame:
     """Per user the first clicks. The history of a later day is a prefix of these, since it keeps the first
     ``HISTORY_KEPT`` clicks of earlier days: no join of events with events is needed."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     first = (
-        shown.where(F.col("clicked") == 1)
+        log.where(F.col("clicked") == 1)
         .select("user_id", "day", "ts", "event_id", "news_id", F.row_number().over(order).alias("nth"))
         .where(F.col("nth") <= HISTORY_KEPT)
     )
@@ -73,7 +89,7 @@ def dated_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(F.min("ts"), "M/d/yyyy h:mm:ss a").alias("time"),
         F.array_sort(F.collect_list(F.struct("pos", "news_id", "clicked"))).alias("items"),
     )
-    joined = lookup(lines, first_clicks(shown), "user_id")
+    joined = lookup(lines, first_clicks(event_log(spark, sf_dir)), "user_id", derived=True)
     earlier = F.transform(F.filter("clicks", lambda c: c["day"] < F.col("day")), lambda c: c["news_id"])
     items = F.transform("items", lambda x: F.struct(x["news_id"].alias("news_id"), x["clicked"].alias("clicked")))
     return joined.select(
@@ -86,6 +102,11 @@ def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated_behaviors(spark, sf_dir).drop("day")
 
 
+def stored_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The impression table as a log that is on disk, for queries that read it more than once."""
+    return stage(behaviors(spark, sf_dir), "behaviors")
+
+
 def log_lines(behaviors: DataFrame) -> DataFrame:
     """Behaviours as the five columns of the log file, lists packed into strings."""
     packed = F.transform("impressions", lambda x: F.concat(x["news_id"], F.lit("-"), x["clicked"].cast("string")))
@@ -116,7 +137,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as news: the first line is the title, the whole text the abstract."""
     text = F.col("text")
     title = F.split(text, "\n", 2)[0]
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("news_id"),
         F.col("lang").alias("category"),
         F.col("source").alias("subcategory"),

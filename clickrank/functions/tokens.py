@@ -9,9 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SPACES = "[ \t\n]+"
+
+
 def tokens(text: Column) -> Column:
     """Tokens between spaces, tabs and newlines."""
-    return F.filter(F.split(text, "[ \t\n]+"), lambda t: t != "")
+    return F.filter(F.split(text, SPACES), lambda t: t != "")
+
+
+def first_tokens(text: Column, n: int) -> Column:
+    """The first ``n`` tokens. Splitting stops once they are found: besides them there can only be an empty
+    string in front and the unsplit rest."""
+    return F.slice(F.filter(F.split(text, SPACES, n + 2), lambda t: t != ""), 1, n)
 
 
 def token_count(text: Column, tokenizer: Callable[[str], list] | None = None) -> Column:

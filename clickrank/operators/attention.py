@@ -23,7 +23,8 @@ from clickrank.functions.vectors import dot
 from clickrank.operators.scale import lookup
 from clickrank.schema import EMPTY_NEWS_ID
 
-SAFE_EXPONENT = 300.0  # exp stays finite and non-zero up to here without subtracting the largest logit
+BATCH_CELLS = 1 << 22   # numbers per dense step, which bounds the memory of a task however large its batches
+SAFE_EXPONENT = 300.0   # exp stays finite and non-zero up to here without subtracting the largest logit
 
 
 @dataclass(frozen=True)
@@ -91,12 +92,14 @@ def empty_vector(dim: int, empty: Sequence[float] | None) -> list[float]:
     return [float(x) for x in (empty if empty is not None else [0.0] * dim)]
 
 
-def _item_vectors(items: DataFrame, vectors: DataFrame, empty: dict[str, Column], mask_empty: bool) -> DataFrame:
+def _item_vectors(
+    items: DataFrame, vectors: DataFrame, empty: dict[str, Column], mask_empty: bool, size_of: DataFrame | None = None
+) -> DataFrame:
     """Attaches the columns of ``vectors``. Ids without a vector, the padding among them, get the values of the
     empty news, or are left out when masked."""
     if mask_empty:
-        return lookup(items, vectors, "news_id", "inner")
-    joined = lookup(items, vectors, "news_id")
+        return lookup(items, vectors, "news_id", "inner", size_of)
+    joined = lookup(items, vectors, "news_id", "left", size_of)
     return joined.select(*items.columns, *[F.coalesce(c, value).alias(c) for c, value in empty.items()])
 
 
@@ -145,7 +148,7 @@ def softmax_pool(items: DataFrame, keys: Sequence[str], logit_bound: float, name
         weighted = items.withColumn("_w", F.col("times") * F.exp("logit"))
     else:
         largest = items.groupBy(*keys).agg(F.max("logit").alias("_max"))
-        weighted = lookup(items, largest, list(keys)).withColumn("_w", F.col("times") * F.exp(F.col("logit") - F.col("_max")))
+        weighted = lookup(items, largest, list(keys), derived=True).withColumn("_w", F.col("times") * F.exp(F.col("logit") - F.col("_max")))
     mean = Summarizer.mean(array_to_vector(F.col("vec")), F.col("_w"))
     return weighted.groupBy(*keys).agg(vector_to_array(mean).alias(name))
 
@@ -154,7 +157,9 @@ def additive_attention_pool(
     items: DataFrame, keys: Sequence[str], vectors: DataFrame, weights: AdditiveWeights, name: str = "pooled"
 ) -> DataFrame:
     """M2: pools the vectors of each group's items; ``items`` has the keys and ``news_id``."""
-    joined = lookup(items.withColumn("times", F.lit(1)), additive_logits(vectors, weights), "news_id", "inner")
+    vectors = vectors.select("news_id", "vec")
+    weighed = additive_logits(vectors, weights)
+    joined = lookup(items.withColumn("times", F.lit(1)), weighed, "news_id", "inner", size_of=vectors)
     return softmax_pool(joined, keys, float(np.abs(weights.v).sum()), name)
 
 
@@ -173,51 +178,12 @@ def personalized_attention_pool(
     name: str = "pooled",
 ) -> DataFrame:
     """M3: as M2, with logits from the user's query; ``items`` has the keys, ``news_id`` and ``user_idx``."""
-    asked = lookup(items.withColumn("times", F.lit(1)), personal_queries(user_vectors, weights), "user_idx", "inner")
+    queries = personal_queries(user_vectors, weights)
+    asked = lookup(items.withColumn("times", F.lit(1)), queries, "user_idx", "inner", size_of=user_vectors)
     joined = lookup(asked, vectors.select("news_id", "vec"), "news_id", "inner")
     return softmax_pool(joined.withColumn("logit", dot(F.col("vec"), F.col("query"))), keys, _l1_bound(vectors), name)
 
 
-# ---------------------------------------------------------------- user vectors
-
-
-def user_vector_additive(
-    behaviors: DataFrame,
-    news_vectors: DataFrame,
-    weights: AdditiveWeights,
-    history_size: int,
-    mask_empty: bool = False,
-    empty: Sequence[float] | None = None,
-) -> DataFrame:
-    """M5: ``(history_key, user_vec)`` by additive attention over the history."""
-    vectors = additive_logits(news_vectors.select("news_id", "vec"), weights)
-    vec = empty_vector(len(weights.w), empty)
-    fill = {"vec": _literal(vec), "logit": F.lit(float(np.tanh(np.asarray(vec) @ weights.w + weights.b) @ weights.v))}
-    items = history_items(distinct_histories(behaviors, history_size), history_size, mask_empty)
-    bound = float(np.abs(weights.v).sum())
-    return softmax_pool(_item_vectors(items, vectors, fill, mask_empty), ["history_key"], bound, "user_vec")
-
-
-def user_vector_personalized(
-    behaviors: DataFrame,
-    news_vectors: DataFrame,
-    user_vectors: DataFrame,
-    weights: PersonalizedWeights,
-    history_size: int,
-    mask_empty: bool = False,
-    empty: Sequence[float] | None = None,
-) -> DataFrame:
-    """M6: ``(user_idx, history_key, user_vec)``; ``behaviors`` carries ``user_idx``."""
-    vec = empty_vector(weights.w2.shape[1], empty)
-    histories = distinct_histories(behaviors, history_size, "user_idx")
-    asked = lookup(histories, personal_queries(user_vectors, weights), "user_idx", "inner")
-    vectors = news_vectors.select("news_id", "vec")
-    items = _item_vectors(history_items(asked, history_size, mask_empty), vectors, {"vec": _literal(vec)}, mask_empty)
-    scored = items.withColumn("logit", dot(F.col("vec"), F.col("query")))
-    bound = max(_l1_bound(vectors), float(np.abs(vec).sum()))
-    return softmax_pool(scored, ["user_idx", "history_key"], bound, "user_vec")
-
-
 def _softmax(logits: np.ndarray, times: np.ndarray) -> np.ndarray:
     raised = np.exp(logits - logits.max(axis=-1, keepdims=True)) * times
     return raised / raised.sum(axis=-1, keepdims=True)
@@ -238,25 +204,92 @@ def _attend(x: np.ndarray, times: np.ndarray, weights: SelfAttentionWeights) ->
     return joined @ weights.wo + weights.biases.get("bo", 0.0)
 
 
-def _sequences(vectors: pa.ListArray, times: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of a batch grouped by number of items: (row numbers, vectors, multiplicities)."""
+def _vector_array(rows: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as a list column."""
+    n, dim = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim), type=pa.int32()), pa.array(rows.reshape(-1)))
+
+
+def _sequences(vectors: pa.ListArray, *numbers: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of a batch grouped by number of items: row numbers, vectors, and each list of numbers."""
     lengths = np.asarray(vectors.value_lengths())
     starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     inner = vectors.flatten()
     flat = np.asarray(inner.flatten(), dtype=np.float64).reshape(len(inner), -1)
-    repeats = np.asarray(times.flatten(), dtype=np.float64)
+    lists = [np.asarray(values.flatten(), dtype=np.float64) for values in numbers]
     for n in np.unique(lengths[lengths > 0]):
-        rows = np.flatnonzero(lengths == n)
-        at = starts[rows][:, None] + np.arange(n)[None, :]
-        yield rows, flat[at], repeats[at]
+        same = np.flatnonzero(lengths == n)
+        step = max(1, BATCH_CELLS // (n * max(flat.shape[1], 16 * n)))
+        for rows in np.split(same, range(step, len(same), step)):
+            at = starts[rows][:, None] + np.arange(n)[None, :]
+            yield rows, flat[at], *[values[at] for values in lists]
 
 
 def _packed_items(items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Items of each group as parallel arrays; at most history_size of them."""
-    packed = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slot", "times", "vec"))).alias("_items"))
-    return packed.select(
-        *keys, F.col("_items.slot").alias("slots"), F.col("_items.times").alias("times"), F.col("_items.vec").alias("vecs")
-    )
+    """Items of each group as parallel arrays, in any order; at most history_size of them."""
+    fields = [c for c in ("slot", "times", "logit", "vec") if c in items.columns]
+    plural = {"slot": "slots", "times": "times", "logit": "logits", "vec": "vecs"}
+    return items.groupBy(*keys).agg(*[F.collect_list(f).alias(plural[f]) for f in fields])
+
+
+def _pool_histories(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Softmax pooling of packed histories, by their logits or by the query of their user.
+
+    A history has at most history_size items, so a batch of them is dense arithmetic. Histories were made
+    distinct by ``keys``; where the vectors are broadcast, their items lie together and packing moves nothing.
+    """
+    asked = "query" in packed.columns
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [batch.column("times")] + ([] if asked else [batch.column("logits")])
+            if asked:
+                queries = np.asarray(batch.column("query").flatten()).reshape(len(batch), -1)
+            for rows, x, repeats, *given in _sequences(batch.column("vecs"), *numbers):
+                logits = np.einsum("bnd,bd->bn", x, queries[rows]) if asked else given[0]
+                pooled = np.einsum("bn,bnd->bd", _softmax(logits, repeats), x)
+                named = [batch.column(k).take(pa.array(rows)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*named, _vector_array(pooled)], names=[*keys, "user_vec"])
+
+    keyed = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys)
+    return packed.mapInArrow(pool, f"{keyed}, user_vec array<double>")
+
+
+def user_vector_additive(
+    behaviors: DataFrame,
+    news_vectors: DataFrame,
+    weights: AdditiveWeights,
+    history_size: int,
+    mask_empty: bool = False,
+    empty: Sequence[float] | None = None,
+) -> DataFrame:
+    """M5: ``(history_key, user_vec)`` by additive attention over the history."""
+    plain = news_vectors.select("news_id", "vec")
+    vectors = additive_logits(plain, weights)
+    vec = empty_vector(len(weights.w), empty)
+    fill = {"vec": _literal(vec), "logit": F.lit(float(np.tanh(np.asarray(vec) @ weights.w + weights.b) @ weights.v))}
+    items = history_items(distinct_histories(behaviors, history_size), history_size, mask_empty)
+    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, plain), ["history_key"])
+    return _pool_histories(packed, ["history_key"])
+
+
+def user_vector_personalized(
+    behaviors: DataFrame,
+    news_vectors: DataFrame,
+    user_vectors: DataFrame,
+    weights: PersonalizedWeights,
+    history_size: int,
+    mask_empty: bool = False,
+    empty: Sequence[float] | None = None,
+) -> DataFrame:
+    """M6: ``(user_idx, history_key, user_vec)``; ``behaviors`` carries ``user_idx``."""
+    fill = {"vec": _literal(empty_vector(weights.w2.shape[1], empty))}
+    items = history_items(distinct_histories(behaviors, history_size, "user_idx"), history_size, mask_empty)
+    vectors = news_vectors.select("news_id", "vec")
+    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty), ["user_idx", "history_key"])
+    queries = personal_queries(user_vectors, weights)
+    asked = lookup(packed, queries, "user_idx", "inner", size_of=user_vectors)
+    return _pool_histories(asked, ["user_idx", "history_key"])
 
 
 def _history_vectors(
@@ -286,11 +319,9 @@ def self_attention(
                 out = _attend(x, repeats, weights)
                 n, dim = out.shape[1:]
                 taken = pa.array(rows)
-                flat = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, (len(rows) * n + 1) * dim, dim), type=pa.int32()), pa.array(out.reshape(-1))
-                )
+                vectors = _vector_array(out.reshape(-1, dim))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(np.repeat(rows, n))), slots.take(taken).flatten(), times.take(taken).flatten(), flat],
+                    [keys.take(pa.array(np.repeat(rows, n))), slots.take(taken).flatten(), times.take(taken).flatten(), vectors],
                     names=["history_key", "slot", "times", "vec"],
                 )
 
@@ -316,7 +347,7 @@ def user_vector_selfattn(
                 logits = np.tanh(attended @ pooling.w + pooling.b) @ pooling.v
                 pooled = np.einsum("bn,bnd->bd", _softmax(logits, repeats), attended)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("history_key").take(pa.array(rows)), pa.array(list(pooled), type=pa.list_(pa.float64()))],
+                    [batch.column("history_key").take(pa.array(rows)), _vector_array(pooled)],
                     names=["history_key", "user_vec"],
                 )
 
@@ -327,4 +358,4 @@ def attach_history_vector(rows: DataFrame, vectors: DataFrame, history_size: int
     """``user_vec`` of each behaviour row by its history (and user, if the vectors are per user)."""
     keys = [c for c in vectors.columns if c != "user_vec"]
     keyed = rows.withColumn("history_key", history_key(F.col("history"), history_size))
-    return lookup(keyed, vectors, keys)
+    return lookup(keyed, vectors, keys, derived=True)

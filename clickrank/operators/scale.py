@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +43,16 @@ def measured_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(row.cast("long"))).first()[0] or 0)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over at least as many partitions as there are cores.
+
+    A file with a single row group is read by one task however long the work on it; with enough files or row
+    groups nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
     """Keys whose group has more than ``limit`` rows, or None when there is none.
 
@@ -124,21 +134,38 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str, start: int =
     return range_number(df, [], order, name, start)
 
 
+def _splits_skew(spark: SparkSession) -> bool:
+    return all(
+        spark.conf.get(name, "true").lower() == "true"
+        for name in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    )
+
+
 def lookup(
     fact: DataFrame,
     dim: DataFrame,
     keys: str | Sequence[str],
     how: str = "left",
+    size_of: DataFrame | None = None,
+    derived: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join of ``fact`` with a table unique on ``keys``.
 
-    The dimension is broadcast when its measured size allows. Otherwise it is shuffled, and the rows of hot
-    fact keys are spread over ``SALTS`` parts, each with its own copy of the matching dimension row.
+    The dimension is broadcast when its measured size allows; ``size_of`` names a table of the same size that is
+    cheaper to measure. Otherwise it is shuffled, and the rows of hot fact keys are spread over ``SALTS`` parts,
+    each with its own copy of the matching dimension row.
+
+    ``derived=True`` is for a dimension that costs much to compute: measuring it would compute it twice, so both
+    sides are shuffled and adaptive execution picks a broadcast from the real size or splits oversize partitions.
+    Where a session has switched that off, hot keys are salted as above.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if measured_bytes(dim) <= broadcast_bytes:
+    if derived:
+        if _splits_skew(fact.sparkSession):
+            return fact.join(dim, keys, how)
+    elif measured_bytes(dim if size_of is None else size_of) <= broadcast_bytes:
         return fact.join(F.broadcast(dim), keys, how)
     hot = hot_groups(fact, keys, limit)
     if hot is None:

@@ -57,7 +57,7 @@ def score_candidates(
     """
     rows = candidates
     if user_vectors is not None:
-        rows = lookup(rows, user_vectors, [c for c in user_vectors.columns if c != "user_vec"])
+        rows = lookup(rows, user_vectors, [c for c in user_vectors.columns if c != "user_vec"], derived=True)
     joined = lookup(rows, news_vectors.select("news_id", "vec"), "news_id")
     kept = [c for c in rows.columns if c != "user_vec"]
     user = F.col("user_vec")

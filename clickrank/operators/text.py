@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickrank.functions.tokens import pair_budgets, token_count, tokens
+from clickrank.functions.tokens import SPACES, first_tokens, pair_budgets, token_count, tokens
 from clickrank.operators.lookup import attach_description
 from clickrank.operators.scale import dense_index, lookup
 from clickrank.schema import CLS_ID, FIRST_TOKEN_ID, PAD_ID, SEP_ID, UNK_ID
@@ -121,7 +121,7 @@ def description_length_stats(
 def build_vocab(df: DataFrame, column: str, min_count: int = 1, size: int | None = None) -> DataFrame:
     """``(token, n, id)`` for the tokens of a text column, the most frequent first."""
     counts = (
-        df.select(F.explode(tokens(F.col(column))).alias("token"))
+        df.select(F.explode(F.split(column, SPACES)).alias("token")).where(F.col("token") != "")
         .groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
     )
     vocab = dense_index(counts, [F.col("n").desc(), F.col("token").asc()], "id", FIRST_TOKEN_ID)
@@ -158,7 +158,7 @@ def _padded(ids: Column, max_length: int) -> list[Column]:
 
 def encode_texts(df: DataFrame, key: str, column: str, vocab: DataFrame, max_length: int) -> DataFrame:
     """T5: ``[CLS] text [SEP]`` as ids, truncated and padded to ``max_length``. ``key`` identifies the row."""
-    kept = F.slice(F.coalesce(tokens(F.col(column)), F.array().cast("array<string>")), 1, max_length - 2)
+    kept = F.coalesce(first_tokens(F.col(column), max_length - 2), F.array().cast("array<string>"))
     ids = _token_ids(df, key, [("a", kept)], vocab)
     sequence = F.concat(F.array(F.lit(CLS_ID)), F.col("_a_ids"), F.array(F.lit(SEP_ID)))
     return ids.select(key, *_padded(sequence, max_length))

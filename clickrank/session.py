@@ -17,6 +17,8 @@ def local_session(cores: int = 8, app: str = "clickrank", **conf: str) -> SparkS
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small tables, much work per row: do not merge parts below the number of cores.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
