@@ -1,0 +1,156 @@
+"""Every head against plain numpy on fully padded sequences."""
+
+import hashlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clickrank.operators import attention as att
+
+DIM, HIDDEN, USER_DIM, QUERY, SIZE = 8, 5, 6, 3, 4
+rng = np.random.default_rng(5)
+NEWS = {f"N{i}": rng.normal(size=DIM) for i in range(12)}
+USERS = {i: rng.normal(size=USER_DIM) for i in range(4)}
+ADDITIVE = att.AdditiveWeights(rng.normal(size=(DIM, HIDDEN)), rng.normal(size=HIDDEN), rng.normal(size=HIDDEN))
+PERSONAL = att.PersonalizedWeights(
+    rng.normal(size=(USER_DIM, QUERY)), rng.normal(size=QUERY), rng.normal(size=(QUERY, DIM)), rng.normal(size=DIM)
+)
+SELF = att.SelfAttentionWeights(
+    *[rng.normal(size=(DIM, DIM)) for _ in range(4)], heads=2,
+    biases={"bq": rng.normal(size=DIM), "bk": rng.normal(size=DIM), "bv": rng.normal(size=DIM), "bo": rng.normal(size=DIM)},
+)
+EMPTY = rng.normal(size=DIM)
+HISTORIES = {
+    1: None, 2: [], 3: ["N1"], 4: ["N1", "N2", "N3", "N4", "N5"], 5: ["N2", "N2"], 6: ["N1", "unknown"], 7: ["N1"], 8: ["N4", "N3", "N2", "N1"],
+}
+
+
+@pytest.fixture(scope="module")
+def behaviors(spark):
+    data = [(i, f"U{i}", h, i % 4) for i, h in HISTORIES.items()]
+    return spark.createDataFrame(data, "impression_id long, user_id string, history array<string>, user_idx long")
+
+
+@pytest.fixture(scope="module")
+def news_vectors(spark):
+    return spark.createDataFrame([(k, v.tolist()) for k, v in NEWS.items()], "news_id string, vec array<double>")
+
+
+@pytest.fixture(scope="module")
+def user_vectors(spark):
+    return spark.createDataFrame([(k, v.tolist()) for k, v in USERS.items()], "user_idx long, vec array<double>")
+
+
+def key(history):
+    return hashlib.md5(" ".join((history or [])[:SIZE]).encode()).hexdigest()
+
+
+def sequence(history, empty, mask):
+    """Slot vectors; without masking SIZE of them."""
+    ids = (history or [])[:SIZE]
+    if mask:
+        return np.array([NEWS[i] for i in ids if i in NEWS]).reshape(-1, DIM)
+    return np.array([NEWS.get(i, empty) for i in ids] + [empty] * (SIZE - len(ids)))
+
+
+def softmax(x):
+    e = np.exp(x - x.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def additive(x, w=ADDITIVE):
+    return softmax(np.tanh(x @ w.w + w.b) @ w.v) @ x
+
+
+def personalized(x, u, w=PERSONAL):
+    query = np.tanh(np.maximum(u @ w.w1 + w.b1, 0) @ w.w2 + w.b2)
+    return softmax(x @ query) @ x
+
+
+def attended(x, w=SELF):
+    size = DIM // w.heads
+    q, k, v = x @ w.wq + w.biases["bq"], x @ w.wk + w.biases["bk"], x @ w.wv + w.biases["bv"]
+    parts = [slice(h * size, (h + 1) * size) for h in range(w.heads)]
+    heads = [softmax(q[:, p] @ k[:, p].T / np.sqrt(size)) @ v[:, p] for p in parts]
+    return np.concatenate(heads, axis=1) @ w.wo + w.biases["bo"]
+
+
+@pytest.mark.parametrize("mask", [False, True])
+@pytest.mark.parametrize("empty", [None, EMPTY])
+def test_additive_user_vectors(behaviors, news_vectors, mask, empty):
+    got = {r[0]: np.array(r[1]) for r in att.user_vector_additive(behaviors, news_vectors, ADDITIVE, SIZE, mask, empty).collect()}
+    fill = np.zeros(DIM) if empty is None else empty
+    want = {key(h): sequence(h, fill, mask) for h in HISTORIES.values()}
+    want = {k: additive(x) for k, x in want.items() if len(x)}
+    assert set(got) == set(want)
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("mask", [False, True])
+def test_personalized_user_vectors(behaviors, news_vectors, user_vectors, mask):
+    found = att.user_vector_personalized(behaviors, news_vectors, user_vectors, PERSONAL, SIZE, mask, EMPTY)
+    got = {(r[0], r[1]): np.array(r[2]) for r in found.collect()}
+    want = {(i % 4, key(h)): (sequence(h, EMPTY, mask), USERS[i % 4]) for i, h in HISTORIES.items()}
+    want = {k: personalized(x, u) for k, (x, u) in want.items() if len(x)}
+    assert set(got) == set(want)
+    assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 22])
+@pytest.mark.parametrize("mask", [False, True])
+def test_self_attention(behaviors, news_vectors, mask, cells, monkeypatch):
+    monkeypatch.setattr(att, "BATCH_CELLS", cells)
+    slots = att.self_attention(behaviors, news_vectors, SELF, SIZE, mask, EMPTY).collect()
+    pooled = {r[0]: np.array(r[1]) for r in att.user_vector_selfattn(behaviors, news_vectors, SELF, ADDITIVE, SIZE, mask, EMPTY).collect()}
+    for history in HISTORIES.values():
+        x = sequence(history, EMPTY, mask)
+        rows = sorted((r for r in slots if r["history_key"] == key(history)), key=lambda r: r["slot"])
+        if not len(x):
+            assert not rows and key(history) not in pooled
+            continue
+        want = attended(x)
+        got = np.array([r["vec"] for r in rows for _ in range(r["times"])])
+        assert got.shape == want.shape and np.allclose(got, want)
+        assert np.allclose(pooled[key(history)], additive(want))
+
+
+@pytest.mark.parametrize("scale", [1.0, 200.0])
+def test_pooling_of_groups(spark, news_vectors, user_vectors, scale):
+    """Far apart logits take the way through the largest one and stay finite."""
+    groups = {g: [f"N{(g * 5 + j) % 12}" for j in range(g + 1)] for g in range(6)}
+    items = spark.createDataFrame([(g, n, g % 4) for g, ns in groups.items() for n in ns], "g int, news_id string, user_idx long")
+    weights = att.AdditiveWeights(ADDITIVE.w, ADDITIVE.b, ADDITIVE.v * scale)
+    assert (np.abs(weights.v).sum() > att.SAFE_EXPONENT) == (scale > 1)
+    got = {r["g"]: r["pooled"] for r in att.additive_attention_pool(items, ["g"], news_vectors, weights).collect()}
+    for g, ns in groups.items():
+        assert np.allclose(got[g], additive(np.array([NEWS[n] for n in ns]), weights))
+    scaled = news_vectors.select("news_id", F.transform("vec", lambda x: x * scale).alias("vec"))
+    found = att.personalized_attention_pool(items, ["g"], scaled, user_vectors, PERSONAL).collect()
+    for r in found:
+        assert np.allclose(r["pooled"], personalized(np.array([NEWS[n] * scale for n in groups[r["g"]]]), USERS[r["g"] % 4]))
+
+
+def test_each_history_is_pooled_once(behaviors, news_vectors):
+    vectors = att.user_vector_additive(behaviors, news_vectors, ADDITIVE, SIZE)
+    assert vectors.count() == len({key(h) for h in HISTORIES.values()})
+    attached = att.attach_history_vector(behaviors, vectors, SIZE).collect()
+    by_id = {r["impression_id"]: r["user_vec"] for r in attached}
+    assert len(by_id) == len(HISTORIES) and by_id[3] == by_id[7] and by_id[1] == by_id[2]
+
+
+def test_packing_needs_no_exchange_of_vectors(behaviors, news_vectors, executed_plan):
+    plan = executed_plan(att.user_vector_additive(behaviors, news_vectors, ADDITIVE, SIZE))
+    assert plan.count("Exchange hashpartitioning") == 1  # the one that makes histories distinct
+
+
+def test_golden_means_of_the_given_tables(spark, small):
+    """With equal logits attention is the plain mean, for which FIXTURES.md has values."""
+    from checks import tables as t
+    from clickrank.plans.evaluation import evaluate_additive
+
+    flat = att.AdditiveWeights(t.waves(64, 8, 7), np.zeros(8), np.zeros(8))
+    log = t.stored_behaviors(spark, small).where("history is not null")
+    row = evaluate_additive(log, t.news_vectors(spark, small), flat, 50, mask_empty=True, include_empty=False).first()
+    assert (row["impressions"], row["with_auc"]) == (370, 181)
+    assert [round(row[m], 6) for m in ("ndcg_at_5", "mrr", "auc")] == [0.833624, 0.672763, 0.485467]
