@@ -328,7 +328,7 @@ def a4_unique_categories(spark, sf):
 
 @query
 def a5_description_length_stats(spark, sf):
-    return _rounded(text.description_length_stats(t.table(spark, sf, "documents"), column="text"), "avg_description_length")
+    return _rounded(text.description_length_stats(t.news(spark, sf, spread_out=True), column="abstract"), "avg_description_length")
 
 
 @query
@@ -548,7 +548,7 @@ def t4_generate_descriptions(spark, sf):
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return text.build_vocab(t.news(spark, sf), "abstract", min_count=2)
+    return text.build_vocab(t.news(spark, sf, spread_out=True), "abstract", min_count=2)
 
 
 def _ids_as_text(encoded: DataFrame) -> DataFrame:
@@ -557,12 +557,12 @@ def _ids_as_text(encoded: DataFrame) -> DataFrame:
 
 @query
 def t5_encode_texts(spark, sf):
-    return _ids_as_text(text.encode_texts(t.news(spark, sf), "news_id", "abstract", _vocab(spark, sf), 64))
+    return _ids_as_text(text.encode_texts(t.news(spark, sf, spread_out=True), "news_id", "abstract", _vocab(spark, sf), 64))
 
 
 @query
 def t6_encode_text_pairs(spark, sf):
-    return _ids_as_text(text.encode_text_pairs(t.news(spark, sf), "news_id", "title", "abstract", _vocab(spark, sf), 64))
+    return _ids_as_text(text.encode_text_pairs(t.news(spark, sf, spread_out=True), "news_id", "title", "abstract", _vocab(spark, sf), 64))
 
 
 @query
@@ -572,7 +572,7 @@ def t7_build_vocab(spark, sf):
 
 @query
 def t8_token_count(spark, sf):
-    return t.news(spark, sf).select("news_id", token_count(F.col("abstract")).alias("n_tokens"))
+    return t.news(spark, sf, spread_out=True).select("news_id", token_count(F.col("abstract")).alias("n_tokens"))
 
 
 # ---------------------------------------------------------------- scoring
@@ -584,7 +584,7 @@ def letter_counts(batch) -> np.ndarray:
 
 @query
 def m1_encode_news(spark, sf):
-    encoded = scoring.encode_news(t.news(spark, sf).select("news_id", "abstract"), letter_counts)
+    encoded = scoring.encode_news(t.news(spark, sf, spread_out=True).select("news_id", "abstract"), letter_counts)
     return encoded.select("news_id", F.array_join(F.col("vec").cast("array<int>").cast("array<string>"), " ").alias("vec"))
 
 

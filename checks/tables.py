@@ -52,7 +52,7 @@ def shown_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("ts").asc(), F.col("event_id").asc()]
     # No group is larger than the table, so a small table needs no count of its groups.
     small = n_rows(spark, sf_dir, "events") <= HOT_ROWS
-    numbered = number_rows(event_log(spark, sf_dir), ["user", "day"], order, "seq", start=0, bounded=small)
+    numbered = number_rows(event_log(spark, sf_dir), ["user", "day"], order, "seq", 0, small, HOT_ROWS)
     line = F.floor(F.col("seq") / LINE_CANDIDATES)
     return numbered.select(
         (F.col("user") * 100 + F.col("day") + line * NEXT_LINE).alias("impression_id"),
@@ -133,11 +133,15 @@ def one_line(text) -> F.Column:
     return F.translate(text, "\t\n", "  ")
 
 
-def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as news: the first line is the title, the whole text the abstract."""
+def news(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """Documents as news: the first line is the title, the whole text the abstract.
+
+    ``spread_out`` is for work on every word of the abstracts.
+    """
     text = F.col("text")
     title = F.split(text, "\n", 2)[0]
-    return spread(table(spark, sf_dir, "documents")).select(
+    docs = table(spark, sf_dir, "documents")
+    return (spread(docs) if spread_out else docs).select(
         F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("news_id"),
         F.col("lang").alias("category"),
         F.col("source").alias("subcategory"),

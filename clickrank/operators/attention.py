@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,7 +150,9 @@ def softmax_pool(items: DataFrame, keys: Sequence[str], logit_bound: float, name
     else:
         largest = items.groupBy(*keys).agg(F.max("logit").alias("_max"))
         weighted = lookup(items, largest, list(keys), derived=True).withColumn("_w", F.col("times") * F.exp(F.col("logit") - F.col("_max")))
-    mean = Summarizer.mean(array_to_vector(F.col("vec")), F.col("_w"))
+    vec = F.col("vec")
+    packed = isinstance(items.schema["vec"].dataType, VectorUDT)
+    mean = Summarizer.mean(vec if packed else array_to_vector(vec), F.col("_w"))
     return weighted.groupBy(*keys).agg(vector_to_array(mean).alias(name))
 
 
@@ -158,7 +161,7 @@ def additive_attention_pool(
 ) -> DataFrame:
     """M2: pools the vectors of each group's items; ``items`` has the keys and ``news_id``."""
     vectors = vectors.select("news_id", "vec")
-    weighed = additive_logits(vectors, weights)
+    weighed = additive_logits(vectors, weights).withColumn("vec", array_to_vector("vec"))  # once per news item
     joined = lookup(items.withColumn("times", F.lit(1)), weighed, "news_id", "inner", size_of=vectors)
     return softmax_pool(joined, keys, float(np.abs(weights.v).sum()), name)
 

@@ -48,7 +48,8 @@ def read_descriptions(spark: SparkSession, path: str, lines: bool = False) -> Da
     """S3: category descriptions from a JSON array, or from JSON lines as ``write_descriptions`` makes them.
     Of a repeated category the last entry counts."""
     raw = spark.read.schema(DESCRIPTION_FILE).json(path, multiLine=not lines)
-    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    where = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    place = F.struct(*where, F.monotonically_increasing_id())
     placed = raw.select("category", "description", place.alias("_place"))
     return placed.groupBy("category").agg(F.max_by("description", "_place").alias("description"))
 
