@@ -388,7 +388,7 @@ def statements() -> dict[str, str]:
           lambda j: sin(13 * j + 3) * tanh(list_dot_product(vec, add_w[j]))))) AS e FROM attended, add),
         dims AS (SELECT unnest(range(1, 65)) AS d)
         SELECT history_key, CAST(d - 1 AS INTEGER) AS dim, round(sum(e * vec[d]) / sum(e), 6) AS x FROM weighted, dims GROUP BY 1, 2"""
-    sql["m8_score_candidates"] = f"WITH {SCORED} SELECT impression_id, pos, news_id, clicked, round(score, 6) AS score FROM scored"
+    sql["m8_score_candidates"] = f"WITH {SCORED} SELECT impression_id, pos, news_id, clicked, score FROM scored"
     sql["m9_listwise_loss"] = f"""WITH {SCORED}, {SAMPLE},
         sampled AS (SELECT sample.impression_id, sample.clicked,
             coalesce(round(list_dot_product(nv.vec, user_vec), 9), 0) AS score

@@ -68,7 +68,7 @@ def _joined(array: str) -> F.Column:
 
 
 def _flat_news(spark: SparkSession, sf: str) -> DataFrame:
-    return t.news(spark, sf).withColumns({c: t.one_line(c) for c in ("title", "abstract")})
+    return t.news(spark, sf, spread_out=True).withColumns({c: t.one_line(c) for c in ("title", "abstract")})
 
 
 @query
@@ -639,7 +639,7 @@ def m7_user_vector_selfattn(spark, sf):
 
 @query
 def m8_score_candidates(spark, sf):
-    return _rounded(model_scores(spark, sf), "score")
+    return model_scores(spark, sf)
 
 
 def _sampled_scores(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickrank.functions.arrays import fit_history
-from clickrank.operators.scale import lookup
+from clickrank.operators.scale import fits_broadcast, lookup
 from clickrank.schema import EMPTY_NEWS_ID
 
 
@@ -31,23 +31,34 @@ def require_keys(fact: DataFrame, dim: DataFrame, key: str) -> None:
         raise KeyError(f"{key} not found: {unknown}")
 
 
-def _with_text(rows: DataFrame, news_text: DataFrame, strict: bool) -> DataFrame:
+def with_text(rows: DataFrame, news_text: DataFrame, strict: bool, fits: bool | None = None) -> DataFrame:
+    """Text columns for every row's news id; unknown news have empty ones unless ``strict``."""
     texts = [c for c in news_text.columns if c != "news_id"]
     known = with_empty_news(news_text)
     if strict:
         require_keys(rows, known, "news_id")
-    joined = lookup(rows, known, "news_id")
+    joined = lookup(rows, known, "news_id", fits=fits)
     return joined.select(*rows.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
+def by_impression(rows: DataFrame, news_text: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows placed by impression while they are still packed ids, if the text can be broadcast to them.
+
+    The items unrolled from such a row stay where they are, so packing them again with their text needs no
+    exchange of the text. Otherwise the text join moves the items anyway and the rows are left alone.
+    """
+    fits = fits_broadcast(news_text)
+    return (rows.repartition("impression_id") if fits else rows), fits
+
+
 def candidate_titles(candidates: DataFrame, news: DataFrame, strict: bool = False) -> DataFrame:
     """The title of every candidate; unknown news have an empty one unless ``strict``."""
-    return _with_text(candidates, news.select("news_id", "title"), strict)
+    return with_text(candidates, news.select("news_id", "title"), strict)
 
 
 def candidate_texts(candidates: DataFrame, news_text: DataFrame, strict: bool = False) -> DataFrame:
     """Title and category description of every candidate."""
-    return _with_text(candidates, news_text.select("news_id", "title", "category_description"), strict)
+    return with_text(candidates, news_text.select("news_id", "title", "category_description"), strict)
 
 
 def history_slots(behaviors: DataFrame, history_size: int, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -58,7 +69,8 @@ def history_slots(behaviors: DataFrame, history_size: int, keep: tuple[str, ...]
 
 def _history(behaviors: DataFrame, text: DataFrame, history_size: int, strict: bool) -> DataFrame:
     texts = [c for c in text.columns if c != "news_id"]
-    rows = _with_text(history_slots(behaviors, history_size), text, strict)
+    placed, fits = by_impression(behaviors.select("impression_id", "history"), text)
+    rows = with_text(history_slots(placed, history_size), text, strict, fits)
     # At most history_size rows per impression.
     return rows.groupBy("impression_id").agg(
         F.array_sort(F.collect_list(F.struct("slot", "news_id", *texts))).alias("history")

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from clickrank.functions.arrays import append_empty_candidate, fit_history, label_vector, target_index
 from clickrank.functions.keys import seeded_key
-from clickrank.operators.lookup import require_keys, with_empty_news
-from clickrank.operators.scale import lookup
+from clickrank.operators.lookup import by_impression, with_text
 from clickrank.operators.users import attach_user_idx
 from clickrank.schema import EMPTY_NEWS_ID, FILLER_POS
 
@@ -88,13 +87,11 @@ def _attach_texts(rows: DataFrame, news_text: DataFrame, strict: bool) -> DataFr
         tagged("candidates", 0, lambda x: x["news_id"], lambda x: x["clicked"]),
         tagged("history", 1, lambda x: x, lambda x: F.lit(None).cast("int")),
     )
-    flat = rows.select(*carried, F.inline(items))
-    known = with_empty_news(news_text)
-    if strict:
-        require_keys(flat, known, "news_id")
-    item = F.struct("part", "slot", "news_id", "clicked", *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
+    placed, fits = by_impression(rows, news_text)
+    flat = with_text(placed.select(*carried, F.inline(items)), news_text, strict, fits)
+    item = F.struct("part", "slot", "news_id", "clicked", *texts)
     # A group is the content of one behaviour row: its candidates and at most history_size slots.
-    packed = lookup(flat, known, "news_id").groupBy(*carried).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    packed = flat.groupBy(*carried).agg(F.array_sort(F.collect_list(item)).alias("_items"))
 
     def part(n: int, *fields: str) -> Column:
         chosen = F.filter("_items", lambda x: x["part"] == n)

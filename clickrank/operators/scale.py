@@ -134,6 +134,10 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str, start: int =
     return range_number(df, [], order, name, start)
 
 
+def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    return measured_bytes(dim) <= limit
+
+
 def _splits_skew(spark: SparkSession) -> bool:
     return all(
         spark.conf.get(name, "true").lower() == "true"
@@ -148,13 +152,14 @@ def lookup(
     how: str = "left",
     size_of: DataFrame | None = None,
     derived: bool = False,
+    fits: bool | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Equi-join of ``fact`` with a table unique on ``keys``.
 
     The dimension is broadcast when its measured size allows; ``size_of`` names a table of the same size that is
-    cheaper to measure. Otherwise it is shuffled, and the rows of hot fact keys are spread over ``SALTS`` parts,
+    cheaper to measure, and ``fits`` hands in a measurement already made (``fits_broadcast``). Otherwise it is shuffled, and the rows of hot fact keys are spread over ``SALTS`` parts,
     each with its own copy of the matching dimension row.
 
     ``derived=True`` is for a dimension that costs much to compute: measuring it would compute it twice, so both
@@ -165,7 +170,7 @@ def lookup(
     if derived:
         if _splits_skew(fact.sparkSession):
             return fact.join(dim, keys, how)
-    elif measured_bytes(dim if size_of is None else size_of) <= broadcast_bytes:
+    elif fits_broadcast(dim if size_of is None else size_of, broadcast_bytes) if fits is None else fits:
         return fact.join(F.broadcast(dim), keys, how)
     hot = hot_groups(fact, keys, limit)
     if hot is None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clickrank.functions.tokens import SPACES, first_tokens, pair_budgets, token_count, tokens
 from clickrank.operators.lookup import attach_description
-from clickrank.operators.scale import dense_index, lookup
+from clickrank.operators.scale import dense_index, fits_broadcast, lookup
 from clickrank.schema import CLS_ID, FIRST_TOKEN_ID, PAD_ID, SEP_ID, UNK_ID
 from clickrank.session import stage
 
@@ -134,20 +134,20 @@ def _token_ids(df: DataFrame, key: str, sides: list[tuple[str, Column]], vocab:
     def marked(side: str, kept: Column) -> Column:
         return F.transform(kept, lambda t, i: F.struct(F.lit(side).alias("side"), i.alias("at"), t.alias("token")))
 
-    flat = df.select(F.col(key), F.inline(F.concat(*[marked(side, kept) for side, kept in sides])))
-    found = lookup(flat, vocab.select("token", F.col("id").cast("int").alias("id")), "token")
+    known = vocab.select("token", F.col("id").cast("int").alias("id"))
+    fits = fits_broadcast(known)
+    packed = df.select(F.col(key), F.concat(*[marked(side, kept) for side, kept in sides]).alias("_kept"))
+    if fits:
+        # The few kept tokens are placed by row before they are unrolled; the broadcast join leaves them there.
+        packed = packed.repartition(key)
+    # A row without tokens stays, as one without a side.
+    found = lookup(packed.select(key, F.inline_outer("_kept")), known, "token", fits=fits)
     item = F.struct("at", F.coalesce("id", F.lit(UNK_ID)).alias("id"))
     # At most max_length items per row, since only kept tokens are joined.
-    aggregates = [
-        F.array_sort(F.collect_list(F.when(F.col("side") == side, item))).alias(f"_{side}") for side, _ in sides
-    ]
-    grouped = found.groupBy(key).agg(*aggregates)
-    ids = [
-        F.coalesce(F.transform(f"_{side}", lambda x: x["id"]), F.array().cast("array<int>")).alias(f"_{side}_ids")
-        for side, _ in sides
-    ]
-    # Rows whose texts are empty have no tokens to join and come back through the left join.
-    return df.select(key).join(grouped, key, "left").select(key, *ids)
+    grouped = found.groupBy(key).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("side") == side, item))).alias(f"_{side}") for side, _ in sides]
+    )
+    return grouped.select(key, *[F.col(f"_{side}.id").alias(f"_{side}_ids") for side, _ in sides])
 
 
 def _padded(ids: Column, max_length: int) -> list[Column]:

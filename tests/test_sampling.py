@@ -103,3 +103,12 @@ def test_batches_are_full_and_shuffled(spark, digits):
     assert order != sorted(order) and sorted(order) == list(range(1000))
     other = sampling.assign_batches(examples.repartition(3), 64, 9, digits=3).collect()
     assert {r["impression_id"]: r["batch"] for r in other} == {r["impression_id"]: r["batch"] for r in got}
+
+
+def test_texts_are_not_shuffled_when_news_are_broadcast(spark, behaviors, index, executed_plan):
+    news = spark.createDataFrame([("N1_1", "a")], "news_id string, title string")
+    plan = executed_plan(sampling.training_examples(make(spark), news, index, 4, 3, 1))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("ObjectHashAggregate") < plan.index("Exchange hashpartitioning")
+    exchange = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert "hashpartitioning(impression_id" in exchange
