@@ -18,6 +18,7 @@ from clickrank.operators import behaviors as beh
 from clickrank.operators import lookup as look
 from clickrank.operators import ranking as rank
 from clickrank.operators import reports, sampling, scoring, text, users
+from clickrank.operators.scale import fits_broadcast
 from clickrank.plans.evaluation import score_behaviors
 from clickrank.plans.training import sampled_candidates, train_ranker
 from clickrank.session import scratch_path
@@ -490,8 +491,9 @@ def w7_auc(spark, sf):
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every candidate, the empty one included, scored against the additive user vector of the padded history."""
     rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
-    user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
-    return score_behaviors(rows, vectors, user_vectors, HISTORY_SIZE)
+    fits = fits_broadcast(vectors)
+    user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE, fits=fits)
+    return score_behaviors(rows, vectors, user_vectors, HISTORY_SIZE, fits=fits)
 
 
 @query

@@ -52,7 +52,7 @@ def shown_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("ts").asc(), F.col("event_id").asc()]
     # No group is larger than the table, so a small table needs no count of its groups.
     small = n_rows(spark, sf_dir, "events") <= HOT_ROWS
-    numbered = number_rows(event_log(spark, sf_dir), ["user", "day"], order, "seq", 0, small, HOT_ROWS)
+    numbered = number_rows(event_log(spark, sf_dir), ["user_id", "day"], order, "seq", 0, small, HOT_ROWS)
     line = F.floor(F.col("seq") / LINE_CANDIDATES)
     return numbered.select(
         (F.col("user") * 100 + F.col("day") + line * NEXT_LINE).alias("impression_id"),
@@ -83,7 +83,10 @@ def first_clicks(log: DataFrame) -> DataFrame:
 
 
 def dated_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed impression table with its day; one row per impression."""
+    """The parsed impression table with its day; one row per impression.
+
+    The numbering has placed the events by user and day, which also serves the packing.
+    """
     shown = shown_news(spark, sf_dir)
     lines = shown.groupBy("impression_id", "user_id", "day").agg(
         F.date_format(F.min("ts"), "M/d/yyyy h:mm:ss a").alias("time"),
@@ -92,10 +95,10 @@ def dated_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lookup(lines, first_clicks(event_log(spark, sf_dir)), "user_id", derived=True)
     earlier = F.transform(F.filter("clicks", lambda c: c["day"] < F.col("day")), lambda c: c["news_id"])
     items = F.transform("items", lambda x: F.struct(x["news_id"].alias("news_id"), x["clicked"].alias("clicked")))
-    return joined.select(
-        "impression_id", "user_id", "time", F.when(F.size(earlier) > 0, earlier).alias("history"),
-        items.alias("impressions"), "day",
-    )
+    # Two steps, so that the list is made once and not again for its size.
+    listed = joined.select("impression_id", "user_id", "time", "day", earlier.alias("_past"), items.alias("impressions"))
+    history = F.when(F.size("_past") > 0, F.col("_past")).alias("history")
+    return listed.select("impression_id", "user_id", "time", history, "impressions", "day")
 
 
 def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 What depends on the news item alone (its attention logit) is computed once per distinct item, what depends on
 the user alone (the query) once per user, and a user vector once per distinct history. Padded slots all hold the
-same empty item, so they travel as one item with a multiplicity.
+same empty item, so they travel as one item with a multiplicity. ``fits`` is an earlier answer to whether the news
+vectors can be broadcast; without it they are measured.
 """
 
 from __future__ import annotations
@@ -94,13 +95,18 @@ def empty_vector(dim: int, empty: Sequence[float] | None) -> list[float]:
 
 
 def _item_vectors(
-    items: DataFrame, vectors: DataFrame, empty: dict[str, Column], mask_empty: bool, size_of: DataFrame | None = None
+    items: DataFrame,
+    vectors: DataFrame,
+    empty: dict[str, Column],
+    mask_empty: bool,
+    size_of: DataFrame | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Attaches the columns of ``vectors``. Ids without a vector, the padding among them, get the values of the
     empty news, or are left out when masked."""
     if mask_empty:
-        return lookup(items, vectors, "news_id", "inner", size_of)
-    joined = lookup(items, vectors, "news_id", "left", size_of)
+        return lookup(items, vectors, "news_id", "inner", size_of, fits=fits)
+    joined = lookup(items, vectors, "news_id", "left", size_of, fits=fits)
     return joined.select(*items.columns, *[F.coalesce(c, value).alias(c) for c, value in empty.items()])
 
 
@@ -265,6 +271,7 @@ def user_vector_additive(
     history_size: int,
     mask_empty: bool = False,
     empty: Sequence[float] | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """M5: ``(history_key, user_vec)`` by additive attention over the history."""
     plain = news_vectors.select("news_id", "vec")
@@ -272,7 +279,7 @@ def user_vector_additive(
     vec = empty_vector(len(weights.w), empty)
     fill = {"vec": _literal(vec), "logit": F.lit(float(np.tanh(np.asarray(vec) @ weights.w + weights.b) @ weights.v))}
     items = history_items(distinct_histories(behaviors, history_size), history_size, mask_empty)
-    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, plain), ["history_key"])
+    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, plain, fits), ["history_key"])
     return _pool_histories(packed, ["history_key"])
 
 
@@ -284,23 +291,24 @@ def user_vector_personalized(
     history_size: int,
     mask_empty: bool = False,
     empty: Sequence[float] | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """M6: ``(user_idx, history_key, user_vec)``; ``behaviors`` carries ``user_idx``."""
     fill = {"vec": _literal(empty_vector(weights.w2.shape[1], empty))}
     items = history_items(distinct_histories(behaviors, history_size, "user_idx"), history_size, mask_empty)
     vectors = news_vectors.select("news_id", "vec")
-    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty), ["user_idx", "history_key"])
+    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, fits=fits), ["user_idx", "history_key"])
     queries = personal_queries(user_vectors, weights)
     asked = lookup(packed, queries, "user_idx", "inner", size_of=user_vectors)
     return _pool_histories(asked, ["user_idx", "history_key"])
 
 
 def _history_vectors(
-    behaviors: DataFrame, news_vectors: DataFrame, dim: int, history_size: int, mask_empty: bool, empty
+    behaviors: DataFrame, news_vectors: DataFrame, dim: int, history_size: int, mask_empty: bool, empty, fits
 ) -> DataFrame:
     items = history_items(distinct_histories(behaviors, history_size), history_size, mask_empty)
     fill = {"vec": _literal(empty_vector(dim, empty))}
-    joined = _item_vectors(items, news_vectors.select("news_id", "vec"), fill, mask_empty)
+    joined = _item_vectors(items, news_vectors.select("news_id", "vec"), fill, mask_empty, fits=fits)
     return _packed_items(joined, ["history_key"])
 
 
@@ -311,9 +319,10 @@ def self_attention(
     history_size: int,
     mask_empty: bool = False,
     empty: Sequence[float] | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """M4: ``(history_key, slot, times, vec)``, every history item after attention to the whole history."""
-    packed = _history_vectors(behaviors, news_vectors, len(weights.wq), history_size, mask_empty, empty)
+    packed = _history_vectors(behaviors, news_vectors, len(weights.wq), history_size, mask_empty, empty, fits)
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,9 +348,10 @@ def user_vector_selfattn(
     history_size: int,
     mask_empty: bool = False,
     empty: Sequence[float] | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """M7: ``(history_key, user_vec)``; self-attention and additive pooling of a history in one pass."""
-    packed = _history_vectors(behaviors, news_vectors, len(weights.wq), history_size, mask_empty, empty)
+    packed = _history_vectors(behaviors, news_vectors, len(weights.wq), history_size, mask_empty, empty, fits)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

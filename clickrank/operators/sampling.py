@@ -65,7 +65,7 @@ def shuffle_sample(sampled: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
 
 def draw_sample(behaviors: DataFrame, npratio: int, seed: int, epoch: int = 0) -> DataFrame:
     """X1-X3 together with ``target``; impressions without a click are left out (``click_stats`` counts them)."""
-    positive = sample_positive(behaviors, seed, epoch).where(F.size("positive") > 0)
+    positive = sample_positive(behaviors.where(F.exists("impressions", lambda x: x["clicked"] == 1)), seed, epoch)
     shuffled = shuffle_sample(sample_negatives(positive, npratio, seed, epoch), seed, epoch)
     return shuffled.select("*", target_index(F.transform("sample", lambda x: x["clicked"])).alias("target"))
 

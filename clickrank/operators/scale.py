@@ -166,6 +166,8 @@ def lookup(
     sides are shuffled and adaptive execution picks a broadcast from the real size or splits oversize partitions.
     Where a session has switched that off, hot keys are salted as above.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"lookup is a left or an inner join, not {how}")
     keys = [keys] if isinstance(keys, str) else list(keys)
     if derived:
         if _splits_skew(fact.sparkSession):

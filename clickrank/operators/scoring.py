@@ -48,6 +48,7 @@ def score_candidates(
     news_vectors: DataFrame,
     user_vectors: DataFrame | None = None,
     empty: Sequence[float] | None = None,
+    fits: bool | None = None,
 ) -> DataFrame:
     """M8: ``score``, the dot product of candidate and user vector.
 
@@ -58,7 +59,7 @@ def score_candidates(
     rows = candidates
     if user_vectors is not None:
         rows = lookup(rows, user_vectors, [c for c in user_vectors.columns if c != "user_vec"], derived=True)
-    joined = lookup(rows, news_vectors.select("news_id", "vec"), "news_id")
+    joined = lookup(rows, news_vectors.select("news_id", "vec"), "news_id", fits=fits)
     kept = [c for c in rows.columns if c != "user_vec"]
     user = F.col("user_vec")
     fallback = F.lit(0.0) if empty is None else dot(F.array(*[F.lit(float(x)) for x in empty]), user)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from clickrank.operators.attention import AdditiveWeights, attach_history_vector, user_vector_additive
 from clickrank.operators.behaviors import explode_candidates
 from clickrank.operators.ranking import evaluate, macro_average
+from clickrank.operators.scale import fits_broadcast
 from clickrank.operators.scoring import score_candidates
 
 
@@ -17,12 +18,13 @@ def score_behaviors(
     history_size: int,
     include_empty: bool = True,
     keep: tuple[str, ...] = (),
+    fits: bool | None = None,
 ) -> DataFrame:
     """``scored`` rows of every candidate. User vectors are found by history (and user), one per behaviour row,
     before the candidates are unrolled."""
     with_user = attach_history_vector(behaviors, user_vectors, history_size)
     shown = explode_candidates(with_user, include_empty, keep=(*keep, "user_vec"))
-    return score_candidates(shown, news_vectors)
+    return score_candidates(shown, news_vectors, fits=fits)
 
 
 def evaluate_additive(
@@ -35,6 +37,7 @@ def evaluate_additive(
     bounded: bool = False,
 ) -> DataFrame:
     """P6-P8, M5, M8, W8, A7 in one row."""
-    vectors = user_vector_additive(behaviors, news_vectors, weights, history_size, mask_empty)
-    scored = score_behaviors(behaviors, news_vectors, vectors, history_size, include_empty)
+    fits = fits_broadcast(news_vectors)
+    vectors = user_vector_additive(behaviors, news_vectors, weights, history_size, mask_empty, fits=fits)
+    scored = score_behaviors(behaviors, news_vectors, vectors, history_size, include_empty, fits=fits)
     return macro_average(evaluate(scored, bounded))

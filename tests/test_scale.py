@@ -71,6 +71,11 @@ def test_lookup_salts_where_skew_is_not_split_at_run_time(spark, skewed, as_rows
         spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
 
 
+def test_lookup_refuses_other_joins(spark, skewed):
+    with pytest.raises(ValueError, match="full"):
+        scale.lookup(skewed, skewed, "k", "full")
+
+
 def test_small_dimension_is_broadcast_and_large_one_is_not(spark, skewed, executed_plan):
     dim = spark.range(10).select(F.col("id").cast("string").alias("k"))
     assert "BroadcastHashJoin" in executed_plan(scale.lookup(skewed, dim, "k"))

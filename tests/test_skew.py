@@ -73,3 +73,8 @@ def test_filters_and_columns_reach_the_scan(spark, small):
     assert "DataFilters: [event_type" in clicks
     assert "props" not in clicks and "value" not in clicks
     assert "text" not in scan(t.news(spark, small).select("news_id", "category")).replace("text:", "")
+
+
+def test_logs_are_packed_where_they_were_numbered(spark, small, executed_plan):
+    plan = executed_plan(t.shown_news(spark, small).groupBy("impression_id", "user_id", "day").count())
+    assert plan.count("Exchange") == 1
