@@ -14,6 +14,10 @@ from clickrank.operators.scale import dense_index, fits_broadcast, lookup
 from clickrank.schema import CLS_ID, FIRST_TOKEN_ID, PAD_ID, SEP_ID, UNK_ID
 from clickrank.session import stage
 
+# Wording of the templated description and of the request for a generated one.
+TEMPLATE_WORDS = "The category is "
+REQUEST_WORDS = "The news category is "
+
 # Names of the text methods.
 TITLE_ONLY = "none"
 TEMPLATE = "template_based"
@@ -26,7 +30,7 @@ DEFAULT_SYSTEM_PROMPT = (
 
 
 def template_text(name: Column) -> Column:
-    return F.concat(F.lit("The category is "), name)
+    return F.concat(F.lit(TEMPLATE_WORDS), name)
 
 
 def template_descriptions(names: DataFrame, column: str = "category") -> DataFrame:
@@ -66,7 +70,7 @@ def generation_prompts(categories: DataFrame, system_prompt: str = DEFAULT_SYSTE
     return categories.select(
         "category",
         F.lit(system_prompt).alias("system_prompt"),
-        F.concat(F.lit("The news category is "), F.col("category")).alias("user_prompt"),
+        F.concat(F.lit(REQUEST_WORDS), F.col("category")).alias("user_prompt"),
     )
 
 

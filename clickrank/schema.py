@@ -19,6 +19,7 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Columns of the news file, in order.
 NEWS_COLUMNS = (
     "news_id", "category", "subcategory", "title", "abstract", "url", "title_entities", "abstract_entities",
 )
