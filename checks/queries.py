@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import tables as t
-from clickrank.functions.arrays import append_empty_candidate, fit_history, history_or_empty, label_vector
+from clickrank.functions.arrays import append_empty_candidate, history_or_empty, label_vector
 from clickrank.functions.keys import seeded_key
 from clickrank.functions.tokens import token_count
 from clickrank.operators import attention as att

@@ -9,7 +9,6 @@ vectors can be broadcast; without it they are measured.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -17,48 +16,24 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickrank.functions.arrays import history_or_empty
+from clickrank.functions.dense import (
+    AdditiveWeights,
+    PersonalizedWeights,
+    SelfAttentionWeights,
+    multi_head,
+    sequences,
+    softmax,
+    vector_array,
+)
 from clickrank.functions.vectors import dot
 from clickrank.operators.scale import lookup
 from clickrank.schema import EMPTY_NEWS_ID
 
-BATCH_CELLS = 1 << 22   # numbers per dense step, which bounds the memory of a task however large its batches
-SAFE_EXPONENT = 300.0   # exp stays finite and non-zero up to here without subtracting the largest logit
-
-
-@dataclass(frozen=True)
-class AdditiveWeights:
-    """logit(x) = v . tanh(x W + b); W is (dim, hidden)."""
-
-    w: np.ndarray
-    b: np.ndarray
-    v: np.ndarray
-
-
-@dataclass(frozen=True)
-class PersonalizedWeights:
-    """query(u) = tanh(relu(u W1 + b1) W2 + b2); W1 is (user dim, query dim), W2 is (query dim, dim)."""
-
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: np.ndarray
-
-
-@dataclass(frozen=True)
-class SelfAttentionWeights:
-    """Multi-head attention; every matrix is (dim, dim) and multiplies from the right."""
-
-    wq: np.ndarray
-    wk: np.ndarray
-    wv: np.ndarray
-    wo: np.ndarray
-    heads: int = 16
-    biases: dict[str, np.ndarray] = field(default_factory=dict)  # optional bq, bk, bv, bo
-
+SAFE_EXPONENT = 300.0  # exp stays finite and non-zero up to here without subtracting the largest logit
 
 # ---------------------------------------------------------------- histories
 
@@ -193,47 +168,6 @@ def personalized_attention_pool(
     return softmax_pool(joined.withColumn("logit", dot(F.col("vec"), F.col("query"))), keys, _l1_bound(vectors), name)
 
 
-def _softmax(logits: np.ndarray, times: np.ndarray) -> np.ndarray:
-    raised = np.exp(logits - logits.max(axis=-1, keepdims=True)) * times
-    return raised / raised.sum(axis=-1, keepdims=True)
-
-
-def _attend(x: np.ndarray, times: np.ndarray, weights: SelfAttentionWeights) -> np.ndarray:
-    """Multi-head attention for equally long sequences, (batch, items, dim)."""
-    batch, n, dim = x.shape
-    per_head = dim // weights.heads
-
-    def heads(w: np.ndarray, bias: str) -> np.ndarray:
-        projected = x @ w + weights.biases.get(bias, 0.0)
-        return projected.reshape(batch, n, weights.heads, per_head).transpose(0, 2, 1, 3)
-
-    q, k, v = heads(weights.wq, "bq"), heads(weights.wk, "bk"), heads(weights.wv, "bv")
-    share = _softmax(q @ k.transpose(0, 1, 3, 2) / np.sqrt(per_head), times[:, None, None, :])
-    joined = (share @ v).transpose(0, 2, 1, 3).reshape(batch, n, dim)
-    return joined @ weights.wo + weights.biases.get("bo", 0.0)
-
-
-def _vector_array(rows: np.ndarray) -> pa.ListArray:
-    """Rows of a matrix as a list column."""
-    n, dim = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim), type=pa.int32()), pa.array(rows.reshape(-1)))
-
-
-def _sequences(vectors: pa.ListArray, *numbers: pa.ListArray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of a batch grouped by number of items: row numbers, vectors, and each list of numbers."""
-    lengths = np.asarray(vectors.value_lengths())
-    starts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    inner = vectors.flatten()
-    flat = np.asarray(inner.flatten(), dtype=np.float64).reshape(len(inner), -1)
-    lists = [np.asarray(values.flatten(), dtype=np.float64) for values in numbers]
-    for n in np.unique(lengths[lengths > 0]):
-        same = np.flatnonzero(lengths == n)
-        step = max(1, BATCH_CELLS // (n * max(flat.shape[1], 16 * n)))
-        for rows in np.split(same, range(step, len(same), step)):
-            at = starts[rows][:, None] + np.arange(n)[None, :]
-            yield rows, flat[at], *[values[at] for values in lists]
-
-
 def _packed_items(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items of each group as parallel arrays, in any order; at most history_size of them."""
     fields = [c for c in ("slot", "times", "logit", "vec") if c in items.columns]
@@ -254,11 +188,11 @@ def _pool_histories(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
             numbers = [batch.column("times")] + ([] if asked else [batch.column("logits")])
             if asked:
                 queries = np.asarray(batch.column("query").flatten()).reshape(len(batch), -1)
-            for rows, x, repeats, *given in _sequences(batch.column("vecs"), *numbers):
+            for rows, x, repeats, *given in sequences(batch.column("vecs"), *numbers):
                 logits = np.einsum("bnd,bd->bn", x, queries[rows]) if asked else given[0]
-                pooled = np.einsum("bn,bnd->bd", _softmax(logits, repeats), x)
+                pooled = np.einsum("bn,bnd->bd", softmax(logits, repeats), x)
                 named = [batch.column(k).take(pa.array(rows)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*named, _vector_array(pooled)], names=[*keys, "user_vec"])
+                yield pa.RecordBatch.from_arrays([*named, vector_array(pooled)], names=[*keys, "user_vec"])
 
     keyed = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys)
     return packed.mapInArrow(pool, f"{keyed}, user_vec array<double>")
@@ -327,11 +261,11 @@ def self_attention(
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, slots, times = batch.column("history_key"), batch.column("slots"), batch.column("times")
-            for rows, x, repeats in _sequences(batch.column("vecs"), times):
-                out = _attend(x, repeats, weights)
+            for rows, x, repeats in sequences(batch.column("vecs"), times):
+                out = multi_head(x, repeats, weights)
                 n, dim = out.shape[1:]
                 taken = pa.array(rows)
-                vectors = _vector_array(out.reshape(-1, dim))
+                vectors = vector_array(out.reshape(-1, dim))
                 yield pa.RecordBatch.from_arrays(
                     [keys.take(pa.array(np.repeat(rows, n))), slots.take(taken).flatten(), times.take(taken).flatten(), vectors],
                     names=["history_key", "slot", "times", "vec"],
@@ -355,12 +289,12 @@ def user_vector_selfattn(
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, x, repeats in _sequences(batch.column("vecs"), batch.column("times")):
-                attended = _attend(x, repeats, weights)
+            for rows, x, repeats in sequences(batch.column("vecs"), batch.column("times")):
+                attended = multi_head(x, repeats, weights)
                 logits = np.tanh(attended @ pooling.w + pooling.b) @ pooling.v
-                pooled = np.einsum("bn,bnd->bd", _softmax(logits, repeats), attended)
+                pooled = np.einsum("bn,bnd->bd", softmax(logits, repeats), attended)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("history_key").take(pa.array(rows)), _vector_array(pooled)],
+                    [batch.column("history_key").take(pa.array(rows)), vector_array(pooled)],
                     names=["history_key", "user_vec"],
                 )
 

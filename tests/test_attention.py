@@ -3,9 +3,11 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from clickrank.functions import dense
 from clickrank.operators import attention as att
 
 DIM, HIDDEN, USER_DIM, QUERY, SIZE = 8, 5, 6, 3, 4
@@ -97,10 +99,8 @@ def test_personalized_user_vectors(behaviors, news_vectors, user_vectors, mask):
     assert all(np.allclose(got[k], want[k]) for k in want)
 
 
-@pytest.mark.parametrize("cells", [1, 1 << 22])
 @pytest.mark.parametrize("mask", [False, True])
-def test_self_attention(behaviors, news_vectors, mask, cells, monkeypatch):
-    monkeypatch.setattr(att, "BATCH_CELLS", cells)
+def test_self_attention(behaviors, news_vectors, mask):
     slots = att.self_attention(behaviors, news_vectors, SELF, SIZE, mask, EMPTY).collect()
     pooled = {r[0]: np.array(r[1]) for r in att.user_vector_selfattn(behaviors, news_vectors, SELF, ADDITIVE, SIZE, mask, EMPTY).collect()}
     for history in HISTORIES.values():
@@ -131,6 +131,21 @@ def test_pooling_of_groups(spark, news_vectors, user_vectors, scale):
         assert np.allclose(r["pooled"], personalized(np.array([NEWS[n] * scale for n in groups[r["g"]]]), USERS[r["g"] % 4]))
 
 
+@pytest.mark.parametrize("cells", [1, 100, 1 << 22])
+def test_batches_are_cut_into_equal_lengths_and_bounded_steps(cells):
+    lists = [rng.normal(size=(n, DIM)).tolist() for n in (2, 3, 0, 2, 2, 1)]
+    vectors = pa.array(lists, type=pa.list_(pa.list_(pa.float64())))
+    times = pa.array([[float(i)] * len(x) for i, x in enumerate(lists)], type=pa.list_(pa.float64()))
+    whole = pa.RecordBatch.from_arrays([vectors, times], names=["v", "t"])
+    for part in (whole, whole.slice(1, 4)):
+        seen = {}
+        for rows, x, t in dense.sequences(part.column("v"), part.column("t"), cells=cells):
+            assert len(rows) == 1 or x.size <= cells
+            seen |= {int(r): (vec.tolist(), set(n)) for r, vec, n in zip(rows, x, t)}
+        offset = 0 if part is whole else 1
+        assert seen == {i: (x, {float(i + offset)}) for i, x in enumerate(part.column("v").to_pylist()) if x}
+
+
 def test_each_history_is_pooled_once(behaviors, news_vectors):
     vectors = att.user_vector_additive(behaviors, news_vectors, ADDITIVE, SIZE)
     assert vectors.count() == len({key(h) for h in HISTORIES.values()})
