@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickrank.llm import exact_dedup, quality_rules
+from clickrank.llm import exact_dedup, ngram_join, quality_rules
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.jaccard_components(read(spark, folder, "documents"), ngram_join.Similarity(4, 85, 100))
+
+
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The ledger of all documents and the verdicts of the base and the default policy."""
     found = quality_rules.ledger(read(spark, folder, "documents"))
@@ -34,5 +39,6 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
 }
