@@ -41,7 +41,7 @@ class DigestIndex:
     """A bucketed index under a path that all executors share; opened again by the same path."""
 
     def __init__(self, spark: SparkSession, path: str, table: str, buckets: int = BUCKETS):
-        self.spark, self.table, self.buckets = spark, table, buckets
+        self.spark, self.path, self.table, self.buckets = spark, path, table, buckets
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({INDEX_SCHEMA}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
@@ -73,13 +73,13 @@ class DigestIndex:
 def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Append a batch to the index and decide each of its rows: doc_id, digest, keep_id, group_size, kept.
 
-    The digests are written once, so that texts are read once. The join back is between two shuffled sides, of which
-    adaptive execution splits a partition that a large group of copies fills.
+    The digests are written once, so that texts are read once. The join back reads the index's files as a plain table,
+    because adaptive execution splits a partition that a large group of copies fills only if both sides are shuffled.
     """
     batch = stage(digests(docs, id_col, text), "digests")
     index.append(batch)
-    found = index.read().select("digest", "keep_id", "group_size")
-    return batch.join(found.repartition("digest"), "digest").select(
+    found = index.spark.read.parquet(index.path).select("digest", "keep_id", "group_size")
+    return batch.join(found, "digest").select(
         "doc_id", "digest", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull() & F.col("doc_id").isNull()).alias("kept"),
     )
