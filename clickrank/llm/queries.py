@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickrank.llm import exact_dedup, ngram_join, quality_rules
+from clickrank.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,8 +37,21 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed at weights 5, 2, 1 by source, three epochs at most."""
+    mixed = mixing.mix(read(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into windows of 2048 ids."""
+    return packing.pack(read(spark, folder, "documents"))
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op10_packing": op10_packing,
 }

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickrank.llm import exact_dedup, quality_rules
+from clickrank.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from clickrank.session import stage
 
 
@@ -22,7 +22,28 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs, exact_dedup.new_index(spark))
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8) stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them, the one at a source's cut in part."""
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("exact_dedup", exact),
+    ("ngram_jaccard", near),
+    ("mixing", mixture),
+    ("packing", packed),
+]
 
 #: Tokenizing cannot be written in SQL.
 ORACLE_SQL = None
