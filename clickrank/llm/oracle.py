@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-_WS = r"[ \t\n\x0B\f\r]"
-_WORD = r"[^ \t\n\x0B\f\r]+"
+_WS = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
 
 OP2 = rf"""
 WITH d AS (
@@ -26,13 +26,13 @@ WITH d AS (
 ), twice AS (
   SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1
 ), covered AS (
-  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS at FROM twice) GROUP BY doc_id
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2]) AS place FROM twice) GROUP BY doc_id
 ), lines AS (
   SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS same
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id
 ), m AS (
-  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          coalesce(lines.same, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
          coalesce(lines.n, 0) AS n_lines
@@ -49,4 +49,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 FROM b
 """
 
-STATEMENTS: dict[str, str] = {"op2_exact_dedup": OP2, "op4_quality_rules": OP4}
+OP7 = """
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS line,
+         translate(trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), c AS (
+  SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), f AS (
+  SELECT l.*, c.key IS NOT NULL AND l.doc_id < c.keeper AS gone FROM l LEFT JOIN c ON l.key = c.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+STATEMENTS: dict[str, str] = {"op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op7_line_dedup": OP7}

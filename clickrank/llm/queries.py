@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickrank.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
+from clickrank.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, token_output
+from clickrank.session import scratch_path
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -37,6 +38,20 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents written as token files and read back."""
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(read(spark, folder, "documents"), path)
+    return token_output.token_index(spark, path)
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of 40 or more code points in 5 or more documents stay in the document of the largest id only."""
+    found = line_dedup.drop_lines(read(spark, folder, "documents").select("doc_id", "text"))
+    lines = found["_lines"]
+    return found.select("doc_id", lines["n_lines"].alias("n_lines"), lines["n_dropped"].alias("n_dropped"), F.sha2(lines["text"], 256).alias("kept_sha256"))
+
+
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed at weights 5, 2, 1 by source, three epochs at most."""
     mixed = mixing.mix(read(spark, folder, "documents"))
@@ -52,6 +67,8 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op6_token_output": op6_token_output,
+    "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
     "op10_packing": op10_packing,
 }
