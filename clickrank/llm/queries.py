@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickrank.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, token_output
+from clickrank.llm import (
+    chat_quotes, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, token_output,
+)
 from clickrank.session import scratch_path
 
 
@@ -38,6 +40,11 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of secrets in all documents."""
+    return secret_scan.scan(read(spark, folder, "documents"))
+
+
 def op6_token_output(spark: SparkSession, folder: str) -> DataFrame:
     """All documents written as token files and read back."""
     path = scratch_path(spark, "tokens")
@@ -58,6 +65,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_chat_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations in reply order, without quotes."""
+    return chat_quotes.reply_order(read(spark, folder, "conversations"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into windows of 2048 ids."""
     return packing.pack(read(spark, folder, "documents"))
@@ -67,8 +79,10 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
     "op6_token_output": op6_token_output,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op9_chat_quotes": op9_chat_quotes,
     "op10_packing": op10_packing,
 }

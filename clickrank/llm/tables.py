@@ -21,9 +21,11 @@ def join_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id",
     return docs.join(ids, docs[id_col].cast("long") == ids[name], how)
 
 
-def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str) -> DataFrame:
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, name: str, how=F.sum) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of the same keys that come before, in ``order``.
 
+    ``how=F.max`` gives the maximum instead, NULL where nothing comes before; a sum is 0 there.
+
     Rows are range-partitioned by keys and order and written once. A part adds up what it holds of a key; the sums
     of earlier parts come from one row per key and part. No task holds a key, and nulls are keys like others.
     Rows that tie in ``order`` are summed in an order that the written files fix.
@@ -35,16 +37,19 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], val
         df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()),
         "placed",
     ).withColumn("_part", F.shiftright("_row", 33))
-    totals = placed.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    totals = placed.groupBy(*keys, "_part").agg(how(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = totals.withColumn("_begin", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+    begins = totals.withColumn("_begin", how("_sum").over(earlier))
     begins = begins.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_in"), "_begin")
     within = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
     match = F.col("_part") == F.col("_in")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    summed = placed.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return summed.join(begins, match).select(*df.columns, (F.col("_begin") + F.col("_within")).alias(name))
+    summed = placed.withColumn("_within", how(value).over(within)).join(begins, match)
+    if how is F.max:
+        return summed.select(*df.columns, F.greatest("_begin", "_within").alias(name))
+    zero = F.lit(0)
+    return summed.select(*df.columns, (F.coalesce("_begin", zero) + F.coalesce("_within", zero)).alias(name))
 
 
 def components(edges: DataFrame) -> DataFrame:
