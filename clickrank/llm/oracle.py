@@ -5,6 +5,28 @@ from __future__ import annotations
 _WS = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
+OP1 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), win AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM p
+), first AS (
+  SELECT h, min(doc_id) AS holder FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT win.doc_id, i + unnest(range(0, 13)) AS place FROM win JOIN first USING (h) WHERE win.doc_id > holder
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d
+), kept AS (
+  SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.place) AS kept, count(*) AS n
+  FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.place = words.place
+  WHERE gone.place IS NULL GROUP BY words.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
 OP2 = rf"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{_WS}', '', 'g')) AS text_sha256,
@@ -66,4 +88,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-STATEMENTS: dict[str, str] = {"op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op7_line_dedup": OP7}
+STATEMENTS: dict[str, str] = {"op1_substring_dedup": OP1, "op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op7_line_dedup": OP7}

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrank.llm import (
-    chat_quotes, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, token_output,
+    chat_quotes, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan,
+    substring_dedup, token_output,
 )
 from clickrank.session import scratch_path
 
@@ -17,6 +18,11 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the words of 13-word windows that a document of smaller id has."""
+    return substring_dedup.deduplicate(read(spark, folder, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as one batch of a new index."""
     index = exact_dedup.new_index(spark)
@@ -76,6 +82,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
