@@ -78,7 +78,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     """
     batch = stage(digests(docs, id_col, text), "digests")
     index.append(batch)
-    found = index.spark.read.parquet(index.path).select("digest", "keep_id", "group_size")
+    found = index.spark.read.schema(INDEX_SCHEMA).parquet(index.path).select("digest", "keep_id", "group_size")
     return batch.join(found, "digest").select(
         "doc_id", "digest", "keep_id", "group_size",
         F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull() & F.col("doc_id").isNull()).alias("kept"),
