@@ -1,4 +1,4 @@
-"""Encoding with a public tokenizer of the tokenizers library, one library call per distinct chunk.
+"""Encoding with a public tokenizer of the tokenizers library, one call per distinct chunk.
 
 Byte-pair encoders of this kind never merge over a boundary between a visible character and a following space or line
 break. A text is therefore cut there, every distinct chunk is encoded once by the library, and the ids of the chunks
@@ -18,16 +18,37 @@ _VISIBLE = "!-~À-ɏ"
 _SAFE_CUT = re.compile(rf"(?<=[{_VISIBLE}])(?=[ \n][{_VISIBLE}])")
 
 
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_STOPPED = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]").fullmatch
+
+
 class _Chunks(dict):
-    """Chunk to its ids as bytes; ``prefix`` is put before a chunk to be encoded."""
+    """Chunk to its ids as bytes; ``prefix`` is put before a chunk to be encoded.
+
+    A chunk of letters is one piece for the tokenizer's splitter, so the library's model encodes it without splitter and
+    normaliser. A final stop after letters is a piece of its own.
+    """
+
+    def __init__(self, tokenizer, lower: bool, prefix: str = "", stops: dict | None = None):
+        from tokenizers.pre_tokenizers import ByteLevel
 
-    def __init__(self, tokenizer, prefix: str = ""):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.model, self.prefix, self.lower = tokenizer, tokenizer.model, prefix, lower
+        self.stops = self if stops is None else stops
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(32, 256)) if c == " " or c.isalpha()}
+
+    def _ids(self, chunk: str) -> bytes:
+        if _LETTERS(chunk):
+            text = self.prefix + (chunk.lower() if self.lower else chunk)
+            return np.array([t.id for t in self.model.tokenize(text.translate(self.written))], "<u4").tobytes()
+        if _STOPPED(chunk):
+            return self[chunk[:-1]] + self.stops[chunk[-1]]
+        text = chunk if chunk[:1] == "\n" else self.prefix + chunk
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        text = chunk if chunk[:1] == "\n" else self.prefix + chunk
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._ids(chunk)
         if len(chunk) < 64:
             if len(self) >= KNOWN:
                 self.clear()
@@ -38,7 +59,7 @@ class _Chunks(dict):
 class ChunkEncoder:
     """``encode`` gives the ids of a whole text as bytes, equal to the library's ids of the whole text.
 
-    ``spaces_dropped`` says that the tokenizer drops white space, so that words can be encoded alone.
+    ``spaces_dropped`` says that the tokenizer drops white space and folds case, so that words can be encoded alone.
     """
 
     def __init__(self, path: str, spaces_dropped: bool):
@@ -46,8 +67,8 @@ class ChunkEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.spaces_dropped = spaces_dropped
-        self.whole = _Chunks(tokenizer)
-        self.spaced = _Chunks(tokenizer, " ")
+        self.whole = _Chunks(tokenizer, spaces_dropped)
+        self.spaced = _Chunks(tokenizer, spaces_dropped, " ", self.whole)
 
     def encode(self, text: str) -> bytes:
         flat = text.replace("\n", " ")
