@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from clickrank.operators.text import DEFAULT_SYSTEM_PROMPT
 from clickrank.schema import NA_TOKENS
 
+KEPT = 20  # history size of the models
+
 SHOWN = """
 docs_n AS (SELECT count(*) AS n FROM documents),
 seqd AS (
-  SELECT user_id, day(ts) AS day, ts, event_id, value, CAST(event_type IN ('click', 'purchase') AS INTEGER) AS clicked,
-         row_number() OVER (PARTITION BY user_id, day(ts) ORDER BY ts, event_id) - 1 AS seq
+  SELECT user_id, ts, event_id, value, CAST(event_type IN ('click', 'purchase') AS INTEGER) AS clicked,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq
   FROM events),
 shown AS (
-  SELECT user_id * 100 + day + (seq // 256) * 1000000000000 AS impression_id, 'U' || user_id AS user_id, day, ts,
-         event_id, CAST(seq - (seq // 256) * 256 AS INTEGER) AS pos, 'N' || (event_id % n) AS news_id, clicked, value
+  SELECT user_id * 1000000000 + seq // 8 AS impression_id, 'U' || user_id AS user_id, seq // 8 AS page, ts,
+         event_id, CAST(seq % 8 AS INTEGER) AS pos, 'N' || (event_id % n) AS news_id, clicked, value
   FROM seqd, docs_n)"""
 
+# A history is the clicks of the ten pages before.
 BEHAVIORS = SHOWN + """,
 imp AS (
-  SELECT impression_id, user_id, day, strftime(min(ts), '%-m/%-d/%Y %-I:%M:%S %p') AS time,
+  SELECT impression_id, user_id, page, CAST(min(ts) AS DATE) AS day, strftime(min(ts), '%-m/%-d/%Y %-I:%M:%S %p') AS time,
          string_agg(news_id || '-' || clicked, ' ' ORDER BY pos) AS impressions_str,
          list(clicked ORDER BY pos) AS labels
-  FROM shown GROUP BY impression_id, user_id, day),
-past AS (
-  SELECT imp.impression_id, c.news_id, row_number() OVER (PARTITION BY imp.impression_id ORDER BY c.ts, c.event_id) AS nth
-  FROM imp JOIN shown c ON c.user_id = imp.user_id AND c.day < imp.day AND c.clicked = 1),
-hist AS (SELECT impression_id, list(news_id ORDER BY nth) AS history FROM past WHERE nth <= 50 GROUP BY 1),
+  FROM shown GROUP BY impression_id, user_id, page),
+hist AS (
+  SELECT imp.impression_id, list(c.news_id ORDER BY c.ts, c.event_id) AS history
+  FROM imp JOIN shown c ON c.user_id = imp.user_id AND c.page BETWEEN imp.page - 10 AND imp.page - 1 AND c.clicked = 1
+  GROUP BY 1),
 beh AS (SELECT imp.*, hist.history FROM imp LEFT JOIN hist USING (impression_id))"""
 
 SPLIT = """
-train AS (SELECT DISTINCT 'U' || user_id AS user_id FROM events WHERE day(ts) < 2),
-val AS (SELECT DISTINCT 'U' || user_id AS user_id FROM events WHERE day(ts) >= 2),
+train AS (SELECT DISTINCT 'U' || user_id AS user_id FROM events WHERE CAST(ts AS DATE) < DATE '2024-01-02'),
+val AS (SELECT DISTINCT 'U' || user_id AS user_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-02'),
 user_index AS (
   SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) AS BIGINT) AS user_idx FROM train
   UNION ALL SELECT user_id, CAST(0 AS BIGINT) FROM val WHERE user_id NOT IN (SELECT user_id FROM train))"""
@@ -38,7 +40,7 @@ user_index AS (
 NEWS = """
 news AS (
   SELECT 'N' || doc_id AS news_id, lang AS category, source AS subcategory,
-         CASE WHEN trim(split_part(text, chr(10), 1)) <> '' THEN split_part(text, chr(10), 1) END AS title,
+         CASE WHEN trim(translate(text, chr(9) || chr(10), '  ')) <> '' THEN translate(text, chr(9) || chr(10), '  ') END AS title,
          text AS abstract, 'https://news.example/' || doc_id AS url
   FROM documents),
 descriptions AS (SELECT source AS category, arg_min(text, doc_id) AS description FROM documents GROUP BY 1)"""
@@ -75,21 +77,19 @@ uq AS (
   SELECT user_idx, list_transform(range(1, 65), lambda i: tanh(list_dot_product(h, w2_w[i]) + sin(23 * i + 2) / 8)) AS query
   FROM hidden, w2)"""
 
-HISTORIES = """
-used AS (
-  SELECT beh.impression_id, coalesce(history, CAST([] AS VARCHAR[])) AS history,
-         md5(array_to_string(coalesce(history, CAST([] AS VARCHAR[])), ' ')) AS history_key
-  FROM beh),
+HISTORIES = f"""
+cut AS (SELECT impression_id, coalesce(history, CAST([] AS VARCHAR[]))[1:{KEPT}] AS history FROM beh),
+used AS (SELECT impression_id, history, md5(array_to_string(history, ' ')) AS history_key FROM cut),
 keyed AS (SELECT DISTINCT history_key, history FROM used),
 slots AS (
-  SELECT history_key, 50 - len(history) AS pads, unnest(history) AS news_id, generate_subscripts(history, 1) - 1 AS slot
+  SELECT history_key, {KEPT} - len(history) AS pads, unnest(history) AS news_id, generate_subscripts(history, 1) - 1 AS slot
   FROM keyed)"""
 
-USER_VECTORS = HISTORIES + """,
+USER_VECTORS = HISTORIES + f""",
 dims AS (SELECT unnest(range(1, 65)) AS d),
 pooled AS (
   SELECT keyed.history_key, d,
-         coalesce(sum(exp(logit) * vec[d]), 0) / (coalesce(sum(exp(logit)), 0) + any_value(50 - len(history))) AS x
+         coalesce(sum(exp(logit) * vec[d]), 0) / (coalesce(sum(exp(logit)), 0) + any_value({KEPT} - len(history))) AS x
   FROM keyed LEFT JOIN slots USING (history_key) LEFT JOIN nl USING (news_id), dims
   GROUP BY 1, 2),
 user_vec AS (SELECT history_key, list(x ORDER BY d) AS user_vec FROM pooled GROUP BY 1)"""
@@ -157,10 +157,33 @@ sample AS (
          AS INTEGER) AS slot FROM picks),
 targets AS (SELECT impression_id, slot AS target FROM sample WHERE clicked = 1)"""
 
-FITTED = """
+def _fitted(size: int) -> str:
+    return f"""
 fitted AS (
   SELECT beh.impression_id, CAST(s AS INTEGER) AS slot, coalesce(history[s + 1], 'EMPTY_NEWS_ID') AS news_id
-  FROM beh, range(0, 10) AS r(s))"""
+  FROM beh, range(0, {size}) AS r(s))"""
+
+
+SAMPLED = """
+sampled AS (
+  SELECT sample.impression_id, sample.clicked, coalesce(round(list_dot_product(nv.vec, user_vec), 9), 0) AS score
+  FROM sample JOIN used USING (impression_id) JOIN user_vec USING (history_key) LEFT JOIN nv ON nv.news_id = sample.news_id)"""
+
+# Newton steps for an intercept and one weight.
+CLICK_MODEL = SAMPLED + """,
+model AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS b0, CAST(0 AS DOUBLE) AS b1
+  UNION ALL
+  SELECT step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+  FROM (
+    SELECT step, b0, b1, sum(clicked - p) AS g0, sum((clicked - p) * score) AS g1, sum(p * (1 - p)) AS h00,
+           sum(p * (1 - p) * score) AS h01, sum(p * (1 - p) * score * score) AS h11
+    FROM (SELECT step, b0, b1, score, clicked, 1 / (1 + exp(-b0 - b1 * score)) AS p FROM model, sampled WHERE step < 20)
+    GROUP BY step, b0, b1)),
+fit AS (SELECT b0, b1 FROM model WHERE step = 20)"""
+
+FITTED = _fitted(KEPT)
+NARROW = "md5(coalesce(title, '')) AS title_md5, CAST(length(coalesce(title, '')) AS INTEGER) AS title_length"
 
 TOKENS = r"""
 toks AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n]+'), lambda t: t <> '') AS words FROM documents)"""
@@ -191,8 +214,8 @@ proj AS (SELECT news_id, {projected('wq')}, {projected('wk')}, {projected('wv')}
 items AS (
   SELECT history_key, slot, 1 AS times, pads, q, k, v FROM slots JOIN proj USING (news_id)
   UNION ALL
-  SELECT history_key, len(history), 50 - len(history), 50 - len(history), list_transform(range(64), lambda i: 0.0),
-         NULL, NULL FROM keyed WHERE len(history) < 50),
+  SELECT history_key, len(history), {KEPT} - len(history), {KEPT} - len(history), list_transform(range(64), lambda i: 0.0),
+         NULL, NULL FROM keyed WHERE len(history) < {KEPT}),
 heads AS (SELECT unnest(range(1, 17)) AS h),
 pairs AS (
   SELECT a.history_key, a.slot, a.times, a.pads, h, b.v AS v,
@@ -215,7 +238,7 @@ def statements() -> dict[str, str]:
 
     # ---- sources
     sql["s1_read_news"] = f"""SELECT 'N' || doc_id AS news_id, lang AS category, source AS subcategory,
-        CASE WHEN trim(split_part(text, chr(10), 1)) <> '' THEN {_cleaned("split_part(text, chr(10), 1)", "x")[:-5]} END AS title,
+        CASE WHEN trim(translate(text, chr(9) || chr(10), '  ')) <> '' THEN {_cleaned("text", "x")[:-5]} END AS title,
         {_cleaned("text", "abstract")}, 'https://news.example/' || doc_id AS url FROM documents"""
     sql["s2_read_behaviors"] = f"""WITH {BEHAVIORS} SELECT impression_id, user_id, time,
         array_to_string(history, ' ') AS history_str, impressions_str FROM beh"""
@@ -223,7 +246,7 @@ def statements() -> dict[str, str]:
     sql["s4_write_descriptions"] = f"WITH {NEWS} SELECT category, description FROM descriptions"
     sql["s5_materialize"] = """SELECT user_id, CAST(count(*) AS BIGINT) AS n_events,
         CAST(sum(CAST(event_type IN ('click', 'purchase') AS INTEGER)) AS BIGINT) AS n_clicked FROM events GROUP BY 1"""
-    sql["s6_read_splits"] = f"""WITH {BEHAVIORS} SELECT 'small' AS size, CASE WHEN day < 2 THEN 'train' ELSE 'val' END AS split,
+    sql["s6_read_splits"] = f"""WITH {BEHAVIORS} SELECT 'small' AS size, CASE WHEN day < DATE '2024-01-02' THEN 'train' ELSE 'val' END AS split,
         impression_id, user_id, CAST(len(labels) AS INTEGER) AS n_candidates, CAST(coalesce(len(history), 0) AS INTEGER) AS n_history
         FROM beh"""
 
@@ -241,7 +264,7 @@ def statements() -> dict[str, str]:
     sql["p6_explode_candidates"] = sql["p2_parse_impressions"]
     sql["p7_append_empty_candidate"] = f"""WITH {SHOWN} SELECT impression_id, pos, news_id, clicked FROM shown UNION ALL
         SELECT impression_id, CAST(count(*) AS INTEGER), 'EMPTY_NEWS_ID', 0 FROM shown GROUP BY 1"""
-    sql["p8_fit_history"] = f"WITH {BEHAVIORS}, {FITTED} SELECT * FROM fitted"
+    sql["p8_fit_history"] = f"WITH {BEHAVIORS}, {_fitted(10)} SELECT * FROM fitted"
     sql["p9_label_vector"] = f"WITH {BEHAVIORS} SELECT impression_id, array_to_string(labels, ' ') AS labels FROM beh"
     sql["p10_target_index"] = f"WITH {BEHAVIORS}, {SAMPLE} SELECT * FROM targets"
     sql["p11_all_match"] = f"""WITH {SHOWN} SELECT 'label is 0 or 1' AS condition, bool_and(clicked IN (0, 1)) AS all_match FROM shown
@@ -250,18 +273,18 @@ def statements() -> dict[str, str]:
     sql["p12_uniq"] = f"WITH {SHOWN} SELECT DISTINCT news_id FROM shown"
 
     # ---- joins
-    sql["j1_candidate_titles"] = f"""WITH {SHOWN}, {NEWS} SELECT impression_id, pos, news_id, clicked, coalesce(title, '') AS title
+    sql["j1_candidate_titles"] = f"""WITH {SHOWN}, {NEWS} SELECT impression_id, pos, news_id, clicked, {NARROW}
         FROM shown LEFT JOIN news USING (news_id)"""
-    sql["j2_history_titles"] = f"""WITH {BEHAVIORS}, {FITTED}, {NEWS} SELECT impression_id, slot, news_id, coalesce(title, '') AS title
+    sql["j2_history_titles"] = f"""WITH {BEHAVIORS}, {FITTED}, {NEWS} SELECT impression_id, slot, news_id, {NARROW}
         FROM fitted LEFT JOIN news USING (news_id)"""
     sql["j3_with_empty_news"] = f"WITH {NEWS} SELECT news_id, title FROM news UNION ALL SELECT 'EMPTY_NEWS_ID', ''"
     sql["j4_attach_description"] = f"""WITH {NEWS} SELECT news_id, title, description AS category_description
         FROM news JOIN descriptions ON subcategory = descriptions.category"""
     template = "coalesce('The category is ' || subcategory, '') AS category_description"
-    sql["j5_candidate_texts"] = f"""WITH {SHOWN}, {NEWS} SELECT impression_id, pos, news_id, clicked, coalesce(title, '') AS title,
+    sql["j5_candidate_texts"] = f"""WITH {SHOWN}, {NEWS} SELECT impression_id, pos, news_id, clicked, {NARROW},
         {template} FROM shown LEFT JOIN news USING (news_id)"""
     sql["j5_history_texts"] = f"""WITH {BEHAVIORS}, {FITTED}, {NEWS} SELECT impression_id, slot, news_id,
-        coalesce(title, '') AS title, {template} FROM fitted LEFT JOIN news USING (news_id)"""
+        {NARROW}, {template} FROM fitted LEFT JOIN news USING (news_id)"""
     sql["j6_attach_user_idx"] = f"""WITH {BEHAVIORS}, {SPLIT} SELECT impression_id, user_id, coalesce(user_idx, 0) AS user_idx
         FROM beh LEFT JOIN user_index USING (user_id)"""
     sql["j7_validation_only_users"] = f"WITH {SPLIT} SELECT user_id FROM val EXCEPT SELECT user_id FROM train"
@@ -294,7 +317,7 @@ def statements() -> dict[str, str]:
         items AS (
           SELECT impression_id, 'candidate' AS part, slot, news_id, clicked FROM sample UNION ALL
           SELECT impression_id, 'history', slot, news_id, -1 FROM fitted WHERE impression_id IN (SELECT impression_id FROM targets))
-        SELECT impression_id, coalesce(user_idx, 0) AS user_idx, target, part, slot, news_id, clicked, coalesce(title, '') AS title, {template}
+        SELECT impression_id, coalesce(user_idx, 0) AS user_idx, target, part, slot, news_id, clicked, {NARROW}, {template}
         FROM items JOIN targets USING (impression_id) JOIN imp USING (impression_id) LEFT JOIN user_index USING (user_id)
         LEFT JOIN news USING (news_id)"""
     sql["x6_evaluation_examples"] = f"""WITH {BEHAVIORS}, {FITTED}, {NEWS}, {SPLIT},
@@ -303,7 +326,7 @@ def statements() -> dict[str, str]:
           SELECT impression_id, 'candidate', CAST(len(labels) AS INTEGER), 'EMPTY_NEWS_ID', 0 FROM imp UNION ALL
           SELECT impression_id, 'history', slot, news_id, -1 FROM fitted)
         SELECT impression_id, coalesce(user_idx, 0) AS user_idx, array_to_string(labels, ' ') || ' 0' AS labels, part, slot, news_id, clicked,
-        coalesce(title, '') AS title, {template}
+        {NARROW}, {template}
         FROM items JOIN imp USING (impression_id) LEFT JOIN user_index USING (user_id) LEFT JOIN news USING (news_id)"""
     sql["x7_assign_batches"] = f"""WITH {BEHAVIORS}, placed AS (
           SELECT impression_id, row_number() OVER (ORDER BY md5('42:1:batch:' || impression_id)) - 1 AS place FROM imp)
@@ -326,8 +349,7 @@ def statements() -> dict[str, str]:
     sql["t2_news_text_none"] = f"WITH {NEWS} SELECT news_id, title FROM news"
     sql["t2_news_text_template"] = f"WITH {NEWS} SELECT news_id, title, 'The category is ' || subcategory AS category_description FROM news"
     sql["t2_news_text_generated"] = sql["j4_attach_description"]
-    prompt = DEFAULT_SYSTEM_PROMPT.replace("'", "''")
-    sql["t3_generation_prompts"] = f"""SELECT DISTINCT source AS category, '{prompt}' AS system_prompt,
+    sql["t3_generation_prompts"] = f"""SELECT DISTINCT source AS category, 'Say what news of the named category deals with.' AS system_prompt,
         'The news category is ' || source AS user_prompt FROM documents"""
     sql["t4_generate_descriptions"] = """SELECT DISTINCT source AS category,
         CASE WHEN source NOT LIKE '%7' THEN 'Articles on: The news category is ' || source END AS description,
@@ -340,8 +362,7 @@ def statements() -> dict[str, str]:
         SELECT 'N' || doc_id AS news_id, array_to_string(list_transform(range(1, 65), lambda i: {ids}), ' ') AS input_ids,
         CAST(len(seq) AS INTEGER) AS n_ids FROM seqs"""
     sql["t6_encode_text_pairs"] = rf"""WITH {VOCAB},
-        sides AS (SELECT doc_id, list_filter(string_split_regex(split_part(text, chr(10), 1), '[ \t\n]+'), lambda t: t <> '') AS a, words AS b
-          FROM documents JOIN toks USING (doc_id)),
+        sides AS (SELECT doc_id, words AS a, words AS b FROM toks),
         budget AS (SELECT *, len(a) AS la, len(b) AS lb FROM sides),
         kept AS (SELECT doc_id,
           a[1 : CASE WHEN la + lb <= 61 THEN la WHEN least(la, lb) <= 30 THEN CASE WHEN la > lb THEN 61 - lb ELSE la END
@@ -363,8 +384,9 @@ def statements() -> dict[str, str]:
     sql["m1_encode_news"] = """SELECT 'N' || doc_id AS news_id, array_to_string(list_transform(range(97, 123),
         lambda c: length(text) - length(replace(text, chr(CAST(c AS INTEGER)), ''))), ' ') AS vec FROM documents"""
     sql["m2_additive_attention_pool"] = f"""WITH {SHOWN}, {LOGITS}, dims AS (SELECT unnest(range(1, 65)) AS d)
-        SELECT impression_id, CAST(d - 1 AS INTEGER) AS dim, round(sum(exp(logit) * vec[d]) / sum(exp(logit)), 6) AS x
-        FROM shown JOIN nl USING (news_id), dims GROUP BY 1, 2"""
+        SELECT impression_id, CAST(d - 1 AS INTEGER) AS dim, 
+        round(sum(exp(coalesce(logit, 0)) * coalesce(vec[d], 0)) / sum(exp(coalesce(logit, 0))), 6) AS x
+        FROM shown LEFT JOIN nl ON nl.news_id = shown.news_id AND pos <> 3, dims GROUP BY 1, 2"""
     sql["m3_personalized_attention_pool"] = f"""WITH {SHOWN}, {SPLIT}, {VECTORS}, {QUERIES_SQL}, dims AS (SELECT unnest(range(1, 65)) AS d),
         weighted AS (SELECT impression_id, nv.vec, exp(list_dot_product(nv.vec, query)) AS e
           FROM shown JOIN user_index USING (user_id) JOIN uq USING (user_idx) JOIN nv USING (news_id))
@@ -374,14 +396,14 @@ def statements() -> dict[str, str]:
     sql["m5_user_vector_additive"] = f"""WITH {BEHAVIORS}, {LOGITS}, {USER_VECTORS}
         SELECT history_key, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS x FROM pooled"""
     sql["m6_user_vector_personalized"] = f"""WITH {BEHAVIORS}, {SPLIT}, {VECTORS}, {QUERIES_SQL},
-        used AS (SELECT DISTINCT coalesce(user_idx, 0) AS user_idx, coalesce(history, CAST([] AS VARCHAR[])) AS history
+        used AS (SELECT DISTINCT coalesce(user_idx, 0) AS user_idx, coalesce(history, CAST([] AS VARCHAR[]))[1:{KEPT}] AS history
           FROM beh LEFT JOIN user_index USING (user_id)),
         slots AS (SELECT user_idx, history, unnest(history) AS news_id FROM used),
         dims AS (SELECT unnest(range(1, 65)) AS d),
         weighted AS (SELECT user_idx, history, vec, exp(list_dot_product(vec, query)) AS e
           FROM slots JOIN uq USING (user_idx) JOIN nv USING (news_id))
         SELECT user_idx, md5(array_to_string(history, ' ')) AS history_key, CAST(d - 1 AS INTEGER) AS dim,
-        round(coalesce(sum(e * vec[d]), 0) / (coalesce(sum(e), 0) + 50 - len(history)), 6) AS x
+        round(coalesce(sum(e * vec[d]), 0) / (coalesce(sum(e), 0) + {KEPT} - len(history)), 6) AS x
         FROM used LEFT JOIN weighted USING (user_idx, history), dims GROUP BY user_idx, history, d"""
     sql["m7_user_vector_selfattn"] = f"""WITH {BEHAVIORS}, {VECTORS}, {HISTORIES}, {_self_attention()}, {_matrix('add', 64, 8, 7)},
         weighted AS (SELECT history_key, vec, times * exp(list_sum(list_transform(range(1, 9),
@@ -390,12 +412,15 @@ def statements() -> dict[str, str]:
         SELECT history_key, CAST(d - 1 AS INTEGER) AS dim, round(sum(e * vec[d]) / sum(e), 6) AS x FROM weighted, dims GROUP BY 1, 2"""
     sql["m8_score_candidates"] = f"WITH {SCORED} SELECT impression_id, pos, news_id, clicked, score FROM scored"
     sql["m9_listwise_loss"] = f"""WITH {SCORED}, {SAMPLE},
-        sampled AS (SELECT sample.impression_id, sample.clicked,
-            coalesce(round(list_dot_product(nv.vec, user_vec), 9), 0) AS score
-          FROM sample JOIN used USING (impression_id) JOIN user_vec USING (history_key) LEFT JOIN nv ON nv.news_id = sample.news_id),
+        {SAMPLED},
         losses AS (SELECT impression_id, ln(sum(exp(score))) - max(CASE WHEN clicked = 1 THEN score END) AS loss FROM sampled GROUP BY 1)
         SELECT count(*) AS samples, round(avg(loss), 6) AS loss FROM losses"""
 
+    sql["m10_fit_ranker"] = f"""WITH RECURSIVE {SCORED}, {SAMPLE}, {CLICK_MODEL}
+        SELECT CAST(0 AS INTEGER) AS place, round(b0, 4) AS weight FROM fit UNION ALL SELECT CAST(1 AS INTEGER), round(b1, 4) FROM fit"""
+    sql["m11_score_with_ranker"] = f"""WITH RECURSIVE {SCORED}, {SAMPLE}, {CLICK_MODEL}
+        SELECT impression_id, pos, news_id, clicked, round(b0 + b1 * score, 3) AS score FROM scored, fit"""
+
     # ---- reports: one run per text method, scored by the number of letters, words and lines of the text
     sql["a10_compare_runs"] = f"""WITH {SHOWN}, {NEWS},
         texts AS (

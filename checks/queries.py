@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +21,17 @@ from clickrank.operators import ranking as rank
 from clickrank.operators import reports, sampling, scoring, text, users
 from clickrank.operators.scale import fits_broadcast
 from clickrank.plans.evaluation import score_behaviors
-from clickrank.plans.training import sampled_candidates, train_ranker
-from clickrank.session import scratch_path
+from clickrank.plans.training import sampled_candidates
+from clickrank.session import scratch_path, stage
 from clickrank.sources import cache, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 
 SEED, EPOCH, NPRATIO = 42, 1, 4
-HISTORY_SIZE = 50      # of the models
-SHORT_HISTORY = 10     # where truncation is to be seen
+HISTORY_SIZE = 20      # of the models; less than the longest history of the given tables
+SHORT_HISTORY = 10     # of p8, whose feature is the cut
+SYSTEM_PROMPT = "Say what news of the named category deals with."
 
 POOLING = att.AdditiveWeights(t.waves(64, 8, 7), np.zeros(8), np.sin(13 * np.arange(1, 9) + 3))
 PERSONAL = att.PersonalizedWeights(
@@ -61,6 +63,12 @@ def _dims(df: DataFrame, vec: str) -> DataFrame:
     return df.select(*kept, F.posexplode(vec).alias("dim", "x")).select(*kept, "dim", F.round("x", 6).alias("x"))
 
 
+def _narrow(df: DataFrame) -> DataFrame:
+    """The title's md5 and length instead of the title, where a query repeats whole texts."""
+    named = [F.md5("title").alias("title_md5"), F.length("title").alias("title_length")]
+    return df.select(*[c for c in df.columns if c != "title"], *named)
+
+
 def _joined(array: str) -> F.Column:
     return F.array_join(F.col(array).cast("array<string>"), " ").alias(array)
 
@@ -131,7 +139,7 @@ def s5_materialize(spark, sf):
 def s6_read_splits(spark, sf):
     root = scratch_path(spark, "splits")
     dated = t.dated_behaviors(spark, sf)
-    first = F.col("day") < t.FIRST_VALIDATION_DAY
+    first = F.col("day") < F.lit(t.FIRST_VALIDATION_DAY).cast("date")
     _write_log(dated.where(first), f"{root}/small/train/behaviors.tsv")
     _write_log(dated.where(~first), f"{root}/small/val/behaviors.tsv")
     both = files.read_splits(spark, root, which=(("small", "train"), ("small", "val")))
@@ -236,13 +244,13 @@ def _templated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def j1_candidate_titles(spark, sf):
-    return look.candidate_titles(t.candidates(spark, sf), t.news(spark, sf))
+    return _narrow(look.candidate_titles(t.candidates(spark, sf), t.news(spark, sf)))
 
 
 @query
 def j2_history_titles(spark, sf):
-    titled = look.history_titles(t.behaviors(spark, sf), t.news(spark, sf), SHORT_HISTORY)
-    return titled.select("impression_id", F.inline("history"))
+    titled = look.history_titles(t.behaviors(spark, sf), t.news(spark, sf), HISTORY_SIZE)
+    return _narrow(titled.select("impression_id", F.inline("history")))
 
 
 @query
@@ -257,13 +265,13 @@ def j4_attach_description(spark, sf):
 
 @query
 def j5_candidate_texts(spark, sf):
-    return look.candidate_texts(t.candidates(spark, sf), _templated(spark, sf))
+    return _narrow(look.candidate_texts(t.candidates(spark, sf), _templated(spark, sf)))
 
 
 @query
 def j5_history_texts(spark, sf):
-    described = look.history_texts(t.behaviors(spark, sf), _templated(spark, sf), SHORT_HISTORY)
-    return described.select("impression_id", F.inline("history"))
+    described = look.history_texts(t.behaviors(spark, sf), _templated(spark, sf), HISTORY_SIZE)
+    return _narrow(described.select("impression_id", F.inline("history")))
 
 
 @query
@@ -356,17 +364,15 @@ def a9_user_set_union(spark, sf):
 def a10_compare_runs(spark, sf):
     """Two models (short texts first, long texts first) under three text methods."""
     news = t.news(spark, sf)
-    methods = {
-        "title_only": text.news_text(news, text.TITLE_ONLY),
-        "template": text.news_text(news, text.TEMPLATE),
-        "generated": text.news_text(news, "gpt4", t.descriptions(spark, sf)),
-    }
-    sizes = []
-    for name, texts in methods.items():
-        size = F.length(F.concat_ws("", *[c for c in texts.columns if c != "news_id"]))
-        sizes.append(texts.select("news_id", size.cast("double").alias(name)))
-    wide = reduce(lambda a, b: look.lookup(a, b, "news_id"), sizes)
-    shown = look.lookup(t.candidates(spark, sf), wide, "news_id")
+    methods = ("title_only", "template", "generated")
+    length = F.length(F.coalesce("title", F.lit("")))
+    described = look.attach_description(news, t.descriptions(spark, sf)).select(
+        "news_id", length.cast("double").alias("title_only"), (length + F.length("category_description")).cast("double").alias("generated")
+    )
+    templated = text.news_text(news.select("news_id", "subcategory", F.lit("").alias("title")), text.TEMPLATE)
+    sizes = described.join(templated.select("news_id", F.length("category_description").alias("_more")), "news_id")
+    wide = sizes.select("news_id", "title_only", (F.col("title_only") + F.col("_more")).alias("template"), "generated")
+    shown = look.lookup(t.candidates(spark, sf), stage(wide, "sizes"), "news_id")
     runs = shown.unpivot(["impression_id", "pos", "clicked"], list(methods), "method", "size")
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).alias("sign")) for m, s in (("short", -1.0), ("long", 1.0))]))
     scored = runs.withColumn("_m", models).select(
@@ -409,23 +415,25 @@ def x4_seeded_key(spark, sf):
 
 
 def _unpacked(examples: DataFrame, *carried: str) -> DataFrame:
-    """Candidates and history of full rows, one row per item; -1 stands for no label."""
-    kept = ["impression_id", "user_idx", *carried]
-
-    def part(name: str, clicked) -> DataFrame:
-        rows = examples.select(*kept, F.posexplode(name).alias("slot", "_i"))
-        return rows.select(
-            *kept, F.lit("candidate" if name == "candidates" else name).alias("part"), "slot", "_i.news_id",
-            clicked.alias("clicked"), "_i.title", "_i.category_description",
+    """Candidates and history of full rows, one row per item, in one pass; -1 stands for no label."""
+
+    def tagged(array: str, part: str, clicked) -> F.Column:
+        return F.transform(
+            array,
+            lambda x, i: F.struct(
+                F.lit(part).alias("part"), i.alias("slot"), x["news_id"].alias("news_id"), clicked(x).alias("clicked"),
+                x["title"].alias("title"), x["category_description"].alias("category_description"),
+            ),
         )
 
-    return part("candidates", F.col("_i.clicked")).unionByName(part("history", F.lit(-1)))
+    items = F.concat(tagged("candidates", "candidate", lambda x: x["clicked"]), tagged("history", "history", lambda x: F.lit(-1)))
+    return _narrow(examples.select("impression_id", "user_idx", *carried, F.inline(items)))
 
 
 @query
 def x5_training_examples(spark, sf):
     examples = sampling.training_examples(
-        t.behaviors(spark, sf), _templated(spark, sf), t.user_index(spark, sf), NPRATIO, SHORT_HISTORY, SEED, EPOCH
+        t.behaviors(spark, sf), _templated(spark, sf), t.user_index(spark, sf), NPRATIO, HISTORY_SIZE, SEED, EPOCH
     )
     return _unpacked(examples, "target")
 
@@ -433,7 +441,7 @@ def x5_training_examples(spark, sf):
 @query
 def x6_evaluation_examples(spark, sf):
     examples = sampling.evaluation_examples(
-        t.behaviors(spark, sf), _templated(spark, sf), t.user_index(spark, sf), SHORT_HISTORY
+        t.behaviors(spark, sf), _templated(spark, sf), t.user_index(spark, sf), HISTORY_SIZE
     )
     return _unpacked(examples.withColumn("labels", _joined("labels")), "labels")
 
@@ -470,22 +478,22 @@ def w3_ideal_rank(spark, sf):
 
 @query
 def w4_dcg_at_k(spark, sf):
-    return _rounded(rank.dcg_at_k(_valued(spark, sf), 5), "dcg")
+    return _rounded(rank.dcg_at_k(_valued(spark, sf), 5, bounded=True), "dcg")
 
 
 @query
 def w5_ndcg_at_k(spark, sf):
-    return _rounded(rank.ndcg_at_k(_valued(spark, sf), 5), "ndcg")
+    return _rounded(rank.ndcg_at_k(_valued(spark, sf), 5, bounded=True), "ndcg")
 
 
 @query
 def w6_mrr(spark, sf):
-    return _rounded(rank.mrr(_valued(spark, sf)), "mrr")
+    return _rounded(rank.mrr(_valued(spark, sf), bounded=True), "mrr")
 
 
 @query
 def w7_auc(spark, sf):
-    return _rounded(rank.auc(_valued(spark, sf)), "auc")
+    return _rounded(rank.auc(_valued(spark, sf), bounded=True), "auc")
 
 
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -535,7 +543,7 @@ def _categories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def t3_generation_prompts(spark, sf):
-    return text.generation_prompts(_categories(spark, sf))
+    return text.generation_prompts(_categories(spark, sf), SYSTEM_PROMPT)
 
 
 def _answer(system_prompt: str, user_prompt: str) -> str:
@@ -546,7 +554,7 @@ def _answer(system_prompt: str, user_prompt: str) -> str:
 
 @query
 def t4_generate_descriptions(spark, sf):
-    return text.generate_descriptions(text.generation_prompts(_categories(spark, sf)), _answer, max_attempts=2)
+    return text.generate_descriptions(text.generation_prompts(_categories(spark, sf), SYSTEM_PROMPT), _answer, max_attempts=2)
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
@@ -592,7 +600,9 @@ def m1_encode_news(spark, sf):
 
 @query
 def m2_additive_attention_pool(spark, sf):
-    items = t.candidates(spark, sf).select("impression_id", "news_id")
+    """The fourth candidate of a page is news that nobody knows."""
+    known = F.when(F.col("pos") != 3, F.col("news_id")).otherwise("unknown")
+    items = t.candidates(spark, sf).select("impression_id", known.alias("news_id"))
     return _dims(att.additive_attention_pool(items, ["impression_id"], t.news_vectors(spark, sf), POOLING), "pooled")
 
 
@@ -656,24 +666,28 @@ def m9_listwise_loss(spark, sf):
     return _rounded(scoring.listwise_loss(_sampled_scores(spark, sf)), "loss")
 
 
-def _ranker(behaviors: DataFrame, vectors: DataFrame):
-    return train_ranker(behaviors, vectors, POOLING, NPRATIO, HISTORY_SIZE, seed=SEED)
+def _ranker(spark: SparkSession, sf: str):
+    """A click model on one feature, the score of the additive model; fillers of the sample are trained on too."""
+    return scoring.fit_ranker(_one_feature(_sampled_scores(spark, sf)), epochs=200, tolerance=1e-12)
+
+
+def _one_feature(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("features", array_to_vector(F.array("score")))
 
 
 @query
 def m10_fit_ranker(spark, sf):
     """The stored and loaded model's weights."""
     path = scratch_path(spark, "ranker")
-    scoring.save_ranker(_ranker(t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)), path)
+    scoring.save_ranker(_ranker(spark, sf), path)
     model = scoring.load_ranker(path)
-    weights = [(i, float(w)) for i, w in enumerate([model.intercept, *model.coefficients])]
+    weights = [(i, round(float(w), 4)) for i, w in enumerate([model.intercept, *model.coefficients])]
     return spark.createDataFrame(weights, "place int, weight double")
 
 
 @query
 def m11_score_with_ranker(spark, sf):
-    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
-    user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
-    with_user = att.attach_history_vector(rows, user_vectors, HISTORY_SIZE)
-    features = scoring.ranker_features(beh.explode_candidates(with_user, keep=("user_vec",)), vectors)
-    return scoring.score_with_ranker(features, _ranker(rows, vectors))
+    """The click model's score of every candidate, the empty one included."""
+    scored = model_scores(spark, sf).withColumnRenamed("score", "model_score")
+    features = _one_feature(scored.withColumnRenamed("model_score", "score")).drop("score")
+    return scoring.score_with_ranker(features, _ranker(spark, sf)).withColumn("score", F.round("score", 3))

@@ -10,10 +10,11 @@ from clickrank.operators.scale import HOT_ROWS, lookup, number_rows, spread
 from clickrank.operators.users import build_user_index
 from clickrank.session import stage
 
-LINE_CANDIDATES = 256        # a user-day with more events is logged as several impressions
-NEXT_LINE = 1_000_000_000_000
-HISTORY_KEPT = 50
-FIRST_VALIDATION_DAY = 2
+PAGE = 8                        # events of a user that one impression shows
+LOOK_BACK = 10                  # pages before it whose clicks an impression logs as its history
+BLOCK = 1_000                   # pages of a user that one task orders
+USER_IDS = 1_000_000_000        # an impression id is the user's number times this plus the page
+FIRST_VALIDATION_DAY = "2024-01-02"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +32,11 @@ def n_rows(spark: SparkSession, sf_dir: str, name: str) -> int:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(user, user_id, day, ts, event_id, news_id, clicked)``: one row per event."""
+    """``(user, user_id, ts, event_id, news_id, clicked)``: one row per event."""
     n_docs = n_rows(spark, sf_dir, "documents")
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("user"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"),
-        F.day("ts").alias("day"),
         "ts",
         "event_id",
         F.concat(F.lit("N"), F.pmod("event_id", F.lit(n_docs)).cast("string")).alias("news_id"),
@@ -45,22 +45,19 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shown_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event log with ``impression_id`` and ``pos``.
-
-    An impression is a user-day, cut into lines of at most ``LINE_CANDIDATES`` events.
-    """
+    """The event log with ``impression_id``, ``page`` and ``pos``: an impression is a page of ``PAGE`` events of a user."""
     order = [F.col("ts").asc(), F.col("event_id").asc()]
     # No group is larger than the table, so a small table needs no count of its groups.
     small = n_rows(spark, sf_dir, "events") <= HOT_ROWS
-    numbered = number_rows(event_log(spark, sf_dir), ["user_id", "day"], order, "seq", 0, small, HOT_ROWS)
-    line = F.floor(F.col("seq") / LINE_CANDIDATES)
+    numbered = number_rows(event_log(spark, sf_dir), ["user_id"], order, "seq", 0, small, HOT_ROWS)
+    page = F.floor(F.col("seq") / PAGE)
     return numbered.select(
-        (F.col("user") * 100 + F.col("day") + line * NEXT_LINE).alias("impression_id"),
+        (F.col("user") * USER_IDS + page).alias("impression_id"),
         "user_id",
-        "day",
+        page.alias("page"),
         "ts",
         "event_id",
-        (F.col("seq") - line * LINE_CANDIDATES).cast("int").alias("pos"),
+        F.pmod("seq", F.lit(PAGE)).cast("int").alias("pos"),
         "news_id",
         "clicked",
     )
@@ -70,35 +67,32 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_news(spark, sf_dir).select("impression_id", "pos", "news_id", "clicked")
 
 
-def first_clicks(log: DataFrame) -> DataFrame:
-    """Per user the first clicks. The history of a later day is a prefix of these, since it keeps the first
-    ``HISTORY_KEPT`` clicks of earlier days: no join of events with events is needed."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = (
-        log.where(F.col("clicked") == 1)
-        .select("user_id", "day", "ts", "event_id", "news_id", F.row_number().over(order).alias("nth"))
-        .where(F.col("nth") <= HISTORY_KEPT)
-    )
-    return first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("nth", "day", "news_id"))).alias("clicks"))
+def with_history(pages: DataFrame) -> DataFrame:
+    """``history`` of every page: the clicks of the user's ``LOOK_BACK`` preceding pages, in order; NULL without any.
+
+    A user's pages are ordered in blocks, each with the last pages of the block before it as context, so that one
+    user's pages are spread over tasks and a frame never holds more than ``LOOK_BACK`` pages.
+    """
+    block, place = F.floor(F.col("page") / BLOCK), F.pmod("page", F.lit(BLOCK))
+    blocks = F.when(place >= BLOCK - LOOK_BACK, F.array(block, block + 1)).otherwise(F.array(block))
+    frame = Window.partitionBy("user_id", "_block").orderBy("page").rowsBetween(-LOOK_BACK, -1)
+    clicked = F.transform(F.filter("impressions", lambda x: x["clicked"] == 1), lambda x: x["news_id"])
+    placed = pages.withColumn("_clicks", clicked).withColumn("_block", F.explode(blocks))
+    framed = placed.withColumn("_past", F.flatten(F.collect_list("_clicks").over(frame))).where(F.col("_block") == block)
+    return framed.select(*pages.columns, F.when(F.size("_past") > 0, F.col("_past")).alias("history"))
 
 
 def dated_behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parsed impression table with its day; one row per impression.
-
-    The numbering has placed the events by user and day, which also serves the packing.
-    """
-    shown = shown_news(spark, sf_dir)
-    lines = shown.groupBy("impression_id", "user_id", "day").agg(
-        F.date_format(F.min("ts"), "M/d/yyyy h:mm:ss a").alias("time"),
-        F.array_sort(F.collect_list(F.struct("pos", "news_id", "clicked"))).alias("items"),
+    """The parsed impression table with its day; one row per impression."""
+    pages = shown_news(spark, sf_dir).groupBy("impression_id", "user_id", "page").agg(
+        F.min("ts").alias("_first"), F.array_sort(F.collect_list(F.struct("pos", "news_id", "clicked"))).alias("items")
     )
-    joined = lookup(lines, first_clicks(event_log(spark, sf_dir)), "user_id", derived=True)
-    earlier = F.transform(F.filter("clicks", lambda c: c["day"] < F.col("day")), lambda c: c["news_id"])
     items = F.transform("items", lambda x: F.struct(x["news_id"].alias("news_id"), x["clicked"].alias("clicked")))
-    # Two steps, so that the list is made once and not again for its size.
-    listed = joined.select("impression_id", "user_id", "time", "day", earlier.alias("_past"), items.alias("impressions"))
-    history = F.when(F.size("_past") > 0, F.col("_past")).alias("history")
-    return listed.select("impression_id", "user_id", "time", history, "impressions", "day")
+    listed = pages.select("impression_id", "user_id", "page", "_first", items.alias("impressions"))
+    return with_history(listed).select(
+        "impression_id", "user_id", F.date_format("_first", "M/d/yyyy h:mm:ss a").alias("time"), "history", "impressions",
+        F.to_date("_first").alias("day"),
+    )
 
 
 def behaviors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +116,9 @@ def log_lines(behaviors: DataFrame) -> DataFrame:
 def train_val(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All impressions, the first day for training and the later days for validation."""
     dated = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), F.day("ts").alias("day")
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_id"), F.to_date("ts").alias("day")
     )
-    first = F.col("day") < FIRST_VALIDATION_DAY
+    first = F.col("day") < F.lit(FIRST_VALIDATION_DAY).cast("date")
     return dated.where(first).select("user_id"), dated.where(~first).select("user_id")
 
 
@@ -137,12 +131,12 @@ def one_line(text) -> F.Column:
 
 
 def news(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
-    """Documents as news: the first line is the title, the whole text the abstract.
+    """Documents as news: the title is the whole text on one line, the abstract the text as it is.
 
-    ``spread_out`` is for work on every word of the abstracts.
+    ``spread_out`` is for work on every word of the texts.
     """
     text = F.col("text")
-    title = F.split(text, "\n", 2)[0]
+    title = one_line(text)
     docs = table(spark, sf_dir, "documents")
     return (spread(docs) if spread_out else docs).select(
         F.concat(F.lit("N"), F.col("doc_id").cast("string")).alias("news_id"),

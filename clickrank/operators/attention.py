@@ -30,6 +30,7 @@ from clickrank.functions.dense import (
     vector_array,
 )
 from clickrank.functions.vectors import dot
+from clickrank.operators.lookup import require_keys
 from clickrank.operators.scale import lookup
 from clickrank.schema import EMPTY_NEWS_ID
 
@@ -138,13 +139,21 @@ def softmax_pool(items: DataFrame, keys: Sequence[str], logit_bound: float, name
 
 
 def additive_attention_pool(
-    items: DataFrame, keys: Sequence[str], vectors: DataFrame, weights: AdditiveWeights, name: str = "pooled"
-) -> DataFrame:
-    """M2: pools the vectors of each group's items; ``items`` has the keys and ``news_id``."""
+    items: DataFrame, keys: Sequence[str], vectors: DataFrame, weights: AdditiveWeights, name: str = "pooled",
+    empty: Sequence[float] | None = None, strict: bool = False, fits: bool | None = None,
+) -> DataFrame:
+    """M2: pools the vectors of each group's items; ``items`` has the keys and ``news_id``.
+
+    Unknown news count as the empty news (zeros unless given), so that no item and no group is lost; ``strict`` raises.
+    """
     vectors = vectors.select("news_id", "vec")
-    weighed = additive_logits(vectors, weights).withColumn("vec", array_to_vector("vec"))  # once per news item
-    joined = lookup(items.withColumn("times", F.lit(1)), weighed, "news_id", "inner", size_of=vectors)
-    return softmax_pool(joined, keys, float(np.abs(weights.v).sum()), name)
+    if strict:
+        require_keys(items, vectors, "news_id")
+    vec = empty_vector(len(weights.w), empty)
+    fill = float(np.tanh(np.asarray(vec) @ weights.w + weights.b) @ weights.v)
+    joined = lookup(items.withColumn("times", F.lit(1)), additive_logits(vectors, weights), "news_id", size_of=vectors, fits=fits)
+    filled = joined.withColumns({"vec": F.coalesce("vec", _literal(vec)), "logit": F.coalesce("logit", F.lit(fill))})
+    return softmax_pool(filled, keys, float(np.abs(weights.v).sum()), name)
 
 
 def _l1_bound(vectors: DataFrame) -> float:
@@ -160,12 +169,24 @@ def personalized_attention_pool(
     user_vectors: DataFrame,
     weights: PersonalizedWeights,
     name: str = "pooled",
+    empty: Sequence[float] | None = None,
+    strict: bool = False,
+    fits: bool | None = None,
 ) -> DataFrame:
-    """M3: as M2, with logits from the user's query; ``items`` has the keys, ``news_id`` and ``user_idx``."""
+    """M3: as M2, with logits from the user's query; ``items`` has the keys, ``news_id`` and ``user_idx``.
+
+    A user without a vector asks with zeros, which weighs all items alike; ``strict`` raises for users and news.
+    """
+    if strict:
+        require_keys(items, user_vectors, "user_idx")
+        require_keys(items, vectors, "news_id")
+    vec = empty_vector(weights.w2.shape[1], empty)
     queries = personal_queries(user_vectors, weights)
-    asked = lookup(items.withColumn("times", F.lit(1)), queries, "user_idx", "inner", size_of=user_vectors)
-    joined = lookup(asked, vectors.select("news_id", "vec"), "news_id", "inner")
-    return softmax_pool(joined.withColumn("logit", dot(F.col("vec"), F.col("query"))), keys, _l1_bound(vectors), name)
+    asked = lookup(items.withColumn("times", F.lit(1)), queries, "user_idx", size_of=user_vectors)
+    joined = lookup(asked, vectors.select("news_id", "vec"), "news_id", fits=fits)
+    filled = joined.withColumns({"vec": F.coalesce("vec", _literal(vec)), "query": F.coalesce("query", _literal([0.0] * len(vec)))})
+    bound = max(_l1_bound(vectors), float(np.abs(vec).sum()))
+    return softmax_pool(filled.withColumn("logit", dot(F.col("vec"), F.col("query"))), keys, bound, name)
 
 
 def _packed_items(items: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -227,13 +248,14 @@ def user_vector_personalized(
     empty: Sequence[float] | None = None,
     fits: bool | None = None,
 ) -> DataFrame:
-    """M6: ``(user_idx, history_key, user_vec)``; ``behaviors`` carries ``user_idx``."""
+    """M6: ``(user_idx, history_key, user_vec)``; ``behaviors`` carries ``user_idx``. Unknown users as in M3."""
     fill = {"vec": _literal(empty_vector(weights.w2.shape[1], empty))}
     items = history_items(distinct_histories(behaviors, history_size, "user_idx"), history_size, mask_empty)
     vectors = news_vectors.select("news_id", "vec")
     packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, fits=fits), ["user_idx", "history_key"])
     queries = personal_queries(user_vectors, weights)
-    asked = lookup(packed, queries, "user_idx", "inner", size_of=user_vectors)
+    asked = lookup(packed, queries, "user_idx", size_of=user_vectors)
+    asked = asked.withColumn("query", F.coalesce("query", _literal([0.0] * weights.w2.shape[1])))
     return _pool_histories(asked, ["user_idx", "history_key"])
 
 

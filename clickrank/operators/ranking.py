@@ -53,18 +53,15 @@ def _discounted() -> Column:
     return (F.pow(F.lit(2.0), F.col("clicked")) - 1) / F.log2(F.col("rank") + 1)
 
 
-def dcg_at_k(scored: DataFrame, k: int, keys: Sequence[str] = IMPRESSION) -> DataFrame:
-    """Sum of (2^label - 1) / log2(rank + 1) over the first k ranks."""
-    return top_k(scored, k, keys).groupBy(*keys).agg(F.sum(_discounted()).alias("dcg"))
+def dcg_at_k(scored: DataFrame, k: int, bounded: bool = False, limit: int = HOT_ROWS, keys: Sequence[str] = IMPRESSION) -> DataFrame:
+    """Sum of (2^label - 1) / log2(rank + 1) over the first k ranks; NULL as in ``evaluate``."""
+    return _sums(scored, (k,), bounded, limit, keys).select(*keys, _complete(F.col(f"dcg_{k}")).alias("dcg"))
 
 
-def ndcg_at_k(scored: DataFrame, k: int, keys: Sequence[str] = IMPRESSION) -> DataFrame:
-    """DCG over the DCG of the best possible order; NULL without a positive."""
-    rows = scored.select(*keys, "pos", "clicked", "score")
-    actual = _first_k(rows, _by_score(), k, keys).select(*keys, _discounted().alias("dcg"), F.lit(0.0).alias("ideal"))
-    ideal = _first_k(rows, _by_label(), k, keys).select(*keys, F.lit(0.0).alias("dcg"), _discounted().alias("ideal"))
-    sums = actual.unionByName(ideal).groupBy(*keys).agg(F.sum("dcg").alias("dcg"), F.sum("ideal").alias("ideal"))
-    return sums.select(*keys, _ratio("dcg", "ideal").alias("ndcg"))
+def ndcg_at_k(scored: DataFrame, k: int, bounded: bool = False, limit: int = HOT_ROWS, keys: Sequence[str] = IMPRESSION) -> DataFrame:
+    """DCG over the DCG of the best possible order, which follows from the number of positives; NULL without one."""
+    sums = _sums(scored, (k,), bounded, limit, keys)
+    return sums.select(*keys, _complete(_ratio(F.col(f"dcg_{k}"), _ideal(k))).alias("ndcg"))
 
 
 def _ratio(a: Column | str, b: Column | str) -> Column:
@@ -77,7 +74,7 @@ def _measures(ks: tuple[int, ...]) -> list[Column]:
     clicked = F.col("clicked")
     return [
         F.count(F.lit(1)).alias("n"),
-        F.count("score").alias("n_scored"),
+        F.count(F.when(F.col("score").isNotNull() & clicked.isNotNull(), 1)).alias("n_known"),
         F.sum(clicked).alias("positives"),
         F.sum(clicked / F.col("rank")).alias("reciprocal"),
         *[F.sum(F.when(F.col("rank") <= k, _discounted()).otherwise(0.0)).alias(f"dcg_{k}") for k in ks],
@@ -123,7 +120,7 @@ def _sums(scored: DataFrame, ks: tuple[int, ...], bounded: bool, limit: int, key
         .agg(*_measures(ks), F.min("rank").alias("first"))
         .withColumn("ties", F.col("n"))
     )
-    summed = ["n", "n_scored", "positives", "reciprocal", *[f"dcg_{k}" for k in ks]]
+    summed = ["n", "n_known", "positives", "reciprocal", *[f"dcg_{k}" for k in ks]]
     spread = ties.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in summed], F.sum(F.col("positives") * midrank).alias("midranks")
     )
@@ -138,16 +135,13 @@ def _auc() -> Column:
 
 
 def _complete(metric: Column) -> Column:
-    return F.when(F.col("n_scored") == F.col("n"), metric)
+    """NULL where a candidate has no score or no label."""
+    return F.when(F.col("n_known") == F.col("n"), metric)
 
 
 def mrr(scored: DataFrame, bounded: bool = False, limit: int = HOT_ROWS, keys: Sequence[str] = IMPRESSION) -> DataFrame:
     """Mean reciprocal rank over all positives of the impression."""
-    ranked = rank_candidates(scored.select(*keys, "pos", "clicked", "score"), bounded, limit, keys)
-    sums = ranked.groupBy(*keys).agg(
-        F.sum(F.col("clicked") / F.col("rank")).alias("reciprocal"), F.sum("clicked").alias("positives")
-    )
-    return sums.select(*keys, _ratio("reciprocal", "positives").alias("mrr"))
+    return _sums(scored, (), bounded, limit, keys).select(*keys, _complete(_ratio("reciprocal", "positives")).alias("mrr"))
 
 
 def auc(scored: DataFrame, bounded: bool = False, limit: int = HOT_ROWS, keys: Sequence[str] = IMPRESSION) -> DataFrame:
@@ -156,7 +150,7 @@ def auc(scored: DataFrame, bounded: bool = False, limit: int = HOT_ROWS, keys: S
 
 
 def evaluate(scored: DataFrame, bounded: bool = False, limit: int = HOT_ROWS, keys: Sequence[str] = IMPRESSION) -> DataFrame:
-    """The four metrics per impression. A missing score makes them NULL."""
+    """The four metrics per impression. A missing score or label makes them NULL."""
     sums = _sums(scored, (5, 10), bounded, limit, keys)
     return sums.select(
         *keys,

@@ -6,12 +6,13 @@ expressions over that row: no exchange, no window, whatever the number of impres
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickrank.functions.arrays import append_empty_candidate, fit_history, label_vector, target_index
 from clickrank.functions.keys import seeded_key
 from clickrank.operators.lookup import by_impression, with_text
+from clickrank.operators.scale import dense_index
 from clickrank.operators.users import attach_user_idx
 from clickrank.schema import EMPTY_NEWS_ID, FILLER_POS
 
@@ -147,27 +148,13 @@ def evaluation_examples(
     return rows.select("*", label_vector(F.col("candidates")).alias("labels"))
 
 
-def assign_batches(
-    examples: DataFrame, batch_size: int, seed: int, epoch: int = 0, key: str = KEY, digits: int = 3
-) -> DataFrame:
+def assign_batches(examples: DataFrame, batch_size: int, seed: int, epoch: int = 0, key: str = KEY) -> DataFrame:
     """``batch`` and ``place`` of each row under a random order of the whole table; only the last batch
-    may be short.
-
-    The order is that of uniformly distributed hashes, so rows that share the first ``digits`` hex digits form
-    equal parts. Each part is numbered by itself and shifted by the size of the parts before it, of which
-    there are ``16 ** digits``: raise ``digits`` with the data.
-    """
+    may be short. The order is that of hashes, numbered by range parts."""
     keyed = examples.withColumn("_key", seeded_key(seed, epoch, F.lit("batch"), key))
-    keyed = keyed.withColumn("_part", F.substring("_key", 1, digits))
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    )
-    numbered = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy("_key", key)))
-    place = F.col("_before") + F.col("_rn") - 1
-    return numbered.join(F.broadcast(offsets), "_part").select(
+    placed = dense_index(keyed, [F.col("_key"), F.col(key)], "_place", 0)
+    return placed.select(
         *examples.columns,
-        F.floor(place / batch_size).alias("batch"),
-        F.pmod(place, F.lit(batch_size)).alias("place"),
+        F.floor(F.col("_place") / batch_size).alias("batch"),
+        F.pmod("_place", F.lit(batch_size)).alias("place"),
     )

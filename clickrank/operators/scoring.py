@@ -84,19 +84,32 @@ def listwise_loss(sampled_scores: DataFrame) -> DataFrame:
     )
 
 
-def ranker_features(candidates: DataFrame, news_vectors: DataFrame) -> DataFrame:
-    """Element-wise product of candidate and user vector as ``features``; rows without either are left out."""
-    joined = lookup(candidates, news_vectors.select("news_id", "vec"), "news_id", "inner")
+def ranker_features(
+    candidates: DataFrame, news_vectors: DataFrame, empty: Sequence[float] | None = None, fits: bool | None = None
+) -> DataFrame:
+    """Element-wise product of candidate and user vector as ``features``.
+
+    Fillers and other ids without a vector have that of the empty news (zeros unless given). Without a user vector the
+    features are zeros and ``known_user`` is false: such rows are not trained on and have no score.
+    """
+    joined = lookup(candidates, news_vectors.select("news_id", "vec"), "news_id", fits=fits)
     kept = [c for c in candidates.columns if c != "user_vec"]
-    return joined.where(F.col("user_vec").isNotNull()).select(
-        *kept, array_to_vector(product(F.col("vec"), F.col("user_vec"))).alias("features")
-    )
+    user = F.col("user_vec")
+    length = F.coalesce(F.size("vec"), F.size("user_vec"), F.lit(0))
+    none = F.array_repeat(F.lit(0.0), F.greatest(F.when(user.isNotNull(), F.size(user)).otherwise(length), F.lit(0)))
+    vec = F.coalesce("vec", none if empty is None else F.array(*[F.lit(float(x)) for x in empty]))
+    return joined.select(
+        *kept, user.isNotNull().alias("known_user"),
+        array_to_vector(F.when(user.isNotNull(), product(vec, user)).otherwise(none)).alias("features"),
+    )
 
 
-def fit_ranker(features: DataFrame, epochs: int = 3, weight_decay: float = 0.0) -> LogisticRegressionModel:
+def fit_ranker(features: DataFrame, epochs: int = 3, weight_decay: float = 0.0, tolerance: float = 1e-6) -> LogisticRegressionModel:
     """A click ranker on sampled candidates; every pass is a distributed aggregation of gradients."""
+    if "known_user" in features.columns:
+        features = features.where("known_user")
     labelled = features.select("features", F.col("clicked").cast("double").alias("label"))
-    return LogisticRegression(maxIter=epochs, regParam=weight_decay).fit(labelled)
+    return LogisticRegression(maxIter=epochs, regParam=weight_decay, tol=tolerance).fit(labelled)
 
 
 def save_ranker(model: LogisticRegressionModel, path: str) -> None:
@@ -108,7 +121,9 @@ def load_ranker(path: str) -> LogisticRegressionModel:
 
 
 def score_with_ranker(features: DataFrame, model: LogisticRegressionModel) -> DataFrame:
-    """``score`` of every candidate by a trained ranker; several may be clicked."""
+    """``score`` of every candidate by a trained ranker; several may be clicked. NULL without a user vector."""
     scored = model.transform(features)
-    kept = [c for c in features.columns if c != "features"]
-    return scored.select(*kept, F.round(vector_to_array("rawPrediction")[1], SCORE_DECIMALS).alias("score"))
+    kept = [c for c in features.columns if c not in ("features", "known_user")]
+    score = F.round(vector_to_array("rawPrediction")[1], SCORE_DECIMALS)
+    known = F.col("known_user") if "known_user" in features.columns else F.lit(True)
+    return scored.select(*kept, F.when(known, score).alias("score"))

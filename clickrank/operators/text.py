@@ -23,12 +23,6 @@ TITLE_ONLY = "none"
 TEMPLATE = "template_based"
 GENERATED = ("gpt4", "gpt35", "llama2_13b")
 
-DEFAULT_SYSTEM_PROMPT = (
-    "You write for a news site. The user names one news category. Explain in about 50 English words what articles "
-    "of that category are about. Use plain text without quotes or other markup."
-)
-
-
 def template_text(name: Column) -> Column:
     return F.concat(F.lit(TEMPLATE_WORDS), name)
 
@@ -65,7 +59,7 @@ def unique_categories(train_news: DataFrame, val_news: DataFrame, level: str = "
     return train_news.select(name).distinct().unionByName(val_news.select(name).distinct()).distinct()
 
 
-def generation_prompts(categories: DataFrame, system_prompt: str = DEFAULT_SYSTEM_PROMPT) -> DataFrame:
+def generation_prompts(categories: DataFrame, system_prompt: str) -> DataFrame:
     """What a text generator is asked for each category."""
     return categories.select(
         "category",

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrank.operators.text import (
-    DEFAULT_SYSTEM_PROMPT,
     description_length_stats,
     generate_descriptions,
     generation_prompts,
@@ -22,8 +21,8 @@ def describe_categories(
     val_news: DataFrame,
     generate_fn: Callable[[str, str], str],
     path: str,
+    system_prompt: str,
     level: str = "subcategory",
-    system_prompt: str = DEFAULT_SYSTEM_PROMPT,
     max_attempts: int = 5,
 ) -> DataFrame:
     """The stored descriptions; raises when some categories could not be described."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARKER_SCHEMA = "rows long"
+MARKER_SCHEMA = "version string, rows long"
 
 
 def input_fingerprint(spark: SparkSession, path: str) -> list:
@@ -19,10 +21,10 @@ def input_fingerprint(spark: SparkSession, path: str) -> list:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
         .select("path", "length", "modificationTime")
     )
-    n, size, newest, names = files.agg(
-        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime").cast("string"), F.bit_xor(F.xxhash64("path"))
+    n, size, state = files.agg(
+        F.count(F.lit(1)), F.sum("length"), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))
     ).first()
-    return [n, size, newest, names]
+    return [n, size, state]
 
 
 def materialize(
@@ -36,20 +38,25 @@ def materialize(
 ) -> DataFrame:
     """Result of ``fn(spark, path, *args, **kwargs)``, computed once per key and read from Parquet afterwards.
 
-    The key changes with the arguments and with the input files, so a changed input is never served stale. A
-    marker is written last; a table without it was interrupted and is computed again.
+    The key changes with the arguments (values that JSON can write) and with any input file, so a changed input is never
+    served stale. Every computation goes to a folder of its own, and the marker that names it is written last: a failed
+    or interrupted one leaves the last complete result in force.
     """
     described = [f"{fn.__module__}.{fn.__qualname__}", path, args, sorted(kwargs.items()), input_fingerprint(spark, path)]
-    key = hashlib.sha256(json.dumps(described, default=str).encode()).hexdigest()
-    table, marker = f"{root}/{key}", f"{root}/{key}.complete"
+    key = hashlib.sha256(json.dumps(described).encode()).hexdigest()
+    markers = f"{root}/{key}.complete"
     if not clear_cache:
         try:
-            complete = spark.read.schema(MARKER_SCHEMA).parquet(marker).first() is not None
+            # Versions are named by time, so that the newest complete one counts.
+            found = spark.read.schema(MARKER_SCHEMA).parquet(markers).agg(F.max("version")).first()[0]
         except AnalysisException:
-            complete = False
-        if complete:
-            return spark.read.parquet(table)
-    fn(spark, path, *args, **kwargs).write.mode("overwrite").parquet(table)
+            found = None
+        if found:
+            return spark.read.parquet(f"{root}/{key}/{found}")
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    table = f"{root}/{key}/{version}"
+    fn(spark, path, *args, **kwargs).write.parquet(table)
     done = spark.read.parquet(table)
-    done.agg(F.count(F.lit(1)).alias("rows")).coalesce(1).write.mode("overwrite").parquet(marker)
+    marker = done.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(version).alias("version"), "rows")
+    marker.coalesce(1).write.mode("append").parquet(markers)
     return done

@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -159,13 +160,54 @@ def test_packing_needs_no_exchange_of_vectors(behaviors, news_vectors, executed_
     assert plan.count("Exchange hashpartitioning") == 1  # the one that makes histories distinct
 
 
+def user_days(spark, folder):
+    """The log that FIXTURES.md has values for: a user-day is an impression, the first 50 clicks of earlier days its history."""
+    events = pd.read_parquet(f"{folder}/events.parquet").sort_values(["user_id", "ts", "event_id"])
+    n_docs = len(pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id"]))
+    rows = []
+    for user, mine in events.groupby("user_id"):
+        past = []
+        for day, shown in mine.groupby(mine.ts.dt.date):
+            items = [(f"N{e % n_docs}", int(k in ("click", "purchase"))) for e, k in zip(shown.event_id, shown.event_type)]
+            rows.append((int(user) * 100 + day.day, f"U{user}", str(day), past[:50] or None, items))
+            past = past + [n for n, c in items if c]
+    schema = "impression_id long, user_id string, time string, history array<string>, impressions array<struct<news_id:string,clicked:int>>"
+    return spark.createDataFrame(rows, schema)
+
+
 def test_golden_means_of_the_given_tables(spark, small):
     """With equal logits attention is the plain mean, for which FIXTURES.md has values."""
     from checks import tables as t
     from clickrank.plans.evaluation import evaluate_additive
 
     flat = att.AdditiveWeights(t.waves(64, 8, 7), np.zeros(8), np.zeros(8))
-    log = t.stored_behaviors(spark, small).where("history is not null")
+    log = user_days(spark, small).where("history is not null")
     row = evaluate_additive(log, t.news_vectors(spark, small), flat, 50, mask_empty=True, include_empty=False).first()
     assert (row["impressions"], row["with_auc"]) == (370, 181)
     assert [round(row[m], 6) for m in ("ndcg_at_5", "mrr", "auc")] == [0.833624, 0.672763, 0.485467]
+
+
+def test_unknown_news_and_users_are_not_lost(spark):
+    """Unknown news count as the empty news, unknown users ask with zeros; ``strict`` raises."""
+    vectors = spark.createDataFrame([("N1", [1.0, 2.0]), ("N2", [3.0, 0.0])], "news_id string, vec array<double>")
+    users = spark.createDataFrame([(1, [1.0])], "user_idx long, vec array<double>")
+    items = spark.createDataFrame(
+        [(1, "N1", 1), (1, "gone", 1), (2, "gone", 1), (3, "N1", 9), (3, "N2", 9)], "g long, news_id string, user_idx long"
+    )
+    flat = att.AdditiveWeights(np.zeros((2, 1)), np.zeros(1), np.ones(1))
+    pooled = {r.g: r.pooled for r in att.additive_attention_pool(items, ["g"], vectors, flat).collect()}
+    assert pooled == {1: [0.5, 1.0], 2: [0.0, 0.0], 3: [2.0, 1.0]}
+    filled = att.additive_attention_pool(items, ["g"], vectors, flat, empty=[4.0, 4.0])
+    assert {r.g: r.pooled for r in filled.collect()}[2] == [4.0, 4.0]
+    personal = att.PersonalizedWeights(np.ones((1, 1)), np.zeros(1), np.ones((1, 2)), np.zeros(2))
+    pooled = {r.g: r.pooled for r in att.personalized_attention_pool(items, ["g"], vectors, users, personal).collect()}
+    assert set(pooled) == {1, 2, 3} and pooled[3] == [2.0, 1.0] and pooled[2] == [0.0, 0.0] and pooled[1][0] > 0.5
+    for call in (
+        lambda: att.additive_attention_pool(items, ["g"], vectors, flat, strict=True),
+        lambda: att.personalized_attention_pool(items, ["g"], vectors, users, personal, strict=True),
+    ):
+        with pytest.raises(KeyError):
+            call()
+    rows = spark.createDataFrame([(1, ["N1"], 1), (2, ["N1", "N2"], 9)], "impression_id long, history array<string>, user_idx long")
+    found = att.user_vector_personalized(rows, vectors, users, personal, 2, mask_empty=True)
+    assert {r.user_idx: r.user_vec for r in found.collect()} == {1: [1.0, 2.0], 9: [2.0, 1.0]}

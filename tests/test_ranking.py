@@ -131,3 +131,17 @@ def test_keys_may_name_runs(spark):
     metrics = rank.evaluate(runs, keys=("run", "impression_id"))
     assert {r["run"]: r["auc"] for r in metrics.collect()} == {"a": 1.0, "b": 0.0}
     assert {r["run"]: r["auc"] for r in rank.macro_average(metrics, "run").collect()} == {"a": 1.0, "b": 0.0}
+
+
+def test_missing_scores_and_labels_make_every_metric_null(spark):
+    rows = [(1, 0, 1, None), (1, 1, 0, 0.5), (2, 0, 1, 0.9), (2, 1, None, 0.5), (2, 2, 0, 0.1), (3, 0, 1, 0.9), (3, 1, 0, 0.1)]
+    scored = spark.createDataFrame(rows, "impression_id long, pos int, clicked int, score double")
+    for limit in (1, 100):
+        for metric in (
+            rank.dcg_at_k(scored, 5, limit=limit), rank.ndcg_at_k(scored, 5, limit=limit), rank.mrr(scored, limit=limit),
+            rank.auc(scored, limit=limit),
+        ):
+            found = {r[0]: r[1] for r in metric.collect()}
+            assert found[1] is None and found[2] is None and found[3] == 1.0
+        whole = {r.impression_id: r for r in rank.evaluate(scored, limit=limit).collect()}
+        assert set(whole[1][1:]) == set(whole[2][1:]) == {None} and set(whole[3][1:]) == {1.0}

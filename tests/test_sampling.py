@@ -93,15 +93,14 @@ def test_evaluation_rows(behaviors, index, include_empty):
     assert set(got) == set(shown)
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_batches_are_full_and_shuffled(spark, digits):
+def test_batches_are_full_and_shuffled(spark):
     examples = spark.range(1000).select(F.col("id").alias("impression_id"))
-    got = sampling.assign_batches(examples, 64, 9, digits=digits).collect()
+    got = sampling.assign_batches(examples, 64, 9).collect()
     places = sorted((r["batch"], r["place"]) for r in got)
     assert places == [(i // 64, i % 64) for i in range(1000)]
     order = [r["impression_id"] for r in sorted(got, key=lambda r: (r["batch"], r["place"]))]
     assert order != sorted(order) and sorted(order) == list(range(1000))
-    other = sampling.assign_batches(examples.repartition(3), 64, 9, digits=3).collect()
+    other = sampling.assign_batches(examples.repartition(3), 64, 9).collect()
     assert {r["impression_id"]: r["batch"] for r in other} == {r["impression_id"]: r["batch"] for r in got}
 
 

@@ -78,6 +78,20 @@ def test_ranker_learns_and_is_stored(spark, tmp_path):
     assert scored.count() == len(shown)
 
 
+def test_ranker_trains_on_fillers_and_scores_unknown_candidates(spark):
+    vectors = spark.createDataFrame([("N1", [1.0, 2.0]), ("N2", [3.0, 0.5])], "news_id string, vec array<double>")
+    shown = [(1, "N1", 1, [1.0, 1.0]), (1, "EMPTY_NEWS_ID", 0, [1.0, 1.0]), (1, "gone", 0, [1.0, 1.0]), (2, "N2", 1, None), (3, "gone", 0, None)]
+    candidates = spark.createDataFrame(shown, "impression_id long, news_id string, clicked int, user_vec array<double>")
+    features = scoring.ranker_features(candidates, vectors)
+    assert features.count() == 5 and features.where("known_user").count() == 3
+    assert {tuple(r.features) for r in features.where("known_user").collect()} == {(1.0, 2.0), (0.0, 0.0)}
+    model = scoring.fit_ranker(features, epochs=5, weight_decay=0.1)
+    assert model.summary.predictions.count() == 3
+    scores = {(r.impression_id, r.news_id): r.score for r in scoring.score_with_ranker(features, model).collect()}
+    assert scores[2, "N2"] is None and scores[3, "gone"] is None
+    assert scores[1, "gone"] == scores[1, "EMPTY_NEWS_ID"] < scores[1, "N1"]
+
+
 # Published macro-averages: model, backbone, text method, AUC, MRR, nDCG@5, nDCG@10.
 RUNS = [
     ("NAML", "DistilBERT", "title", 0.675, 0.292, 0.317, 0.384),

@@ -1,4 +1,4 @@
-"""One user-day with a third of all events: it must be split and still give whole results."""
+"""One user with a third of all events: their pages must be split over tasks and still give whole results."""
 
 import shutil
 from datetime import datetime, timedelta
@@ -35,23 +35,23 @@ def skewed_dir(tmp_path_factory, small):
 def low_limits(monkeypatch):
     """Groups above 100 rows count as hot."""
     monkeypatch.setattr(t, "HOT_ROWS", 100)
+    monkeypatch.setattr(t, "BLOCK", 16)
     yield
     monkeypatch.undo()
 
 
-def test_a_hot_user_day_becomes_several_lines(spark, skewed_dir, low_limits):
+def test_a_hot_user_has_many_pages(spark, skewed_dir, low_limits):
     shown = t.shown_news(spark, skewed_dir)
     sizes = {r[0]: r[1] for r in shown.groupBy("impression_id").count().collect()}
-    assert sum(sizes.values()) == 2100 and max(sizes.values()) == t.LINE_CANDIDATES
-    hot = sorted(k for k in sizes if k % t.NEXT_LINE == 504)
-    assert [k // t.NEXT_LINE for k in hot] == [0, 1, 2]
+    assert sum(sizes.values()) == 2100 and max(sizes.values()) == t.PAGE
+    assert len([k for k in sizes if k // t.USER_IDS == 5]) > 4 * t.BLOCK
     assert shown.select("impression_id", "pos").distinct().count() == 2100
 
 
 @pytest.mark.parametrize(
-    "name", ["p6_explode_candidates", "p8_fit_history", "x3_shuffle_sample", "w7_auc", "w9_evaluate_run", "m9_listwise_loss"]
+    "name", ["p3_parse_history", "p6_explode_candidates", "p8_fit_history", "x3_shuffle_sample", "w7_auc", "w9_evaluate_run", "m9_listwise_loss"]
 )
-def test_queries_over_a_hot_user_day(spark, skewed_dir, low_limits, name):
+def test_queries_over_a_hot_user(spark, skewed_dir, low_limits, name):
     duck = duckdb.connect()
     for path in Path(skewed_dir).glob("*.parquet"):
         duck.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
@@ -60,21 +60,17 @@ def test_queries_over_a_hot_user_day(spark, skewed_dir, low_limits, name):
     assert got.equals(want)
 
 
-def test_first_clicks_are_limited_before_the_shuffle(spark, skewed_dir, executed_plan):
-    assert executed_plan(t.first_clicks(t.event_log(spark, skewed_dir))).count("WindowGroupLimit") == 2
-
-
 def test_filters_and_columns_reach_the_scan(spark, small):
     def scan(df):
         text = df._jdf.queryExecution().executedPlan().toString()
         return next(line for line in text.splitlines() if "FileScan" in line)
 
-    clicks = scan(t.first_clicks(t.event_log(spark, small)))
+    clicks = scan(t.event_log(spark, small).where("clicked = 1").select("news_id"))
     assert "DataFilters: [event_type" in clicks
     assert "props" not in clicks and "value" not in clicks
     assert "text" not in scan(t.news(spark, small).select("news_id", "category")).replace("text:", "")
 
 
 def test_logs_are_packed_where_they_were_numbered(spark, small, executed_plan):
-    plan = executed_plan(t.shown_news(spark, small).groupBy("impression_id", "user_id", "day").count())
+    plan = executed_plan(t.shown_news(spark, small).groupBy("impression_id", "user_id", "page").count())
     assert plan.count("Exchange") == 1

@@ -110,3 +110,21 @@ def test_materialize(spark, tmp_path, as_rows):
     path.write_text("1\n2\n3\n")
     assert as_rows(cache.materialize(spark, load, str(path), root=root)) == [(1,), (2,), (3,)]
     assert calls == [1, 10, 1, 1]
+
+
+def test_a_failed_refresh_leaves_the_last_result(spark, tmp_path, as_rows):
+    path, root = tmp_path / "in.csv", str(tmp_path / "cache")
+    path.write_text("1\n2\n")
+    state = {"fails": False}
+
+    def fragile(spark, path):
+        rows = spark.read.csv(path, schema="x int")
+        return rows.select(F.raise_error(F.lit("broken")).cast("int").alias("x")) if state["fails"] else rows
+
+    assert as_rows(cache.materialize(spark, fragile, str(path), root=root)) == [(1,), (2,)]
+    state["fails"] = True
+    with pytest.raises(Exception, match="broken"):
+        cache.materialize(spark, fragile, str(path), root=root, clear_cache=True)
+    assert as_rows(cache.materialize(spark, fragile, str(path), root=root)) == [(1,), (2,)]
+    state["fails"] = False
+    assert as_rows(cache.materialize(spark, fragile, str(path), root=root, clear_cache=True)) == [(1,), (2,)]

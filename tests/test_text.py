@@ -106,7 +106,7 @@ def test_generation_asks_only_failures_again(spark, tmp_path):
         return f"{name} it is"
 
     categories = spark.createDataFrame([("first",), ("second",), ("never",)], "category string")
-    got = {r["category"]: (r["description"], r["error"]) for r in text.generate_descriptions(text.generation_prompts(categories), flaky, 3).collect()}
+    got = {r["category"]: (r["description"], r["error"]) for r in text.generate_descriptions(text.generation_prompts(categories, "be brief"), flaky, 3).collect()}
     assert got == {"first": ("first it is", None), "second": ("second it is", None), "never": (None, "no answer for never")}
     asked = log.read_text().splitlines()
     assert sorted(asked) == sorted(
@@ -117,7 +117,7 @@ def test_generation_asks_only_failures_again(spark, tmp_path):
 def test_description_plan(spark, tmp_path, as_rows):
     train = spark.createDataFrame([("c", "a"), ("c", "b")], "category string, subcategory string")
     val = spark.createDataFrame([("c", "b"), ("d", "x")], "category string, subcategory string")
-    stored = describe_categories(train, val, lambda system, user: "words about " + user[-1], str(tmp_path / "d"))
+    stored = describe_categories(train, val, lambda system, user: "words about " + user[-1], str(tmp_path / "d"), "be brief")
     assert as_rows(stored) == [(c, f"words about {c}") for c in "abx"]
     assert as_rows(text.unique_categories(train, val, "category")) == [("c",), ("d",)]
 
@@ -125,7 +125,7 @@ def test_description_plan(spark, tmp_path, as_rows):
         raise ValueError("no")
 
     with pytest.raises(RuntimeError, match="a"):
-        describe_categories(train, val, refuse, str(tmp_path / "e"), max_attempts=2)
+        describe_categories(train, val, refuse, str(tmp_path / "e"), "be brief", max_attempts=2)
 
 
 def test_description_statistics(spark, tmp_path):
