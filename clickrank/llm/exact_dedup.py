@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clickrank.llm.tables import join_ids
 from clickrank.session import scratch_path, stage
 
 BUCKETS = 64
@@ -58,7 +59,8 @@ class DigestIndex:
             F.max("n_chars").alias("n_chars"),
             F.count(F.lit(1)).alias("group_size"),
         )
-        new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        # Written first: an anti-join is otherwise moved below the aggregate, where a hot digest is still all its rows.
+        new = stage(groups, "batch-digests").join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         (
             new.select("digest", "keep_id", "n_chars", "group_size")
             .repartition(self.buckets, "digest")
@@ -92,7 +94,15 @@ def new_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; rows that repeat an id and text stay together."""
+    """The rows of ``docs`` that stay, with their columns; rows that repeat an id and text stay together.
+
+    Only rows of an id that loses a row are compared by digest; the others pass without being moved as long as the
+    losing ids can be broadcast.
+    """
     gone = stage(deduplicate(docs, index, id_col, text).where(~F.col("kept")).select("doc_id", "digest").distinct(), "gone")
-    mine = F.unhex(F.sha2(normalised(docs[text]), 256))
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (mine == gone["digest"]), "left_anti")
+    ids = gone.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.where(docs[id_col].isNotNull())
+    doubtful = join_ids(named, ids, "left_semi", id_col).unionByName(docs.where(docs[id_col].isNull()))
+    mine = F.unhex(F.sha2(normalised(doubtful[text]), 256))
+    match = doubtful[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (mine == gone["digest"])
+    return join_ids(named, ids, "left_anti", id_col).unionByName(doubtful.join(gone, match, "left_anti"))
