@@ -120,11 +120,16 @@ def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(cut, "doc_id long, shingles array<long>")
 
 
+def _apart(a: str, b: str) -> Column:
+    """Least possible size of the symmetric difference, from the sizes within hash ranges."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+
+
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
     """The pairs (a, b) that link: suffix filter on the small rows, then whole sets of what is left."""
     a, b = (rows.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("ranges").alias(f"ranges_{s}")) for s in "ab")
-    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    left = pairs.join(a, "a").join(b, "b").where(how.overlaps((F.col("n_a") + F.col("n_b") - apart) / 2, F.col("n_a"), F.col("n_b")))
+    fits = how.overlaps((F.col("n_a") + F.col("n_b") - _apart("ranges_a", "ranges_b")) / 2, F.col("n_a"), F.col("n_b"))
+    left = pairs.join(a, "a").join(b, "b").where(fits)
     left = stage(left.select("a", "b").distinct(), "pairs")
     wanted = stage(left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = stage(_whole_sets(join_ids(docs, wanted, "left_semi"), how.width), "sets")
@@ -135,8 +140,11 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, how: Similarit
     return stage(both.where(how.overlaps(overlap, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct(), "links")
 
 
-def _open_pairs(buckets: DataFrame, links: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs of a bucket that may link and lie in different components of ``links``."""
+def _open_pairs(buckets: DataFrame, found: DataFrame, links: DataFrame, how: Similarity) -> DataFrame:
+    """Pairs of a bucket that may link and lie in different components of ``links``.
+
+    All filters are conditions of the join, so that only pairs near the threshold leave it.
+    """
     labels = components(links)
     rows = buckets.join(labels, buckets["cls"] == labels["node"], "left").select(
         "token", "pos", "n", "cls", F.coalesce("component", "cls").alias("component")
@@ -152,7 +160,9 @@ def _open_pairs(buckets: DataFrame, links: DataFrame, how: Similarity) -> DataFr
         fits = how.overlaps(F.least(rest, F.col("_rest")), F.col("n"), other)
         return rows.join(bounds.where("_low < _high"), "token").where(fits).select(rows.columns)
 
-    rows = stage(still_open(stage(still_open(rows), "open")), "open")
+    rows = still_open(stage(still_open(rows), "open"))
+    ranges = found.select(F.col("doc_id").alias("cls"), "ranges")
+    rows = stage(rows.join(ranges, "cls"), "open")
     size = F.floor(F.log(F.col("n")) / float(np.log(how.parts / how.least)))
     a = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns], size.alias("bin"))
     b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns], F.explode(F.array(size, size - 1, size + 1)).alias("bin"))
@@ -160,6 +170,7 @@ def _open_pairs(buckets: DataFrame, links: DataFrame, how: Similarity) -> DataFr
         (a["token_a"] == b["token_b"]) & (a["bin"] == b["bin"]) & (F.col("cls_a") < F.col("cls_b"))
         & (F.col("component_a") != F.col("component_b")) & how.sizes(F.col("n_a"), F.col("n_b"))
         & how.overlaps(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), F.col("n_a"), F.col("n_b"))
+        & how.overlaps((F.col("n_a") + F.col("n_b") - _apart("ranges_a", "ranges_b")) / 2, F.col("n_a"), F.col("n_b"))
     )
     return a.join(b, meet).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
@@ -183,7 +194,7 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col:
     stars = led.where(fits).select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
 
     links = _verified(docs, found, stars, how)
-    more = _verified(docs, found, _open_pairs(buckets, links, how), how)
+    more = _verified(docs, found, _open_pairs(buckets, found, links, how), how)
     again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     same = found.join(again, "doc_id").join(classes, "digest").where("cls != doc_id").select(F.col("cls").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(more).union(same))
