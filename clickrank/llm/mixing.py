@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickrank.llm.tables import prefix_sums
@@ -50,6 +50,34 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
     return levels.select("source", "source_size", F.least("most", share).alias("target"))
 
 
+def _draw(seed: int, doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, text_hash)
+
+
+def _word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _drawn(docs: DataFrame, weights: Sequence[float], epochs: int, seed: int, id_col: str, text: str, source: str) -> DataFrame:
+    """doc_id, source, size, text_hash, draw, source_size, target, whole (epochs), ``rest`` (words of the last, partial
+    epoch) and ``before`` (words of the source drawn before the row)."""
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source).alias("source"), _word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text)).alias("text_hash"),
+    ).withColumn("draw", _draw(seed, F.col("doc_id"), F.col("text_hash")))
+    rows = stage(rows, "sizes")
+    budget = F.floor("target")
+    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
+    targets = source_targets(rows, weights, epochs).withColumn("whole", whole)
+    targets = targets.withColumn("rest", budget - F.col("whole") * F.col("source_size"))
+    targets = stage(targets.withColumnRenamed("source", "_source"), "targets")
+    placed = prefix_sums(rows, ["source"], [F.col("draw"), F.col("doc_id"), F.col("text_hash")], "size", "before")
+    return placed.join(targets, placed["source"].eqNullSafe(targets["_source"])).drop("_source")
+
+
+TAKEN = "whole * size + greatest(0, least(size, rest - before))"
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = WEIGHTS,
@@ -60,48 +88,48 @@ def mix(
     source: str = "source",
 ) -> DataFrame:
     """Per row: doc_id, text_hash, source, size, source_size, target, taken (words, repeats counted)."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(text)).alias("text_hash"),
-    ).withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_hash"))
-    rows = stage(rows, "sizes")
-    targets = stage(source_targets(rows, weights, epochs), "targets")
-    placed = prefix_sums(rows, ["source"], [F.col("draw"), F.col("doc_id"), F.col("text_hash")], "size", "before")
-    targets = targets.withColumnRenamed("source", "_source")
-    found = placed.join(targets, placed["source"].eqNullSafe(targets["_source"]))
-    budget = F.floor("target")
-    whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - whole * F.col("source_size") - F.col("before")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
-    return found.select("doc_id", "text_hash", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    drawn = _drawn(docs, weights, epochs, seed, id_col, text, source)
+    return drawn.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.expr(TAKEN).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: int = EPOCHS, seed: int = 42, source: str = "source"
+) -> DataFrame:
     """The mix itself: each document once for every time it is taken whole, and cut after the words taken of it.
 
-    A document that is not taken is not returned. Rows that repeat an id and text are taken as one of them, as often
-    as all together. Both sides of the join are shuffled by id and text.
+    A row's draw can be computed where the text lies, so only one row per source is joined to the texts: the place of
+    the cut. Rows before it are taken once more, rows after it are not. Rows that repeat the id and text at a cut are
+    taken as one of them, as often as all together. A document that is not taken is not returned.
     """
-    taken = mix(docs, **how).where("taken > 0").groupBy("doc_id", "text_hash", "size").agg(
-        F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows")
-    )
-    taken = stage(taken.select(*[F.col(c).alias(f"_{c}") for c in taken.columns]), "taken")
     names = docs.columns
-    docs = docs.withColumn("_key", F.xxhash64("text"))
-    if not taken.where("_rows > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "_key"])
+    drawn = _drawn(docs, weights, epochs, seed, "doc_id", "text", source)
+    place = F.struct("draw", "doc_id", "text_hash")
+    beyond = F.min(F.when((F.col("size") > 0) & (F.col("before") + F.col("size") > F.col("rest")), place))
+    cuts = stage(drawn.groupBy(F.col("source").alias("_source")).agg(beyond.alias("_cut"), F.first("whole").alias("_whole")), "cuts")
+    mine = F.xxhash64(docs["text"])
+    here = docs.withColumns({"_hash": mine, "_size": _word_count(docs["text"])})
+    here = here.withColumn("_place", F.struct(
+        _draw(seed, docs["doc_id"].cast("long"), F.col("_hash")).alias("draw"), docs["doc_id"].cast("long").alias("doc_id"),
+        F.col("_hash").alias("text_hash"),
+    )).where("_size > 0")
+    near = here.join(cuts, here[source].eqNullSafe(cuts["_source"]))
+    clear = near.where(F.col("_cut").isNull() | ~F.col("_place").eqNullSafe(F.col("_cut")))
+    times = F.col("_whole") + F.when(F.col("_cut").isNull() | (F.col("_place") < F.col("_cut")), 1).otherwise(0)
+    whole = clear.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+
+    at = drawn.join(cuts.where("_cut IS NOT NULL"), drawn["source"].eqNullSafe(cuts["_source"])).where(place.eqNullSafe(F.col("_cut")))
+    sums = stage(at.groupBy("_source").agg(F.sum(F.expr(TAKEN)).cast("long").alias("_taken"), F.count(F.lit(1)).alias("_rows")), "at-cuts")
+    rows = near.where(F.col("_place").eqNullSafe(F.col("_cut"))).drop("_source")
+    if not sums.where("_rows > 1").isEmpty():
+        rows = rows.dropDuplicates(["_place"])
+    rows = rows.join(sums, rows[source].eqNullSafe(sums["_source"]))
     copies = F.floor(F.col("_taken") / F.col("_size"))
     rest = F.col("_taken") - copies * F.col("_size")
-    parts = F.concat(
-        F.array_repeat(F.col("_size"), copies.cast("int")),
-        F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
-    )
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_doc_id"]) & (docs["_key"] == taken["_text_hash"]))
-    rows = rows.withColumn("_words", F.explode(parts))
-    text = F.when(F.col("_words") == F.col("_size"), docs["text"]).otherwise(_cut(docs["text"], F.col("_words")))
-    return rows.select(*[text.alias("text") if c == "text" else docs[f"`{c}`"] for c in names])
+    parts = F.concat(F.array_repeat(F.col("_size"), copies.cast("int")), F.filter(F.array(rest), lambda x: x > 0))
+    cut = rows.withColumn("_words", F.explode(parts))
+    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(_cut(F.col("text"), F.col("_words")))
+    cut = cut.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names])
+    return whole.select(*[F.col(f"`{c}`") for c in names]).unionByName(cut)
 
 
 def _cut(text, n):
