@@ -94,7 +94,8 @@ pooled AS (
   GROUP BY 1, 2),
 user_vec AS (SELECT history_key, list(x ORDER BY d) AS user_vec FROM pooled GROUP BY 1)"""
 
-SCORED = f"""{BEHAVIORS}, {LOGITS}, {USER_VECTORS},
+# Every candidate, the empty one included, against the user vector of its history_key.
+CANDIDATE_SCORES = """
 extended AS (
   SELECT impression_id, pos, news_id, clicked FROM shown
   UNION ALL SELECT impression_id, CAST(len(labels) AS INTEGER), 'EMPTY_NEWS_ID', 0 FROM imp),
@@ -103,6 +104,8 @@ scored AS (
          coalesce(round(list_dot_product(nv.vec, user_vec), 9), 0) AS score
   FROM extended JOIN used USING (impression_id) JOIN user_vec USING (history_key) LEFT JOIN nv USING (news_id))"""
 
+SCORED = f"{BEHAVIORS}, {LOGITS}, {USER_VECTORS}, {CANDIDATE_SCORES}"
+
 VALUED = f"""{SHOWN},
 scored AS (SELECT impression_id, pos, news_id, clicked, floor(value / 5) AS score FROM shown)"""
 
@@ -217,11 +220,11 @@ items AS (
   SELECT history_key, len(history), {KEPT} - len(history), {KEPT} - len(history), list_transform(range(64), lambda i: 0.0),
          NULL, NULL FROM keyed WHERE len(history) < {KEPT}),
 heads AS (SELECT unnest(range(1, 17)) AS h),
-pairs AS (
+item_pairs AS (
   SELECT a.history_key, a.slot, a.times, a.pads, h, b.v AS v,
          exp(list_dot_product(a.q[4 * h - 3 : 4 * h], b.k[4 * h - 3 : 4 * h]) / 2) AS e
   FROM items a CROSS JOIN heads LEFT JOIN items b ON a.history_key = b.history_key AND b.k IS NOT NULL),
-per_head AS (SELECT history_key, slot, times, h, {parts} FROM pairs GROUP BY history_key, slot, times, h),
+per_head AS (SELECT history_key, slot, times, h, {parts} FROM item_pairs GROUP BY history_key, slot, times, h),
 joined AS (
   SELECT history_key, slot, times, flatten(list([o1, o2, o3, o4] ORDER BY h)) AS o FROM per_head GROUP BY 1, 2, 3),
 attended AS (
@@ -344,6 +347,27 @@ def statements() -> dict[str, str]:
     sql["w8_evaluate"] = f"WITH {SCORED}, {METRICS} SELECT impression_id, {rounded} FROM metrics"
     sql["w9_evaluate_run"] = f"WITH {SCORED}, {METRICS} SELECT {_AVERAGES} FROM metrics"
 
+    sql["w9_evaluate_selfattn"] = f"""WITH {BEHAVIORS}, {VECTORS}, {HISTORIES}, {_self_attention()}, {_matrix('add', 64, 8, 7)},
+        weighted AS (SELECT history_key, vec, times * exp(list_sum(list_transform(range(1, 9),
+          lambda j: sin(13 * j + 3) * tanh(list_dot_product(vec, add_w[j]))))) AS e FROM attended, add),
+        dims AS (SELECT unnest(range(1, 65)) AS d),
+        pooled AS (SELECT history_key, d, sum(e * vec[d]) / sum(e) AS x FROM weighted, dims GROUP BY 1, 2),
+        user_vec AS (SELECT history_key, list(x ORDER BY d) AS user_vec FROM pooled GROUP BY 1),
+        {CANDIDATE_SCORES}, {METRICS} SELECT {_AVERAGES} FROM metrics"""
+    sql["w9_evaluate_personalized"] = f"""WITH {BEHAVIORS}, {SPLIT}, {VECTORS}, {QUERIES_SQL},
+        cut AS (SELECT impression_id, coalesce(user_idx, 0) AS user_idx, coalesce(history, CAST([] AS VARCHAR[]))[1:{KEPT}] AS history
+          FROM beh LEFT JOIN user_index USING (user_id)),
+        used AS (SELECT *, user_idx || ':' || array_to_string(history, ' ') AS history_key FROM cut),
+        keyed AS (SELECT DISTINCT history_key, user_idx, history FROM used),
+        slots AS (SELECT history_key, user_idx, unnest(history) AS news_id FROM keyed),
+        weighted AS (SELECT history_key, vec, exp(list_dot_product(vec, query)) AS e FROM slots JOIN uq USING (user_idx) JOIN nv USING (news_id)),
+        dims AS (SELECT unnest(range(1, 65)) AS d),
+        pooled AS (SELECT keyed.history_key, d,
+            coalesce(sum(e * vec[d]), 0) / (coalesce(sum(e), 0) + any_value({KEPT} - len(history))) AS x
+          FROM keyed LEFT JOIN weighted USING (history_key), dims GROUP BY 1, 2),
+        user_vec AS (SELECT history_key, list(x ORDER BY d) AS user_vec FROM pooled GROUP BY 1),
+        {CANDIDATE_SCORES}, {METRICS} SELECT {_AVERAGES} FROM metrics"""
+
     # ---- text
     sql["t1_template_descriptions"] = "SELECT DISTINCT source AS category, 'The category is ' || source AS description FROM documents"
     sql["t2_news_text_none"] = f"WITH {NEWS} SELECT news_id, title FROM news"

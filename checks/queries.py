@@ -20,7 +20,7 @@ from clickrank.operators import lookup as look
 from clickrank.operators import ranking as rank
 from clickrank.operators import reports, sampling, scoring, text, users
 from clickrank.operators.scale import fits_broadcast
-from clickrank.plans.evaluation import score_behaviors
+from clickrank.plans.evaluation import evaluate_personalized, evaluate_selfattn, score_behaviors
 from clickrank.plans.training import sampled_candidates
 from clickrank.session import scratch_path, stage
 from clickrank.sources import cache, files
@@ -514,6 +514,21 @@ def w9_evaluate_run(spark, sf):
     return _rounded(rank.evaluate_run(model_scores(spark, sf), bounded=True), *reports.METRICS)
 
 
+@query
+def w9_evaluate_personalized(spark, sf):
+    rows = users.attach_user_idx(t.stored_behaviors(spark, sf), t.user_index(spark, sf))
+    means = evaluate_personalized(rows, t.news_vectors(spark, sf), t.user_vectors(spark, sf), PERSONAL, HISTORY_SIZE, bounded=True)
+    return _rounded(means, *reports.METRICS)
+
+
+@query
+def w9_evaluate_selfattn(spark, sf):
+    means = evaluate_selfattn(
+        t.stored_behaviors(spark, sf), t.news_vectors(spark, sf), SELF_ATTENTION, POOLING, HISTORY_SIZE, bounded=True
+    )
+    return _rounded(means, *reports.METRICS)
+
+
 # ---------------------------------------------------------------- text
 
 

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame
 
-from clickrank.operators.attention import AdditiveWeights, attach_history_vector, user_vector_additive
+from clickrank.operators.attention import (
+    AdditiveWeights,
+    PersonalizedWeights,
+    SelfAttentionWeights,
+    attach_history_vector,
+    user_vector_additive,
+    user_vector_personalized,
+    user_vector_selfattn,
+)
 from clickrank.operators.behaviors import explode_candidates
 from clickrank.operators.ranking import evaluate, macro_average
 from clickrank.operators.scale import fits_broadcast
-from clickrank.operators.scoring import score_candidates
+from clickrank.operators.scoring import ranker_features, score_candidates, score_with_ranker
 
 
 def score_behaviors(
@@ -41,3 +50,52 @@ def evaluate_additive(
     vectors = user_vector_additive(behaviors, news_vectors, weights, history_size, mask_empty, fits=fits)
     scored = score_behaviors(behaviors, news_vectors, vectors, history_size, include_empty, fits=fits)
     return macro_average(evaluate(scored, bounded))
+
+
+def evaluate_personalized(
+    behaviors: DataFrame,
+    news_vectors: DataFrame,
+    user_vectors: DataFrame,
+    weights: PersonalizedWeights,
+    history_size: int = 50,
+    mask_empty: bool = False,
+    include_empty: bool = True,
+    bounded: bool = False,
+) -> DataFrame:
+    """As ``evaluate_additive`` with M6; ``behaviors`` carries ``user_idx``."""
+    fits = fits_broadcast(news_vectors)
+    vectors = user_vector_personalized(behaviors, news_vectors, user_vectors, weights, history_size, mask_empty, fits=fits)
+    scored = score_behaviors(behaviors, news_vectors, vectors, history_size, include_empty, fits=fits)
+    return macro_average(evaluate(scored, bounded))
+
+
+def evaluate_selfattn(
+    behaviors: DataFrame,
+    news_vectors: DataFrame,
+    weights: SelfAttentionWeights,
+    pooling: AdditiveWeights,
+    history_size: int = 50,
+    mask_empty: bool = False,
+    include_empty: bool = True,
+    bounded: bool = False,
+) -> DataFrame:
+    """As ``evaluate_additive`` with M7."""
+    fits = fits_broadcast(news_vectors)
+    vectors = user_vector_selfattn(behaviors, news_vectors, weights, pooling, history_size, mask_empty, fits=fits)
+    scored = score_behaviors(behaviors, news_vectors, vectors, history_size, include_empty, fits=fits)
+    return macro_average(evaluate(scored, bounded))
+
+
+def evaluate_ranker(
+    behaviors: DataFrame,
+    news_vectors: DataFrame,
+    user_vectors: DataFrame,
+    model: LogisticRegressionModel,
+    history_size: int = 50,
+    include_empty: bool = True,
+    bounded: bool = False,
+) -> DataFrame:
+    """Every candidate scored by a trained ranker (M11) on products with the user vectors of M5, M6 or M7."""
+    with_user = attach_history_vector(behaviors, user_vectors, history_size)
+    shown = explode_candidates(with_user, include_empty, keep=("user_vec",))
+    return macro_average(evaluate(score_with_ranker(ranker_features(shown, news_vectors), model), bounded))
