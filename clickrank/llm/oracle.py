@@ -39,6 +39,32 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP3 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
+  FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS shingle FROM p
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 85 * (x.n + y.n - common.n)
+), edges AS (
+  SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT u AS node, v AS other FROM edges UNION SELECT node, v FROM reach JOIN edges ON other = u
+), least_of AS (
+  SELECT node, min(other) AS other FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of ON node = d.doc_id
+"""
+
 OP4 = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
@@ -88,4 +114,4 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-STATEMENTS: dict[str, str] = {"op1_substring_dedup": OP1, "op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op7_line_dedup": OP7}
+STATEMENTS: dict[str, str] = {"op1_substring_dedup": OP1, "op2_exact_dedup": OP2, "op3_ngram_join": OP3, "op4_quality_rules": OP4, "op7_line_dedup": OP7}

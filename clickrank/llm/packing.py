@@ -1,7 +1,7 @@
 """Packing documents into windows by multiway differencing (Karmarkar-Karp).
 
 A document's ids and the end id are cut into whole windows of ``size``, which are packed as they are, and a rest, cut
-into blocks of ``block`` ids. Blocks are dealt in hash order into groups of about ``GROUP``, and each group is
+into blocks of ``block`` ids. Blocks are dealt in hash order into equal groups of about ``GROUP``, and each group is
 partitioned into near-equal windows: every block starts as a partition with one loaded window; the two partitions with
 the largest imbalance are merged, heaviest window onto lightest, until one is left. If a window exceeds its capacity,
 the number of windows rises and the group is partitioned again.
@@ -126,8 +126,10 @@ def pack(docs: DataFrame, size: int = SIZE, group: int = GROUP, **how) -> DataFr
     whole = found.where(F.col("length") == size).withColumn("_row", F.monotonically_increasing_id())
     whole = whole.select(*found.columns, (2 * F.col("_row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     blocks = found.where(F.col("length") < size)
+    n = blocks.count()
+    groups = max(1, round(n / group))
     order = [F.xxhash64("doc_id", "start", "ids_crc32"), *[F.col(c) for c in ("doc_id", "start", "ids_crc32")]]
-    dealt = dense_index(blocks, [*order, F.col("doc_tokens")], "_place", 0).withColumn("_group", F.floor(F.col("_place") / group))
+    dealt = dense_index(blocks, [*order, F.col("doc_tokens")], "_place", 0).withColumn("_group", F.floor(F.col("_place") / (max(1, n) / groups)))
     dealt = dealt.repartition(F.col("_group")).sortWithinPartitions("_group", "_place")
 
     def place(key: tuple, table: pa.Table) -> pa.Table:
@@ -135,7 +137,7 @@ def pack(docs: DataFrame, size: int = SIZE, group: int = GROUP, **how) -> DataFr
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for w, members in enumerate(windows(lengths, size)):
             members = sorted(members)
-            sequence[members] = 2 * (key[0].as_py() * group + w)
+            sequence[members] = 2 * (key[0].as_py() * 2 * group + w)
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
         kept = table.select([c for c in table.column_names if c[0] != "_"])
         return kept.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
