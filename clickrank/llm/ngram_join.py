@@ -186,7 +186,8 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col:
     buckets = stage(tokens.join(shared.hint("shuffle_hash"), "token"), "buckets")
 
     first = F.struct("pos", "n", "cls")
-    leads = buckets.groupBy("token").agg(F.min(first).alias("lead"))
+    # Written, here and below, so that both sides of the join are shuffled and a hot key can be split.
+    leads = stage(buckets.groupBy("token").agg(F.min(first).alias("lead")), "leads")
     led = buckets.join(leads, "token").where("cls != lead.cls")
     fits = how.sizes(F.col("n"), F.col("lead.n")) & how.overlaps(
         F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")), F.col("n"), F.col("lead.n")
@@ -202,6 +203,7 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col:
         F.col("digest").alias("_digest"), F.coalesce("component", "cls").alias("component")
     )
     alone = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "doc_id"), "doc_id"))
+    named = stage(named, "named")
     return found.join(named, (found["digest"] == named["_digest"]) & (found["n"] > 0), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id")
     )

@@ -221,7 +221,8 @@ def deduplicate(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
     sequences = stage(_sequences(docs.where("doc_id IS NOT NULL")), "sequences")
     firsts = sequences.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = sequences.join(firsts, "digest").where("doc_id != first").select("doc_id", "text_hash", "n_words")
+    # Written, so that both sides of the join are shuffled and a large group of copies can be split.
+    copies = sequences.join(stage(firsts, "firsts"), "digest").where("doc_id != first").select("doc_id", "text_hash", "n_words")
     copies = stage(copies, "copies")
     rows = copies.select("doc_id", "text_hash").distinct().withColumn("copy", F.lit(True))
     rows = stage(rows, "copy-rows")
