@@ -134,8 +134,8 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str, start: int =
     return range_number(df, [], order, name, start)
 
 
-def fits_broadcast(dim: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(dim) <= limit
+def fits_broadcast(dim: DataFrame, limit: int | None = None) -> bool:
+    return measured_bytes(dim) <= (BROADCAST_BYTES if limit is None else limit)
 
 
 def _splits_skew(spark: SparkSession) -> bool:
@@ -153,14 +153,14 @@ def lookup(
     size_of: DataFrame | None = None,
     derived: bool = False,
     fits: bool | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    limit: int = HOT_ROWS,
+    broadcast_bytes: int | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Equi-join of ``fact`` with a table unique on ``keys``.
 
     The dimension is broadcast when its measured size allows; ``size_of`` names a table of the same size that is
-    cheaper to measure, and ``fits`` hands in a measurement already made (``fits_broadcast``). Otherwise it is shuffled, and the rows of hot fact keys are spread over ``SALTS`` parts,
-    each with its own copy of the matching dimension row.
+    cheaper to measure, and ``fits`` hands in a measurement already made (``fits_broadcast``). Otherwise both are shuffled
+    in one join: the rows of hot fact keys are salted in place, and only their dimension rows are copied to each salt.
 
     ``derived=True`` is for a dimension that costs much to compute: measuring it would compute it twice, so both
     sides are shuffled and adaptive execution picks a broadcast from the real size or splits oversize partitions.
@@ -174,11 +174,13 @@ def lookup(
             return fact.join(dim, keys, how)
     elif fits_broadcast(dim if size_of is None else size_of, broadcast_bytes) if fits is None else fits:
         return fact.join(F.broadcast(dim), keys, how)
-    hot = hot_groups(fact, keys, limit)
+    hot = hot_groups(fact, keys, HOT_ROWS if limit is None else limit)
     if hot is None:
         return fact.join(dim, keys, how)
-    ordinary, heavy = split_hot(fact, hot, keys)
-    salted = heavy.withColumn("_salt", F.pmod(F.xxhash64(*heavy.columns), F.lit(SALTS)).cast("int"))
-    copies = split_hot(dim, hot, keys)[1].withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = salted.join(copies, [*keys, "_salt"], how).drop("_salt")
-    return ordinary.join(dim, keys, how).unionByName(spread)
+    listed = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    salt = F.when(F.col("_is_hot"), F.pmod(F.xxhash64(*fact.columns), F.lit(SALTS))).otherwise(0)
+    salted = fact.join(listed, match, "left").select(*fact.columns, salt.cast("int").alias("_salt"))
+    salts = F.sequence(F.lit(0), F.when(F.col("_is_hot"), F.lit(SALTS - 1)).otherwise(0))
+    copies = dim.join(listed, match, "left").select(*dim.columns, F.explode(salts).alias("_salt"))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")

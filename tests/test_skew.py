@@ -11,6 +11,7 @@ import pytest
 from check import canonical
 from checks import oracle, queries
 from checks import tables as t
+from clickrank.operators import scale
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +75,28 @@ def test_filters_and_columns_reach_the_scan(spark, small):
 def test_logs_are_packed_where_they_were_numbered(spark, small, executed_plan):
     plan = executed_plan(t.shown_news(spark, small).groupBy("impression_id", "user_id", "page").count())
     assert plan.count("Exchange") == 1
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["j1_candidate_titles", "x5_training_examples", "x6_evaluation_examples", "t5_encode_texts", "m3_personalized_attention_pool",
+     "m5_user_vector_additive", "m7_user_vector_selfattn", "w8_evaluate"],
+)
+def test_queries_without_broadcasts_and_with_hot_keys(spark, small, monkeypatch, name):
+    """What large tables do: no dimension is broadcast, and keys of more than 20 rows are salted."""
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(scale, "HOT_ROWS", 20)
+    duck = duckdb.connect()
+    for path in Path(small).glob("*.parquet"):
+        duck.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    got = canonical(queries.REGISTERED[name](spark, small).toPandas())
+    assert got.equals(canonical(duck.sql(oracle.statements()[name]).df()))
+
+
+def test_salted_lookup_is_one_join(spark, executed_plan):
+    fact = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(100)] + [(None, 5)] * 30, "k long, v long")
+    dim = spark.createDataFrame([(i, f"d{i}") for i in range(100)], "k long, d string")
+    joined = scale.lookup(fact, dim, "k", fits=False, limit=20)
+    assert executed_plan(joined.hint("merge")).count("SortMergeJoin") <= 1 and joined.columns == ["k", "v", "d"]
+    want = sorted(((r.k, r.v, r.d) for r in fact.join(dim, "k", "left").collect()), key=str)
+    assert sorted(((r.k, r.v, r.d) for r in joined.collect()), key=str) == want
