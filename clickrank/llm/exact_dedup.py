@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from clickrank.llm.tables import join_ids
 from clickrank.session import scratch_path, stage
 
-BUCKETS = 64
 INDEX_SCHEMA = "digest binary, keep_id bigint, n_chars bigint, group_size bigint"
 
 
@@ -41,7 +40,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 class DigestIndex:
     """A bucketed index under a path that all executors share; opened again by the same path."""
 
-    def __init__(self, spark: SparkSession, path: str, table: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, table: str, buckets: int):
         self.spark, self.path, self.table, self.buckets = spark, path, table, buckets
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} ({INDEX_SCHEMA}) USING parquet "
@@ -68,7 +67,7 @@ class DigestIndex:
         )
 
     def drop(self) -> None:
-        """Forget the table; files under its path stay."""
+        """Forget the table's name; its files stay, and so do the decisions read from them."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
@@ -87,9 +86,10 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     )
 
 
-def new_index(spark: SparkSession, buckets: int = BUCKETS) -> DigestIndex:
-    """An empty index in a new shared folder."""
+def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
+    """An empty index in a new shared folder, by default of as many buckets as shuffles have partitions."""
     path = scratch_path(spark, "digest-index")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return DigestIndex(spark, path, "digest_index_" + path.rsplit("-", 1)[-1], buckets)
 
 

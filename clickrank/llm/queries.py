@@ -27,6 +27,7 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents as one batch of a new index."""
     index = exact_dedup.new_index(spark)
     decided = exact_dedup.deduplicate(read(spark, folder, "documents"), index)
+    index.drop()
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -19,7 +19,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact_dedup.drop_duplicates(docs, exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    kept = exact_dedup.drop_duplicates(docs, index)
+    index.drop()
+    return kept
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
