@@ -49,7 +49,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     placed = occurrences(docs, min_chars, **columns)
     holders = placed.groupBy("line", "doc_id").agg(F.count(F.lit(1)).alias("_n"))
     common = holders.groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper"))
-    common = common.where(F.col("docs") >= min_docs).select("line", "keeper")
+    # Written, so that both sides of the join are shuffled and a line that fills a partition can be split.
+    common = stage(common.where(F.col("docs") >= min_docs).select("line", "keeper"), "common-lines")
     gone = placed.join(common, "line").where("doc_id IS NULL OR doc_id < keeper")
     bit = F.expr("shiftleft(1L, pos % 64)")
     words = gone.groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word")).agg(F.bit_or(bit).alias("bits"))
