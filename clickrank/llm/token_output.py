@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from clickrank.llm import tokens
 from clickrank.llm.tables import prefix_sums
+from clickrank.session import stage
 
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
@@ -96,5 +97,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             )
 
     rows = read_tokens(spark, path).mapInArrow(check, "doc_id long, text_hash long, n_tokens long, ids_crc32 long")
+    rows = stage(rows, "token-rows")  # the range bounds are then sampled from rows without ids
     placed = prefix_sums(rows, [], [F.col("doc_id"), F.col("text_hash"), F.col("ids_crc32")], "n_tokens", "start")
     return placed.select("doc_id", "start", "n_tokens", "ids_crc32")
