@@ -1,7 +1,12 @@
-"""Text and vectors for news ids."""
+"""Text and vectors for news ids.
+
+``keys`` name a row where impression ids start anew in each split of a table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,8 @@ from clickrank.functions.arrays import fit_history
 from clickrank.operators.scale import fits_broadcast, lookup
 from clickrank.schema import EMPTY_NEWS_ID
 
+IMPRESSION = ("impression_id",)
+
 
 def with_empty_news(news: DataFrame) -> DataFrame:
     """Adds the sentinel news with empty text in every other string column."""
@@ -41,14 +48,14 @@ def with_text(rows: DataFrame, news_text: DataFrame, strict: bool, fits: bool |
     return joined.select(*rows.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
-def by_impression(rows: DataFrame, news_text: DataFrame) -> tuple[DataFrame, bool]:
+def by_impression(rows: DataFrame, news_text: DataFrame, keys: Sequence[str] = IMPRESSION) -> tuple[DataFrame, bool]:
     """Rows placed by impression while they are still packed ids, if the text can be broadcast to them.
 
     The items unrolled from such a row stay where they are, so packing them again with their text needs no
     exchange of the text. Otherwise the text join moves the items anyway and the rows are left alone.
     """
     fits = fits_broadcast(news_text)
-    return (rows.repartition("impression_id") if fits else rows), fits
+    return (rows.repartition(*keys) if fits else rows), fits
 
 
 def candidate_titles(candidates: DataFrame, news: DataFrame, strict: bool = False) -> DataFrame:
@@ -61,30 +68,36 @@ def candidate_texts(candidates: DataFrame, news_text: DataFrame, strict: bool =
     return with_text(candidates, news_text.select("news_id", "title", "category_description"), strict)
 
 
-def history_slots(behaviors: DataFrame, history_size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+def history_slots(
+    behaviors: DataFrame, history_size: int, keep: tuple[str, ...] = (), keys: Sequence[str] = IMPRESSION
+) -> DataFrame:
     """One row per padded history slot, in order."""
     fitted = fit_history(F.col("history"), history_size)
-    return behaviors.select("impression_id", *keep, F.posexplode(fitted).alias("slot", "news_id"))
+    return behaviors.select(*keys, *keep, F.posexplode(fitted).alias("slot", "news_id"))
 
 
-def _history(behaviors: DataFrame, text: DataFrame, history_size: int, strict: bool) -> DataFrame:
+def _history(behaviors: DataFrame, text: DataFrame, history_size: int, strict: bool, keys: Sequence[str]) -> DataFrame:
     texts = [c for c in text.columns if c != "news_id"]
-    placed, fits = by_impression(behaviors.select("impression_id", "history"), text)
-    rows = with_text(history_slots(placed, history_size), text, strict, fits)
+    placed, fits = by_impression(behaviors.select(*keys, "history"), text, keys)
+    rows = with_text(history_slots(placed, history_size, keys=keys), text, strict, fits)
     # At most history_size rows per impression.
-    return rows.groupBy("impression_id").agg(
+    return rows.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("slot", "news_id", *texts))).alias("history")
     )
 
 
-def history_titles(behaviors: DataFrame, news: DataFrame, history_size: int, strict: bool = False) -> DataFrame:
+def history_titles(
+    behaviors: DataFrame, news: DataFrame, history_size: int, strict: bool = False, keys: Sequence[str] = IMPRESSION
+) -> DataFrame:
     """Per impression the ``(slot, news_id, title)`` of the padded history, order kept."""
-    return _history(behaviors, news.select("news_id", "title"), history_size, strict)
+    return _history(behaviors, news.select("news_id", "title"), history_size, strict, keys)
 
 
-def history_texts(behaviors: DataFrame, news_text: DataFrame, history_size: int, strict: bool = False) -> DataFrame:
+def history_texts(
+    behaviors: DataFrame, news_text: DataFrame, history_size: int, strict: bool = False, keys: Sequence[str] = IMPRESSION
+) -> DataFrame:
     """As ``history_titles`` with the category description."""
-    return _history(behaviors, news_text.select("news_id", "title", "category_description"), history_size, strict)
+    return _history(behaviors, news_text.select("news_id", "title", "category_description"), history_size, strict, keys)
 
 
 def attach_description(news: DataFrame, descriptions: DataFrame, strict: bool = False) -> DataFrame:

@@ -6,27 +6,28 @@ expressions over that row: no exchange, no window, whatever the number of impres
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickrank.functions.arrays import append_empty_candidate, fit_history, label_vector, target_index
 from clickrank.functions.keys import seeded_key
-from clickrank.operators.lookup import by_impression, with_text
+from clickrank.operators.lookup import IMPRESSION, by_impression, with_text
 from clickrank.operators.scale import dense_index
 from clickrank.operators.users import attach_user_idx
 from clickrank.schema import EMPTY_NEWS_ID, FILLER_POS
 
-KEY = "impression_id"
 
 
-def _drawn(label: int, n: int, seed: int, epoch: int) -> Column:
+def _drawn(label: int, n: int, seed: int, epoch: int, keys: Sequence[str]) -> Column:
     """The ``n`` items of this label with the smallest keys."""
     keyed = F.transform(
         "impressions",
         lambda x, i: F.when(
             x["clicked"] == label,
             F.struct(
-                seeded_key(seed, epoch, KEY, i).alias("key"), i.alias("pos"), x["news_id"].alias("news_id"),
+                seeded_key(seed, epoch, *keys, i).alias("key"), i.alias("pos"), x["news_id"].alias("news_id"),
                 x["clicked"].alias("clicked"),
             ),
         ),
@@ -34,15 +35,17 @@ def _drawn(label: int, n: int, seed: int, epoch: int) -> Column:
     return F.slice(F.array_sort(F.filter(keyed, lambda x: x.isNotNull())), 1, n)
 
 
-def sample_positive(behaviors: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
+def sample_positive(behaviors: DataFrame, seed: int, epoch: int = 0, keys: Sequence[str] = IMPRESSION) -> DataFrame:
     """``positive``, one clicked item drawn uniformly, as an array that is empty without a click."""
-    return behaviors.select("*", _drawn(1, 1, seed, epoch).alias("positive"))
+    return behaviors.select("*", _drawn(1, 1, seed, epoch, keys).alias("positive"))
 
 
-def sample_negatives(behaviors: DataFrame, npratio: int, seed: int, epoch: int = 0) -> DataFrame:
+def sample_negatives(
+    behaviors: DataFrame, npratio: int, seed: int, epoch: int = 0, keys: Sequence[str] = IMPRESSION
+) -> DataFrame:
     """``negatives``, ``npratio`` unclicked items without replacement. If there are fewer, all of them and
     the empty news (position -1) as often as needed."""
-    drawn = behaviors.select("*", _drawn(0, npratio, seed, epoch).alias("_drawn"))
+    drawn = behaviors.select("*", _drawn(0, npratio, seed, epoch, keys).alias("_drawn"))
     filler = F.struct(
         F.lit("").alias("key"), F.lit(FILLER_POS).alias("pos"), F.lit(EMPTY_NEWS_ID).alias("news_id"),
         F.lit(0).alias("clicked"),
@@ -51,12 +54,12 @@ def sample_negatives(behaviors: DataFrame, npratio: int, seed: int, epoch: int =
     return drawn.select(*behaviors.columns, F.concat("_drawn", F.array_repeat(filler, missing)).alias("negatives"))
 
 
-def shuffle_sample(sampled: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
+def shuffle_sample(sampled: DataFrame, seed: int, epoch: int = 0, keys: Sequence[str] = IMPRESSION) -> DataFrame:
     """``sample``, the drawn items in random order. ``pick`` numbers them as drawn, the positive being 0."""
     mixed = F.transform(
         F.concat("positive", "negatives"),
         lambda x, i: F.struct(
-            seeded_key(seed, epoch, F.lit("slot"), KEY, i).alias("key"), i.alias("pick"), x["pos"].alias("pos"),
+            seeded_key(seed, epoch, F.lit("slot"), *keys, i).alias("key"), i.alias("pick"), x["pos"].alias("pos"),
             x["news_id"].alias("news_id"), x["clicked"].alias("clicked"),
         ),
     )
@@ -64,14 +67,16 @@ def shuffle_sample(sampled: DataFrame, seed: int, epoch: int = 0) -> DataFrame:
     return sampled.select(*others, F.array_sort(mixed).alias("sample"))
 
 
-def draw_sample(behaviors: DataFrame, npratio: int, seed: int, epoch: int = 0) -> DataFrame:
+def draw_sample(
+    behaviors: DataFrame, npratio: int, seed: int, epoch: int = 0, keys: Sequence[str] = IMPRESSION
+) -> DataFrame:
     """X1-X3 together with ``target``; impressions without a click are left out (``click_stats`` counts them)."""
-    positive = sample_positive(behaviors.where(F.exists("impressions", lambda x: x["clicked"] == 1)), seed, epoch)
-    shuffled = shuffle_sample(sample_negatives(positive, npratio, seed, epoch), seed, epoch)
+    positive = sample_positive(behaviors.where(F.exists("impressions", lambda x: x["clicked"] == 1)), seed, epoch, keys)
+    shuffled = shuffle_sample(sample_negatives(positive, npratio, seed, epoch, keys), seed, epoch, keys)
     return shuffled.select("*", target_index(F.transform("sample", lambda x: x["clicked"])).alias("target"))
 
 
-def _attach_texts(rows: DataFrame, news_text: DataFrame, strict: bool) -> DataFrame:
+def _attach_texts(rows: DataFrame, news_text: DataFrame, strict: bool, keys: Sequence[str]) -> DataFrame:
     """Replaces ids by ``(news_id, text...)``: one join for candidates and history together."""
     carried = [c for c in rows.columns if c not in ("candidates", "history")]
     texts = [c for c in news_text.columns if c != "news_id"]
@@ -88,7 +93,7 @@ def _attach_texts(rows: DataFrame, news_text: DataFrame, strict: bool) -> DataFr
         tagged("candidates", 0, lambda x: x["news_id"], lambda x: x["clicked"]),
         tagged("history", 1, lambda x: x, lambda x: F.lit(None).cast("int")),
     )
-    placed, fits = by_impression(rows, news_text)
+    placed, fits = by_impression(rows, news_text, keys)
     flat = with_text(placed.select(*carried, F.inline(items)), news_text, strict, fits)
     item = F.struct("part", "slot", "news_id", "clicked", *texts)
     # A group is the content of one behaviour row: its candidates and at most history_size slots.
@@ -114,20 +119,21 @@ def training_examples(
     seed: int,
     epoch: int = 0,
     strict: bool = False,
+    keys: Sequence[str] = IMPRESSION,
 ) -> DataFrame:
     """One row per impression with a click: shuffled candidates, padded history, user index, target.
 
     Without ``news_text`` the rows keep ids only, which needs no exchange at all.
     """
-    sampled = draw_sample(attach_user_idx(behaviors, user_index), npratio, seed, epoch)
+    sampled = draw_sample(attach_user_idx(behaviors, user_index), npratio, seed, epoch, keys)
     candidates = F.transform(
         "sample", lambda x: F.struct(x["news_id"].alias("news_id"), x["clicked"].alias("clicked"))
     )
     rows = sampled.select(
-        KEY, "user_idx", "target", candidates.alias("candidates"),
+        *keys, "user_idx", "target", candidates.alias("candidates"),
         fit_history(F.col("history"), history_size).alias("history"),
     )
-    return rows if news_text is None else _attach_texts(rows, news_text, strict)
+    return rows if news_text is None else _attach_texts(rows, news_text, strict, keys)
 
 
 def evaluation_examples(
@@ -137,22 +143,25 @@ def evaluation_examples(
     history_size: int,
     include_empty: bool = True,
     strict: bool = False,
+    keys: Sequence[str] = IMPRESSION,
 ) -> DataFrame:
     """One row per impression with every candidate, the empty one at the end, and the label vector."""
     shown = append_empty_candidate(F.col("impressions")) if include_empty else F.col("impressions")
     rows = attach_user_idx(behaviors, user_index).select(
-        KEY, "user_idx", shown.alias("candidates"), fit_history(F.col("history"), history_size).alias("history")
+        *keys, "user_idx", shown.alias("candidates"), fit_history(F.col("history"), history_size).alias("history")
     )
     if news_text is not None:
-        rows = _attach_texts(rows, news_text, strict)
+        rows = _attach_texts(rows, news_text, strict, keys)
     return rows.select("*", label_vector(F.col("candidates")).alias("labels"))
 
 
-def assign_batches(examples: DataFrame, batch_size: int, seed: int, epoch: int = 0, key: str = KEY) -> DataFrame:
+def assign_batches(
+    examples: DataFrame, batch_size: int, seed: int, epoch: int = 0, keys: Sequence[str] = IMPRESSION
+) -> DataFrame:
     """``batch`` and ``place`` of each row under a random order of the whole table; only the last batch
     may be short. The order is that of hashes, numbered by range parts."""
-    keyed = examples.withColumn("_key", seeded_key(seed, epoch, F.lit("batch"), key))
-    placed = dense_index(keyed, [F.col("_key"), F.col(key)], "_place", 0)
+    keyed = examples.withColumn("_key", seeded_key(seed, epoch, F.lit("batch"), *keys))
+    placed = dense_index(keyed, [F.col("_key"), *[F.col(k) for k in keys]], "_place", 0)
     return placed.select(
         *examples.columns,
         F.floor(F.col("_place") / batch_size).alias("batch"),

@@ -67,13 +67,13 @@ def score_candidates(
     return joined.select(*kept, F.round(score, SCORE_DECIMALS).alias("score"))
 
 
-def listwise_loss(sampled_scores: DataFrame) -> DataFrame:
+def listwise_loss(sampled_scores: DataFrame, keys: Sequence[str] = ("impression_id",)) -> DataFrame:
     """M9: mean cross-entropy of the scores of each sample against its clicked slot.
 
     Three mergeable aggregates per sample: the largest score gives the stable shift in a second aggregate over
     the at most ``1 + npratio`` collected scores.
     """
-    per_sample = sampled_scores.groupBy("impression_id").agg(
+    per_sample = sampled_scores.groupBy(*keys).agg(
         F.collect_list("score").alias("scores"),
         F.max(F.when(F.col("clicked") == 1, F.col("score"))).alias("target"),
     )

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickrank.operators import sampling
+from clickrank.operators.lookup import history_titles
 
 SCHEMA = "impression_id long, user_id string, history array<string>, impressions array<struct<news_id:string,clicked:int>>"
 
@@ -111,3 +112,20 @@ def test_texts_are_not_shuffled_when_news_are_broadcast(spark, behaviors, index,
     assert plan.index("ObjectHashAggregate") < plan.index("Exchange hashpartitioning")
     exchange = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
     assert "hashpartitioning(impression_id" in exchange
+
+
+def test_equal_ids_in_two_splits_stay_apart(spark, index):
+    """The table of both splits is used as it is, with the split as part of the key."""
+    one = make(spark).withColumn("split", F.lit("train"))
+    both = one.unionByName(make(spark).withColumn("split", F.lit("val")))
+    news = spark.createDataFrame([("N1_1", "a")], "news_id string, title string")
+    keys = ("split", "impression_id")
+    for rows in (
+        sampling.training_examples(both, news, index, 4, 3, 1, keys=keys),
+        sampling.evaluation_examples(both, news, index, 3, keys=keys),
+        history_titles(both, news, 3, keys=keys),
+    ):
+        counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+        assert counts["train"] == counts["val"] == rows.select(*keys).distinct().count() / 2
+    slots = history_titles(both, news, 3, keys=keys).select(F.size("history").alias("n")).distinct().collect()
+    assert [r.n for r in slots] == [3]
