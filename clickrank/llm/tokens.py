@@ -13,7 +13,7 @@ import re
 
 import numpy as np
 
-KNOWN = 600_000
+KNOWN = 150_000
 _VISIBLE = "!-~À-ɏ"
 _SAFE_CUT = re.compile(rf"(?<=[{_VISIBLE}])(?=[ \n][{_VISIBLE}])")
 
