@@ -12,6 +12,10 @@
 5. Pairs pass the suffix filter (the sets' sizes within 64 fixed hash ranges bound the overlap) and are verified once,
    by intersecting whole sets of 64-bit hashes.
 
+``jaccard_components`` is the cheaper form for components only: it finds as many links as the components need.
+``jaccard_links`` is the whole join: every link between classes, and the documents of each class. It leaves out the
+stars of step 3 and the components of step 4, so a family of near copies costs all its pairs.
+
 Defined cases: null or empty texts, and texts without words, have an empty set and link with nothing; rows that repeat
 an id are one document that links if any of its texts does; a row with a null id keeps a null component; ties are
 broken by id; an empty table gives an empty result; other columns are ignored. A text costs memory in proportion to its
@@ -140,12 +144,11 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, how: Similarit
     return stage(both.where(how.overlaps(overlap, F.size("set_a"), F.size("set_b"))).select("a", "b").distinct(), "links")
 
 
-def _open_pairs(buckets: DataFrame, found: DataFrame, links: DataFrame, how: Similarity) -> DataFrame:
-    """Pairs of a bucket that may link and lie in different components of ``links``.
+def _open_pairs(buckets: DataFrame, found: DataFrame, labels: DataFrame, how: Similarity) -> DataFrame:
+    """Pairs of a bucket that may link and lie in different components (node, component); without labels, all that may link.
 
     All filters are conditions of the join, so that only pairs near the threshold leave it.
     """
-    labels = components(links)
     rows = buckets.join(labels, buckets["cls"] == labels["node"], "left").select(
         "token", "pos", "n", "cls", F.coalesce("component", "cls").alias("component")
     )
@@ -175,15 +178,20 @@ def _open_pairs(buckets: DataFrame, found: DataFrame, links: DataFrame, how: Sim
     return a.join(b, meet).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
 
 
+def _buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """Prefix shingles of the classes' first documents, those of a single class dropped."""
+    rows = found.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
+    tokens = rows.select(F.posexplode("tokens").alias("pos", "token"), "n", F.col("doc_id").alias("cls"))
+    shared = tokens.groupBy("token").count().where("count > 1").select("token")
+    return stage(tokens.join(shared.hint("shuffle_hash"), "token"), "buckets")
+
+
 def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = stage(prefixes(docs, shingle_counts(docs, how.width), how), "prefixes")
     classes = found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls"))
-    rows = found.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0")
-    tokens = rows.select(F.posexplode("tokens").alias("pos", "token"), "n", F.col("doc_id").alias("cls"))
-    shared = tokens.groupBy("token").count().where("count > 1").select("token")
-    buckets = stage(tokens.join(shared.hint("shuffle_hash"), "token"), "buckets")
+    buckets = _buckets(found, classes)
 
     first = F.struct("pos", "n", "cls")
     # Written, here and below, so that both sides of the join are shuffled and a hot key can be split.
@@ -195,7 +203,7 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col:
     stars = led.where(fits).select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
 
     links = _verified(docs, found, stars, how)
-    more = _verified(docs, found, _open_pairs(buckets, found, links, how), how)
+    more = _verified(docs, found, _open_pairs(buckets, found, components(links), how), how)
     again = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     same = found.join(again, "doc_id").join(classes, "digest").where("cls != doc_id").select(F.col("cls").alias("a"), F.col("doc_id").alias("b"))
     labels = components(links.union(more).union(same))
@@ -209,6 +217,32 @@ def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col:
     )
 
 
+def jaccard_links(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links between classes of equal sets, (a, b) with a < b, and the members (doc_id, cls, n_shingles) of each class.
+
+    Documents of one class link with each other, and with those of every linked class. Classes are numbered by rows, not
+    ids, because the texts of a repeated id may be of several classes; texts are written once with these numbers.
+    Rows with a null id and rows without shingles are no members.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("text")).where("_id IS NOT NULL")
+    rows = stage(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
+    docs = rows.select("doc_id", "text")
+    found = stage(prefixes(docs, shingle_counts(docs, how.width), how), "prefixes")
+    classes = stage(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls")), "classes")
+    nothing = docs.sparkSession.createDataFrame([], "node long, component long")
+    links = _verified(docs, found, _open_pairs(_buckets(found, classes), found, nothing, how), how)
+    members = found.where("n > 0").join(classes, "digest").join(rows.select("doc_id", "_id"), "doc_id")
+    return links, members.select(F.col("_id").alias("doc_id"), "cls", F.col("n").cast("long").alias("n_shingles")).distinct()
+
+
+def document_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of documents (a, b), a < b, that link: within a class and over its links."""
+    near = links.union(members.select("cls", "cls").distinct())
+    a, b = (members.select(F.col("doc_id").alias(f"doc_{s}"), F.col("cls").alias(s)) for s in "ab")
+    both = near.join(a, "a").join(b, "b").where("doc_a != doc_b")
+    return both.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """``docs`` without those that link, directly or over others, to a document of smaller id."""
     gone = jaccard_components(docs, how).where("component_id < doc_id").select("doc_id").distinct()

@@ -92,3 +92,26 @@ def test_one_of_each_group_stays(table):
     kept = n.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == [-1, 1, 2, 9]
+
+
+def brute_links(rows, how):
+    sets = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOWER))
+        sets.append((i, {tuple(w[j : j + how.width]) for j in range(max(1, len(w) - how.width + 1))} if w else set()))
+    sets = [(i, s) for i, s in sets if i is not None and s]
+    return {(i, j) for i, s in sets for j, u in sets if i < j and how.parts * len(s & u) >= how.least * len(s | u)}
+
+
+def test_all_links_against_brute_force(table):
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(80)]
+    hot = [(i, " ".join(base[:k] + [f"e{i}"] + base[k + 1 :])) for i in range(60) for k in [r.randrange(80)]]
+    # id 500 has the texts of two classes; a member of one of them has no link over the other
+    repeated = [(500, "a b c d e"), (500, "k l m n o"), (501, "a b c d e"), (502, "k l m n o"), (None, "a b c d e"), (503, "")]
+    for rows, how in ((corpus(1), n.Similarity(4, 85, 100)), (hot + repeated, n.Similarity(4, 85, 100))):
+        links, members = n.jaccard_links(table(rows), how)
+        assert [(x.a, x.b) for x in n.document_links(links, members).collect() if x.a >= x.b] == []
+        assert {(x.a, x.b) for x in n.document_links(links, members).collect()} == brute_links(rows, how)
+    links, members = n.jaccard_links(table([]), how)
+    assert links.count() == members.count() == 0
