@@ -1,7 +1,9 @@
 """Quotation linking: conversations in reply order, without quotes. Built-in functions only.
 
-A line that begins with ``>`` marks is quoted, at the level of their number. Quoted passages are the non-empty lines
-below the marks, folded to lower case and single spaces, and hashed. A message replies to the earlier message of its
+A line that begins with ``>`` marks is quoted, at the level of their number. Passages are the non-empty lines below the
+marks and the sentences of blocks, folded to lower case and single spaces, and hashed; a passage that is both counts once.
+A block is a run of non-empty lines of one level, joined over line ends, so that a sentence is found that was quoted out of
+a longer line or wrapped anew; a line ``... wrote:`` is a block of its own. A message replies to the earlier message of its
 conversation that last wrote most of the passages it quotes at its lowest level with a known passage (ties: the later
 message); a message that quotes nothing known replies to the one before it. Depth counts messages from the first one
 along replies, and the reply order is by depth, then original order, so that a message follows what it replies to.
@@ -28,15 +30,41 @@ MARKS = r"^[\x20\t]*(?:>[\x20\t]?)+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+WROTE = r"wrote:[\x20\t\r]*$"
+SENTENCE_END = r"(?<=[.!?\u2026][\"')\]\u201d\u2019]{0,3})\x20|(?<=[\u3002\uff01\uff1f])\x20?"
+
+
 def quote_level(line: Column) -> Column:
     marks = F.regexp_extract(line, MARKS, 0)
     return F.char_length(marks) - F.char_length(F.translate(marks, ">", ""))
 
 
-def passage_hash(line: Column) -> Column:
-    """Hash of the normalised line below its marks; NULL for an empty one."""
-    plain = F.lower(F.btrim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), SPACE, " ")))
-    return F.when(plain != "", F.unhex(F.md5(plain)))
+def plain_line(line: Column) -> Column:
+    """The normalised line below its marks."""
+    return F.lower(F.btrim(F.regexp_replace(F.regexp_replace(line, MARKS, ""), SPACE, " ")))
+
+
+def blocks(text: Column) -> Column:
+    """Array of ``level TAB text`` of the runs of lines of one level, normalised; empty lines end a run."""
+    lines = F.split(text, "\n", -1)
+    before = F.slice(F.concat(F.array(F.lit("")), lines), F.lit(1), F.size(lines))
+
+    def placed(line: Column, last: Column) -> Column:
+        same = (quote_level(line) == quote_level(last)) & (plain_line(last) != "") & ~line.rlike(WROTE) & ~last.rlike(WROTE)
+        return F.concat(F.when(same, F.lit(" ")).otherwise(F.concat(F.lit("\n"), quote_level(line).cast("string"), F.lit("\t"))), plain_line(line))
+
+    return F.filter(F.split(F.array_join(F.zip_with(lines, before, placed), ""), "\n", -1), lambda x: x != "")
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv_id, idx, level, passage): hashes of the lines and of the sentences of blocks, each once; level 0 is own text."""
+    lines = messages.select("conv_id", "idx", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = lines.select("conv_id", "idx", quote_level(F.col("line")).alias("level"), plain_line(F.col("line")).alias("plain"))
+    runs = messages.select("conv_id", "idx", F.explode(blocks(F.col("text"))).alias("run"))
+    level, run = F.substring_index("run", "\t", 1).cast("int"), F.substring_index("run", "\t", -1)
+    sentences = runs.select("conv_id", "idx", level.alias("level"), F.explode(F.split(run, SENTENCE_END, -1)).alias("plain"))
+    found = lines.unionByName(sentences.withColumn("plain", F.btrim("plain"))).where("plain != ''")
+    return found.select("conv_id", "idx", "level", F.unhex(F.md5("plain")).alias("passage")).distinct()
 
 
 def own_text(text: Column) -> Column:
@@ -45,7 +73,7 @@ def own_text(text: Column) -> Column:
     quoted = F.transform(lines, lambda x: x.rlike(MARKS))
     own = F.filter(
         F.arrays_zip(lines.alias("line"), quoted.alias("quoted"), F.slice(F.concat(quoted, F.array(F.lit(False))), F.lit(2), F.size(lines)).alias("next")),
-        lambda x: ~x["quoted"] & ~(x["next"] & x["line"].rlike(r"wrote:[\x20\t\r]*$")),
+        lambda x: ~x["quoted"] & ~(x["next"] & x["line"].rlike(WROTE)),
     )
     joined = F.array_join(F.transform(own, lambda x: x["line"]), "\n")
     return F.when(F.exists(quoted, lambda q: q), F.btrim(joined, F.lit(" \t\n\x0b\f\r"))).otherwise(text)
@@ -60,12 +88,9 @@ def _numbered(messages: DataFrame) -> DataFrame:
 
 def quote_parents(numbered: DataFrame) -> DataFrame:
     """(conv_id, idx, parent): the message that each quoting message replies to."""
-    lines = numbered.where(F.col("text").contains(">")).select("conv_id", "idx", F.explode(F.split("text", "\n", -1)).alias("line"))
-    quoted = lines.select("conv_id", "idx", quote_level(F.col("line")).alias("level"), passage_hash(F.col("line")).alias("passage"))
-    quoted = stage(quoted.where("level > 0 AND passage IS NOT NULL").distinct(), "quoted")
+    quoted = stage(passages(numbered.where(F.col("text").contains(">"))).where("level > 0"), "quoted")
     asked = quoted.select(F.col("conv_id").alias("_conv"), F.col("passage").alias("_passage")).distinct()
-    own = numbered.select("conv_id", "idx", F.explode(F.split("text", "\n", -1)).alias("line")).where(~F.col("line").rlike(MARKS))
-    own = own.select("conv_id", "idx", passage_hash(F.col("line")).alias("passage")).where("passage IS NOT NULL").distinct()
+    own = passages(numbered).where("level = 0").drop("level")
     own = own.join(asked, own["conv_id"].eqNullSafe(asked["_conv"]) & (own["passage"] == asked["_passage"]), "left_semi")
     both = quoted.withColumn("writer", F.lit(None).cast("long")).unionByName(
         own.select("conv_id", "idx", F.lit(None).cast("int").alias("level"), "passage", F.col("idx").alias("writer"))

@@ -81,6 +81,21 @@ def test_repeated_rows_and_empty(frame):
     assert c.reply_order(frame(ROWS).limit(0)).count() == 0
 
 
+def test_sentences_out_of_lines_and_over_line_ends(frame):
+    """Each quoting message replies to message 0 or 1, not to the one before it."""
+    rows = [
+        (1, 0, "u", "First point. Could you send the old table?  It is needed. Bye"), (1, 1, "a", "It comes in two parts and the second\none is long (see below.) Then we\nare done!"),
+        (1, 2, "u", "Other things."), (1, 3, "a", "> Could you send the old table?\nYes"),              # out of a longer line
+        (1, 4, "u", "> First point. Could you send the\n> old table? It is needed. Bye\nNo"),             # wrapped anew
+        (1, 5, "a", "So.\nOn Monday a wrote:\n>> it comes in two parts\n>> and the second one is long (see below.)\n>> Then we are done!\nWell"),
+        (1, 6, "u", "> could you send the\n>\n> old table?\nnot over an empty line"), (1, 7, "a", "> could you send the\n>> old table?\nnor over levels"),
+        (2, 0, "u", "\u4f60\u597d\u3002\u518d\u89c1\u3002"), (2, 1, "a", "x"), (2, 2, "u", "> \u518d\u89c1\u3002\ny"), (3, 0, "u", "So. On it"), (3, 1, "a", "z"), (3, 2, "u", "> So.\nw"),
+    ]
+    found = {(r.conv_id, r.turn): r.reply_to for r in c.reply_order(frame(rows)).collect()}
+    assert [found[1, i] for i in range(8)] == [None, 0, 1, 0, 0, 1, 5, 6]
+    assert (found[2, 2], found[3, 2]) == (0, 0)
+
+
 def test_native_plan(frame, executed_plan):
     plan = executed_plan(c.reply_order(frame(ROWS)))
     assert "Python" not in plan and "Arrow" not in plan
