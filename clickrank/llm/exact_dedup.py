@@ -93,16 +93,34 @@ def new_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
     return DigestIndex(spark, path, "digest_index_" + path.rsplit("-", 1)[-1], buckets)
 
 
-def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; rows that repeat an id and text stay together.
+def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns.
 
-    Only rows of an id that loses a row are compared by digest; the others pass without being moved as long as the
-    losing ids can be broadcast.
+    Rows that repeat an id and text stay together; without ``repeats`` one of them stays, of the most code points.
+    Only rows of an id that loses a row, or repeats one, are compared by digest; the others pass without being moved as
+    long as these ids can be broadcast.
     """
-    gone = stage(deduplicate(docs, index, id_col, text).where(~F.col("kept")).select("doc_id", "digest").distinct(), "gone")
-    ids = gone.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    decided = deduplicate(docs, index, id_col, text)
+    if not repeats:
+        decided = stage(decided, "decided")
+        again = decided.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
+        again = stage(again.select("doc_id", "digest"), "again")
+    gone = stage(decided.where(~F.col("kept")).select("doc_id", "digest").distinct(), "gone")
     named = docs.where(docs[id_col].isNotNull())
+    ids = gone if repeats else gone.union(again)
+    ids = ids.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    ids = ids if repeats else stage(ids, "doubtful")
     doubtful = join_ids(named, ids, "left_semi", id_col).unionByName(docs.where(docs[id_col].isNull()))
-    mine = F.unhex(F.sha2(normalised(doubtful[text]), 256))
-    match = doubtful[id_col].cast("long").eqNullSafe(gone["doc_id"]) & (mine == gone["digest"])
-    return join_ids(named, ids, "left_anti", id_col).unionByName(doubtful.join(gone, match, "left_anti"))
+    mine = F.unhex(F.sha2(normalised(F.col(text)), 256))
+
+    def among(found: DataFrame, how: str) -> DataFrame:
+        return doubtful.join(found, doubtful[id_col].cast("long").eqNullSafe(found["doc_id"]) & (mine == found["digest"]), how)
+
+    passed = join_ids(named, ids, "left_anti", id_col)
+    if repeats:
+        return passed.unionByName(among(gone, "left_anti"))
+    once = among(gone.union(again), "left_anti")
+    # Combined on the map side, so that no task holds a row that is repeated many times.
+    row, size = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.char_length(text), F.xxhash64(text))
+    one = among(again, "left_semi").groupBy(F.col(id_col).cast("long").alias("_id"), mine.alias("_digest")).agg(F.max_by(row, size).alias("_row"))
+    return passed.unionByName(once).unionByName(one.select("_row.*"))

@@ -57,3 +57,14 @@ def test_rows_that_stay(spark, table):
     assert ids == sorted([-1, 13, 13, 6, 8, 12, 4, 7])
     empty = e.drop_duplicates(table([]), e.new_index(spark, 4))
     assert empty.count() == 0
+
+
+def test_one_row_of_each_repeated_id_and_text_stays(spark, table):
+    rows = [*ROWS, *[(13, "same")] * 20, (13, "s a m e"), (13, "other"), (None, "lonely"), (14, "same"), (5, "a b"), (9, "a  b")]
+    docs = table(rows)
+    kept = e.drop_duplicates(docs, e.new_index(spark, 4), repeats=False)
+    assert kept.columns == docs.columns
+    found = sorted((-1 if r.doc_id is None else r.doc_id, re.sub(r"[\x20\x09-\x0d]", "", r.text or "")) for r in kept.collect())
+    assert found == sorted((-1 if keep is None else keep, key) for key, (keep, _) in brute(rows).items())
+    assert "s a m e" in [r.text for r in kept.collect()]
+    assert e.drop_duplicates(table([]), e.new_index(spark, 4), repeats=False).count() == 0
