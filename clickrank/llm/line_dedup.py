@@ -2,8 +2,8 @@
 
 Every line of at least ``min_chars`` code points (stripped of ASCII white space, A-Z folded) is an occurrence (hash,
 document, position). Occurrences are range-partitioned by hash, then document from the largest id down, then position,
-and written in that order; a hash that fills many parts is spread over them. The first document of a hash in this order
-keeps its lines. The number of documents of a hash is counted in two steps, so that no task holds a hash.
+and written in that order; a hash that fills many parts is spread over them. The written order is not read: the keeper
+of a hash, the largest id, and its number of documents come from an aggregate in two steps, so that no task holds a hash.
 What a document loses is returned as a bitmap in sparse 64-bit words, without text: a document that keeps all has no
 row, a run of 64 kept lines no word.
 
