@@ -445,6 +445,9 @@ def statements() -> dict[str, str]:
     sql["m11_score_with_ranker"] = f"""WITH RECURSIVE {SCORED}, {SAMPLE}, {CLICK_MODEL}
         SELECT impression_id, pos, news_id, clicked, round(b0 + b1 * score, 3) AS score FROM scored, fit"""
 
+    sql["w9_evaluate_ranker"] = f"""WITH RECURSIVE {SCORED}, {SAMPLE}, {CLICK_MODEL},
+        judged AS (SELECT impression_id, pos, news_id, clicked, b0 + b1 * score AS score FROM scored, fit), {METRICS.replace("scored", "judged")} SELECT {_AVERAGES} FROM metrics"""
+
     # ---- reports: one run per text method, scored by the number of letters, words and lines of the text
     sql["a10_compare_runs"] = f"""WITH {SHOWN}, {NEWS},
         texts AS (

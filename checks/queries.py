@@ -529,6 +529,12 @@ def w9_evaluate_selfattn(spark, sf):
     return _rounded(means, *reports.METRICS)
 
 
+@query
+def w9_evaluate_ranker(spark, sf):
+    features = _one_feature(model_scores(spark, sf)).drop("score")
+    return _rounded(rank.evaluate_run(scoring.score_with_ranker(features, _ranker(spark, sf)), bounded=True), *reports.METRICS)
+
+
 # ---------------------------------------------------------------- text
 
 
