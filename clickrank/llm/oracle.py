@@ -114,4 +114,89 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
-STATEMENTS: dict[str, str] = {"op1_substring_dedup": OP1, "op2_exact_dedup": OP2, "op3_ngram_join": OP3, "op4_quality_rules": OP4, "op7_line_dedup": OP7}
+
+def _integers(scale: int) -> str:
+    """Rows whose vector is whole and finite, as whole numbers; products of them are exact as doubles."""
+    return f"""SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)"""
+
+
+OP11 = f"""
+WITH e AS (
+  {_integers(1024)}
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 10
+"""
+
+OP12 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+  FROM documents
+), flags AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > first, false)::INT AS mask
+  FROM d LEFT JOIN flags USING (doc_id)
+), cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask
+), filters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders(filter_order, applied) AS (
+  SELECT '', 0 UNION ALL SELECT filter_order || letter, applied | bit FROM orders JOIN filters ON (applied & bit) = 0
+), steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, substr(filter_order, i, 1) AS letter,
+         (SELECT coalesce(sum(bit), 0) FROM filters WHERE contains(substr(o.filter_order, 1, i - 1), letter))::INT AS before
+  FROM orders o, (SELECT unnest(range(1, 6)) AS i) WHERE length(filter_order) = 5
+), counted AS (
+  SELECT part, filter_order, step, letter,
+         sum(CASE WHEN (mask & (before | bit)) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN (mask & before) = 0 AND (mask & bit) > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN (mask & before) > 0 AND (mask & bit) > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN (mask & before) = 0 AND (mask & bit) > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN (mask & before) = 0 AND (mask & bit) > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM steps JOIN filters USING (letter), cells GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM counted
+"""
+
+OP13 = f"""
+WITH e AS (
+  {_integers(256)}
+), l AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, v FROM e WHERE label IS NOT NULL
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM l a JOIN l c ON c.vec_id <> a.vec_id WHERE a.vec_id % 50 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+  WHERE place <= 5
+), n AS (
+  SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS place
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3
+"""
+
+
+STATEMENTS: dict[str, str] = {
+    "op1_substring_dedup": OP1, "op2_exact_dedup": OP2, "op3_ngram_join": OP3, "op4_quality_rules": OP4, "op7_line_dedup": OP7,
+    "op11_exact_topk": OP11, "op12_filter_audit": OP12, "op13_hard_negatives": OP13,
+}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickrank.llm import (
-    chat_quotes, exact_dedup, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan,
-    substring_dedup, token_output,
+    chat_quotes, exact_dedup, filter_audit, hard_negatives, kd_search, line_dedup, mixing, ngram_join, packing,
+    quality_rules, secret_scan, substring_dedup, token_output,
 )
 from clickrank.session import scratch_path
 
@@ -82,6 +82,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best other vectors of every row whose id is divisible by 100, against all rows."""
+    return kd_search.top_k(read(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters in all 120 orders over all documents, by language."""
+    return filter_audit.audit_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Three hard negatives for five positives of every row whose id is divisible by 50, against all rows."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,4 +109,7 @@ REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat_quotes": op9_chat_quotes,
     "op10_packing": op10_packing,
+    "op11_exact_topk": op11_exact_topk,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
