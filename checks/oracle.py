@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from clickrank.schema import NA_TOKENS
 
 KEPT = 20  # history size of the models
@@ -67,15 +69,49 @@ nl AS (
          list_sum(list_transform(range(1, 9), lambda j: sin(13 * j + 3) * tanh(list_dot_product(vec, add_w[j])))) AS logit
   FROM nv, add)"""
 
-QUERIES_SQL = f"""
-{_matrix('w1', 64, 8, 11)},
-{_matrix('w2', 8, 64, 5)},
-hidden AS (
-  SELECT user_idx, list_transform(range(1, 9), lambda j: greatest(list_dot_product(vec, w1_w[j]) + sin(19 * j + 1) / 8, 0)) AS h
-  FROM uv, w1),
-uq AS (
-  SELECT user_idx, list_transform(range(1, 65), lambda i: tanh(list_dot_product(h, w2_w[i]) + sin(23 * i + 2) / 8)) AS query
-  FROM hidden, w2)"""
+
+def _queries(name: str, first: int, second: int, one: str, two: str) -> str:
+    """``name``: the query of every user, from closed-form weights and biases."""
+    return f"""
+{_matrix(f'{name}1', 64, 8, first)},
+{_matrix(f'{name}2', 8, 64, second)},
+{name}_hidden AS (
+  SELECT user_idx, list_transform(range(1, 9), lambda j: greatest(list_dot_product(vec, {name}1_w[j]) + sin({one}) / 8, 0)) AS h
+  FROM uv, {name}1),
+{name} AS (
+  SELECT user_idx, list_transform(range(1, 65), lambda i: tanh(list_dot_product(h, {name}2_w[i]) + sin({two}) / 8)) AS query
+  FROM {name}_hidden, {name}2)"""
+
+
+QUERIES_SQL = _queries("uq", 11, 5, "19 * j + 1", "23 * i + 2")
+
+# Three segments per news item, pooled for every user that meets the item in a history or among candidates.
+PERSONAL_NEWS = f"""{_queries("nq", 3, 9, "7 * j + 5", "29 * i + 4")},
+seg AS (
+  SELECT 'N' || doc_id AS news_id, s AS segment, CAST(embedding AS DOUBLE[]) AS vec
+  FROM documents, range(3) AS r(s), embeddings WHERE vec_id = (doc_id + 7 * s) % (SELECT count(*) FROM embeddings)),
+cut AS (
+  SELECT impression_id, coalesce(user_idx, 0) AS user_idx, coalesce(history, CAST([] AS VARCHAR[]))[1:{KEPT}] AS history
+  FROM beh LEFT JOIN user_index USING (user_id)),
+used AS (SELECT *, md5(array_to_string(history, ' ')) AS history_key FROM cut),
+keyed AS (SELECT DISTINCT user_idx, history_key, history FROM used),
+met AS (
+  SELECT user_idx, unnest(history) AS news_id FROM keyed
+  UNION SELECT user_idx, news_id FROM shown JOIN used USING (impression_id)),
+dims AS (SELECT unnest(range(1, 65)) AS d),
+met_segments AS (
+  SELECT user_idx, news_id, vec, exp(list_dot_product(vec, query)) AS e FROM met JOIN seg USING (news_id) JOIN nq USING (user_idx)),
+pn AS (
+  SELECT user_idx, news_id, list(x ORDER BY d) AS vec
+  FROM (SELECT user_idx, news_id, d, sum(e * vec[d]) / sum(e) AS x FROM met_segments, dims GROUP BY ALL) GROUP BY ALL),
+slots AS (SELECT user_idx, history_key, unnest(history) AS news_id FROM keyed),
+weighted AS (
+  SELECT user_idx, history_key, vec, exp(list_dot_product(vec, query)) AS e
+  FROM slots JOIN pn USING (user_idx, news_id) JOIN uq USING (user_idx)),
+pooled AS (
+  SELECT keyed.user_idx, keyed.history_key, d,
+         coalesce(sum(e * vec[d]), 0) / (coalesce(sum(e), 0) + any_value({KEPT} - len(history))) AS x
+  FROM keyed LEFT JOIN weighted USING (user_idx, history_key), dims GROUP BY ALL)"""
 
 HISTORIES = f"""
 cut AS (SELECT impression_id, coalesce(history, CAST([] AS VARCHAR[]))[1:{KEPT}] AS history FROM beh),
@@ -185,6 +221,43 @@ model AS (
     GROUP BY step, b0, b1)),
 fit AS (SELECT b0, b1 FROM model WHERE step = 20)"""
 
+
+def _epoch_sample(epoch: int) -> str:
+    """The sample of another epoch, under names of its own."""
+    drawn = SAMPLE.replace("'42:1:", f"'42:{epoch}:")
+    return re.sub(r"\b(pos_pick|neg_real|grid|neg_pick|picks|sample|targets)\b", rf"\g<1>_{epoch}", drawn)
+
+
+def _trained(weight_decay: float, epochs: int = 3) -> str:
+    """Newton steps for an intercept and 64 weights, one per epoch, solved by elimination; the last are ``w_<epochs>``."""
+    steps = ["w_0 AS (SELECT list_transform(range(65), lambda i: CAST(0 AS DOUBLE)) AS w)"]
+    for e in range(epochs):
+        steps.append(f"""{_epoch_sample(e)},
+rows_{e} AS (
+  SELECT clicked, f, 1 / (1 + exp(-list_dot_product(w, f))) AS p
+  FROM (SELECT sample_{e}.clicked, list_concat([CAST(1 AS DOUBLE)], list_transform(range(1, 65), lambda i: coalesce(nv.vec[i], 0) * user_vec[i])) AS f
+    FROM sample_{e} JOIN used USING (impression_id) JOIN user_vec USING (history_key) LEFT JOIN nv ON nv.news_id = sample_{e}.news_id), w_{e}),
+places_{e} AS (SELECT unnest(range(1, 66)) AS i),
+half_{e} AS (
+  SELECT a.i, b.i AS j, sum(p * (1 - p) * f[a.i] * f[b.i]) / count(*) AS h
+  FROM rows_{e}, places_{e} a, places_{e} b WHERE a.i <= b.i GROUP BY ALL),
+gram_{e} AS (SELECT i, j, h FROM half_{e} UNION ALL SELECT j, i, h FROM half_{e} WHERE i < j),
+slope_{e} AS (
+  SELECT i, sum((p - clicked) * f[i]) / count(*) + CASE WHEN i > 1 THEN {weight_decay} * any_value(w[i]) ELSE 0 END AS g
+  FROM rows_{e}, places_{e}, w_{e} GROUP BY i),
+system_{e} AS (
+  SELECT i, list_concat(list(h + CASE WHEN i = j AND i > 1 THEN {weight_decay} ELSE 0 END ORDER BY j), [any_value(g)]) AS line
+  FROM gram_{e} JOIN slope_{e} USING (i) GROUP BY i),
+solved_{e}(k, m) AS (
+  SELECT 1, list(line ORDER BY i) FROM system_{e}
+  UNION ALL
+  SELECT k + 1, list_transform(m, lambda line, i: CASE WHEN i = k THEN list_transform(line, lambda x: x / line[k])
+    ELSE list_transform(line, lambda x, j: x - line[k] / m[k][k] * m[k][j]) END)
+  FROM solved_{e} WHERE k <= 65),
+w_{e + 1} AS (SELECT list_transform(w, lambda x, i: x - m[i][66]) AS w FROM solved_{e}, w_{e} WHERE k = 66)""")
+    return ",\n".join(steps)
+
+
 FITTED = _fitted(KEPT)
 NARROW = "md5(coalesce(title, '')) AS title_md5, CAST(length(coalesce(title, '')) AS INTEGER) AS title_length"
 
@@ -445,8 +518,45 @@ def statements() -> dict[str, str]:
     sql["m11_score_with_ranker"] = f"""WITH RECURSIVE {SCORED}, {SAMPLE}, {CLICK_MODEL}
         SELECT impression_id, pos, news_id, clicked, round(b0 + b1 * score, 3) AS score FROM scored, fit"""
 
-    sql["w9_evaluate_ranker"] = f"""WITH RECURSIVE {SCORED}, {SAMPLE}, {CLICK_MODEL},
-        judged AS (SELECT impression_id, pos, news_id, clicked, b0 + b1 * score AS score FROM scored, fit), {METRICS.replace("scored", "judged")} SELECT {_AVERAGES} FROM metrics"""
+    weights = "SELECT CAST(unnest(range(65)) AS INTEGER) AS place, round(unnest(w), 6) AS weight FROM w_3"
+    sql["m10_train_ranker"] = f"WITH RECURSIVE {SCORED}, {_trained(0)} {weights}"
+    sql["m10_train_ranker_decay"] = f"WITH RECURSIVE {SCORED}, {_trained(1e-4)} {weights}"
+    judged = """judged AS (
+          SELECT impression_id, pos, extended.news_id, clicked, round(w[1] + list_dot_product(w[2:65],
+            list_transform(range(1, 65), lambda i: coalesce(nv.vec[i], 0) * user_vec[i])), 9) AS score
+          FROM extended JOIN used USING (impression_id) JOIN user_vec USING (history_key) LEFT JOIN nv USING (news_id), w_3)"""
+    sql["m11_score_linear"] = f"""WITH RECURSIVE {SCORED}, {_trained(0)}, {judged}
+        SELECT impression_id, pos, news_id, clicked, round(score, 6) AS score FROM judged"""
+    sql["w9_evaluate_ranker"] = f"""WITH RECURSIVE {SCORED}, {_trained(0)}, {judged},
+        {METRICS.replace("scored", "judged")} SELECT {_AVERAGES} FROM metrics"""
+
+    sql["m6_personal_news_vectors"] = f"""WITH {BEHAVIORS}, {SPLIT}, {VECTORS}, {QUERIES_SQL}, {PERSONAL_NEWS}
+        SELECT user_idx, news_id, {_vector_digest('vec')} FROM pn"""
+    sql["m6_user_vector_personal_news"] = f"""WITH {BEHAVIORS}, {SPLIT}, {VECTORS}, {QUERIES_SQL}, {PERSONAL_NEWS}
+        SELECT user_idx, history_key, CAST(d - 1 AS INTEGER) AS dim, round(x, 6) AS x FROM pooled"""
+    sql["w9_evaluate_personal_news"] = f"""WITH {BEHAVIORS}, {SPLIT}, {VECTORS}, {QUERIES_SQL}, {PERSONAL_NEWS},
+        user_vec AS (SELECT user_idx, history_key, list(x ORDER BY d) AS user_vec FROM pooled GROUP BY ALL),
+        extended AS (
+          SELECT impression_id, pos, news_id, clicked FROM shown
+          UNION ALL SELECT impression_id, CAST(len(labels) AS INTEGER), 'EMPTY_NEWS_ID', 0 FROM imp),
+        scored AS (
+          SELECT impression_id, pos, extended.news_id, clicked, coalesce(round(list_dot_product(pn.vec, user_vec), 9), 0) AS score
+          FROM extended JOIN used USING (impression_id) JOIN user_vec USING (user_idx, history_key)
+          LEFT JOIN pn ON pn.user_idx = used.user_idx AND pn.news_id = extended.news_id),
+        {METRICS} SELECT {_AVERAGES} FROM metrics"""
+    sql["m1_hashed_news"] = f"""WITH {TOKENS},
+        flat AS (SELECT doc_id, unnest(words) AS token FROM toks),
+        counts AS (
+          SELECT doc_id, CAST(CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, count(*) AS n
+          FROM flat GROUP BY ALL),
+        df AS (SELECT bucket, count(*) AS n_docs FROM counts GROUP BY 1)
+        SELECT 'N' || doc_id AS news_id, bucket, round(n * ln(((SELECT count(*) FROM documents) + 1) / (n_docs + 1)), 6) AS weight
+        FROM counts JOIN df USING (bucket)"""
+    sql["x7_batch_files"] = f"""WITH {BEHAVIORS}, placed AS (
+          SELECT impression_id, row_number() OVER (ORDER BY md5('42:1:batch:' || impression_id)) - 1 AS nth FROM imp),
+        batched AS (SELECT impression_id, CAST(nth // 128 AS BIGINT) AS batch, CAST(nth % 128 AS BIGINT) AS place, CAST(nth // 1024 AS INTEGER) AS run FROM placed)
+        SELECT *, min(batch) OVER (PARTITION BY run) AS first, max(batch) OVER (PARTITION BY run) AS last,
+        count(*) OVER (PARTITION BY run) AS rows FROM batched"""
 
     # ---- reports: one run per text method, scored by the number of letters, words and lines of the text
     sql["a10_compare_runs"] = f"""WITH {SHOWN}, {NEWS},

@@ -16,19 +16,30 @@ from clickrank.functions.keys import seeded_key
 from clickrank.functions.tokens import token_count
 from clickrank.operators import attention as att
 from clickrank.operators import behaviors as beh
+from clickrank.operators import hashing
 from clickrank.operators import lookup as look
+from clickrank.operators import personal_news as personal
+from clickrank.operators import ranker
 from clickrank.operators import ranking as rank
 from clickrank.operators import reports, sampling, scoring, text, users
 from clickrank.operators.scale import fits_broadcast
-from clickrank.plans.evaluation import evaluate_personalized, evaluate_selfattn, score_behaviors
-from clickrank.plans.training import sampled_candidates
+from clickrank.plans.evaluation import (
+    evaluate_personal_news,
+    evaluate_personalized,
+    evaluate_ranker,
+    evaluate_selfattn,
+    score_behaviors,
+    score_behaviors_with_ranker,
+)
+from clickrank.plans.training import sampled_candidates, train_ranker
 from clickrank.session import scratch_path, stage
-from clickrank.sources import cache, files
+from clickrank.sources import batches, cache, files
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTERED: dict[str, Query] = {}
 
 SEED, EPOCH, NPRATIO = 42, 1, 4
+EPOCHS, WEIGHT_DECAY = 3, 1e-4
 HISTORY_SIZE = 20      # of the models; less than the longest history of the given tables
 SHORT_HISTORY = 10     # of p8, whose feature is the cut
 SYSTEM_PROMPT = "Say what news of the named category deals with."
@@ -37,6 +48,10 @@ POOLING = att.AdditiveWeights(t.waves(64, 8, 7), np.zeros(8), np.sin(13 * np.ara
 PERSONAL = att.PersonalizedWeights(
     t.waves(64, 8, 11), np.sin(19 * np.arange(1, 9) + 1) / 8, t.waves(8, 64, 5), np.sin(23 * np.arange(1, 65) + 2) / 8
 )
+NEWS_PERSONAL = att.PersonalizedWeights(
+    t.waves(64, 8, 3), np.sin(7 * np.arange(1, 9) + 5) / 8, t.waves(8, 64, 9), np.sin(29 * np.arange(1, 65) + 4) / 8
+)
+HASHED_DIM = 64
 SELF_ATTENTION = att.SelfAttentionWeights(*[t.waves(64, 64, seed) for seed in (1, 2, 3, 4)])
 
 
@@ -446,6 +461,15 @@ def x6_evaluation_examples(spark, sf):
     return _unpacked(examples.withColumn("labels", _joined("labels")), "labels")
 
 
+@query
+def x7_batch_files(spark, sf):
+    """All batches as read back from their files, with the number of the file and its first and last batch."""
+    path = scratch_path(spark, "batches")
+    batches.write_batches(t.behaviors(spark, sf).select("impression_id"), path, 128, SEED, EPOCH, batches_per_file=8)
+    named = batches.read_batches(spark, path).withColumn("file", F.col("_metadata.file_path"))
+    return named.join(batches.batch_index(spark, path), "file").select("impression_id", "batch", "place", "run", "first", "last", "rows")
+
+
 @query
 def x7_assign_batches(spark, sf):
     return sampling.assign_batches(t.behaviors(spark, sf).select("impression_id"), 128, SEED, EPOCH)
@@ -521,6 +545,15 @@ def w9_evaluate_personalized(spark, sf):
     return _rounded(means, *reports.METRICS)
 
 
+@query
+def w9_evaluate_personal_news(spark, sf):
+    """News vectors, user vectors and scores depend on the user (M6 over segments)."""
+    means = evaluate_personal_news(
+        _indexed_behaviors(spark, sf), t.news_segments(spark, sf), t.user_vectors(spark, sf), NEWS_PERSONAL, PERSONAL, HISTORY_SIZE, bounded=True
+    )
+    return _rounded(means, *reports.METRICS)
+
+
 @query
 def w9_evaluate_selfattn(spark, sf):
     means = evaluate_selfattn(
@@ -529,10 +562,19 @@ def w9_evaluate_selfattn(spark, sf):
     return _rounded(means, *reports.METRICS)
 
 
+def _trained(spark: SparkSession, rows: DataFrame, vectors: DataFrame, weight_decay: float = 0.0) -> ranker.LinearRanker:
+    """The ranker after three epochs with a sample each, stored and loaded."""
+    path = scratch_path(spark, "weights")
+    ranker.save_weights(spark, train_ranker(rows, vectors, POOLING, NPRATIO, HISTORY_SIZE, EPOCHS, weight_decay, SEED), path)
+    return ranker.load_weights(spark, path)
+
+
 @query
 def w9_evaluate_ranker(spark, sf):
-    features = _one_feature(model_scores(spark, sf)).drop("score")
-    return _rounded(rank.evaluate_run(scoring.score_with_ranker(features, _ranker(spark, sf)), bounded=True), *reports.METRICS)
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
+    user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
+    means = evaluate_ranker(rows, vectors, user_vectors, _trained(spark, rows, vectors), HISTORY_SIZE, bounded=True)
+    return _rounded(means, *reports.METRICS)
 
 
 # ---------------------------------------------------------------- text
@@ -619,6 +661,14 @@ def m1_encode_news(spark, sf):
     return encoded.select("news_id", F.array_join(F.col("vec").cast("array<int>").cast("array<string>"), " ").alias("vec"))
 
 
+@query
+def m1_hashed_news(spark, sf):
+    """The sparse vectors, one row per bucket of a news item."""
+    encoded = hashing.hashed_tfidf(t.news(spark, sf, spread_out=True).select("news_id", "abstract"), HASHED_DIM)
+    entries = F.arrays_zip("buckets", "weights")
+    return encoded.select("news_id", F.inline(entries)).select("news_id", F.col("buckets").alias("bucket"), F.round("weights", 6).alias("weight"))
+
+
 @query
 def m2_additive_attention_pool(spark, sf):
     """The fourth candidate of a page is news that nobody knows."""
@@ -660,6 +710,26 @@ def m6_user_vector_personalized(spark, sf):
     )
 
 
+def _indexed_behaviors(spark: SparkSession, sf: str) -> DataFrame:
+    return users.attach_user_idx(t.stored_behaviors(spark, sf), t.user_index(spark, sf))
+
+
+@query
+def m6_personal_news_vectors(spark, sf):
+    """Every news item that a user meets, as this user weighs its segments."""
+    pairs = personal.user_news_pairs(_indexed_behaviors(spark, sf), HISTORY_SIZE)
+    vectors = personal.personal_news_vectors(pairs, t.news_segments(spark, sf), t.user_vectors(spark, sf), NEWS_PERSONAL)
+    return vectors.select("user_idx", "news_id", *_digest("vec"))
+
+
+@query
+def m6_user_vector_personal_news(spark, sf):
+    rows, user_vectors = _indexed_behaviors(spark, sf), t.user_vectors(spark, sf)
+    pairs = personal.user_news_pairs(rows, HISTORY_SIZE)
+    vectors = personal.personal_news_vectors(pairs, t.news_segments(spark, sf), user_vectors, NEWS_PERSONAL)
+    return _dims(personal.user_vector_personal_news(rows, vectors, user_vectors, PERSONAL, HISTORY_SIZE), "user_vec")
+
+
 @query
 def m7_user_vector_selfattn(spark, sf):
     return _dims(
@@ -712,3 +782,25 @@ def m11_score_with_ranker(spark, sf):
     scored = model_scores(spark, sf).withColumnRenamed("score", "model_score")
     features = _one_feature(scored.withColumnRenamed("model_score", "score")).drop("score")
     return scoring.score_with_ranker(features, _ranker(spark, sf)).withColumn("score", F.round("score", 3))
+
+
+@query
+def m10_train_ranker(spark, sf):
+    """Weights of all products after three epochs, each with its own sample."""
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
+    return _rounded(ranker.weight_table(spark, _trained(spark, rows, vectors)), "weight")
+
+
+@query
+def m10_train_ranker_decay(spark, sf):
+    """As ``m10_train_ranker`` with a penalty on the weights."""
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
+    return _rounded(ranker.weight_table(spark, _trained(spark, rows, vectors, WEIGHT_DECAY)), "weight")
+
+
+@query
+def m11_score_linear(spark, sf):
+    """Every candidate, the empty one included, scored by the weights after three epochs."""
+    rows, vectors = t.stored_behaviors(spark, sf), t.news_vectors(spark, sf)
+    user_vectors = att.user_vector_additive(rows, vectors, POOLING, HISTORY_SIZE)
+    return _rounded(score_behaviors_with_ranker(rows, vectors, user_vectors, _trained(spark, rows, vectors), HISTORY_SIZE), "score")

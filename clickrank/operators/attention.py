@@ -189,15 +189,15 @@ def personalized_attention_pool(
     return softmax_pool(filled.withColumn("logit", dot(F.col("vec"), F.col("query"))), keys, bound, name)
 
 
-def _packed_items(items: DataFrame, keys: Sequence[str]) -> DataFrame:
+def packed_items(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items of each group as parallel arrays, in any order; at most history_size of them."""
     fields = [c for c in ("slot", "times", "logit", "vec") if c in items.columns]
     plural = {"slot": "slots", "times": "times", "logit": "logits", "vec": "vecs"}
     return items.groupBy(*keys).agg(*[F.collect_list(f).alias(plural[f]) for f in fields])
 
 
-def _pool_histories(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Softmax pooling of packed histories, by their logits or by the query of their user.
+def pool_packed(packed: DataFrame, keys: Sequence[str], name: str = "user_vec") -> DataFrame:
+    """Softmax pooling of packed items, by their logits or by the query of their user.
 
     A history has at most history_size items, so a batch of them is dense arithmetic. Histories were made
     distinct by ``keys``; where the vectors are broadcast, their items lie together and packing moves nothing.
@@ -213,10 +213,10 @@ def _pool_histories(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
                 logits = np.einsum("bnd,bd->bn", x, queries[rows]) if asked else given[0]
                 pooled = np.einsum("bn,bnd->bd", softmax(logits, repeats), x)
                 named = [batch.column(k).take(pa.array(rows)) for k in keys]
-                yield pa.RecordBatch.from_arrays([*named, vector_array(pooled)], names=[*keys, "user_vec"])
+                yield pa.RecordBatch.from_arrays([*named, vector_array(pooled)], names=[*keys, name])
 
     keyed = ", ".join(f"{k} {packed.schema[k].dataType.simpleString()}" for k in keys)
-    return packed.mapInArrow(pool, f"{keyed}, user_vec array<double>")
+    return packed.mapInArrow(pool, f"{keyed}, {name} array<double>")
 
 
 def user_vector_additive(
@@ -234,8 +234,8 @@ def user_vector_additive(
     vec = empty_vector(len(weights.w), empty)
     fill = {"vec": _literal(vec), "logit": F.lit(float(np.tanh(np.asarray(vec) @ weights.w + weights.b) @ weights.v))}
     items = history_items(distinct_histories(behaviors, history_size), history_size, mask_empty)
-    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, plain, fits), ["history_key"])
-    return _pool_histories(packed, ["history_key"])
+    packed = packed_items(_item_vectors(items, vectors, fill, mask_empty, plain, fits), ["history_key"])
+    return pool_packed(packed, ["history_key"])
 
 
 def user_vector_personalized(
@@ -252,11 +252,11 @@ def user_vector_personalized(
     fill = {"vec": _literal(empty_vector(weights.w2.shape[1], empty))}
     items = history_items(distinct_histories(behaviors, history_size, "user_idx"), history_size, mask_empty)
     vectors = news_vectors.select("news_id", "vec")
-    packed = _packed_items(_item_vectors(items, vectors, fill, mask_empty, fits=fits), ["user_idx", "history_key"])
+    packed = packed_items(_item_vectors(items, vectors, fill, mask_empty, fits=fits), ["user_idx", "history_key"])
     queries = personal_queries(user_vectors, weights)
     asked = lookup(packed, queries, "user_idx", size_of=user_vectors)
     asked = asked.withColumn("query", F.coalesce("query", _literal([0.0] * weights.w2.shape[1])))
-    return _pool_histories(asked, ["user_idx", "history_key"])
+    return pool_packed(asked, ["user_idx", "history_key"])
 
 
 def _history_vectors(
@@ -265,7 +265,7 @@ def _history_vectors(
     items = history_items(distinct_histories(behaviors, history_size), history_size, mask_empty)
     fill = {"vec": _literal(empty_vector(dim, empty))}
     joined = _item_vectors(items, news_vectors.select("news_id", "vec"), fill, mask_empty, fits=fits)
-    return _packed_items(joined, ["history_key"])
+    return packed_items(joined, ["history_key"])
 
 
 def self_attention(

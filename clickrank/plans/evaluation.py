@@ -15,9 +15,11 @@ from clickrank.operators.attention import (
     user_vector_selfattn,
 )
 from clickrank.operators.behaviors import explode_candidates
+from clickrank.operators.personal_news import score_personal_news
+from clickrank.operators.ranker import LinearRanker, score_linear
 from clickrank.operators.ranking import evaluate, macro_average
 from clickrank.operators.scale import fits_broadcast
-from clickrank.operators.scoring import ranker_features, score_candidates, score_with_ranker
+from clickrank.operators.scoring import score_candidates
 
 
 def score_behaviors(
@@ -86,16 +88,49 @@ def evaluate_selfattn(
     return macro_average(evaluate(scored, bounded))
 
 
+def evaluate_personal_news(
+    behaviors: DataFrame,
+    segments: DataFrame,
+    user_vectors: DataFrame,
+    news_weights: PersonalizedWeights,
+    history_weights: PersonalizedWeights,
+    history_size: int = 50,
+    mask_empty: bool = False,
+    include_empty: bool = True,
+    bounded: bool = False,
+) -> DataFrame:
+    """As ``evaluate_personalized`` with news vectors that each user pools from segments."""
+    scored = score_personal_news(
+        behaviors, segments, user_vectors, news_weights, history_weights, history_size, mask_empty, include_empty
+    )
+    return macro_average(evaluate(scored, bounded))
+
+
+def score_behaviors_with_ranker(
+    behaviors: DataFrame,
+    news_vectors: DataFrame,
+    user_vectors: DataFrame,
+    ranker: LinearRanker | LogisticRegressionModel,
+    history_size: int = 50,
+    include_empty: bool = True,
+    fits: bool | None = None,
+) -> DataFrame:
+    """As ``score_behaviors`` with the weighted products of M11."""
+    with_user = attach_history_vector(behaviors, user_vectors, history_size)
+    shown = explode_candidates(with_user, include_empty, keep=("user_vec",))
+    return score_linear(shown, news_vectors, ranker, fits=fits)
+
+
 def evaluate_ranker(
     behaviors: DataFrame,
     news_vectors: DataFrame,
     user_vectors: DataFrame,
-    model: LogisticRegressionModel,
+    ranker: LinearRanker | LogisticRegressionModel,
     history_size: int = 50,
     include_empty: bool = True,
     bounded: bool = False,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Every candidate scored by a trained ranker (M11) on products with the user vectors of M5, M6 or M7."""
-    with_user = attach_history_vector(behaviors, user_vectors, history_size)
-    shown = explode_candidates(with_user, include_empty, keep=("user_vec",))
-    return macro_average(evaluate(score_with_ranker(ranker_features(shown, news_vectors), model), bounded))
+    scored = score_behaviors_with_ranker(behaviors, news_vectors, user_vectors, ranker, history_size, include_empty, fits)
+    return macro_average(evaluate(scored, bounded))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickrank.operators.attention import AdditiveWeights, attach_history_vector, user_vector_additive
+from clickrank.operators.ranker import LinearRanker, fit_epochs, with_products
 from clickrank.operators.sampling import draw_sample
-from clickrank.operators.scoring import fit_ranker, ranker_features
+from clickrank.operators.scale import fits_broadcast
+from clickrank.session import stage
 
 
 def sampled_candidates(
@@ -31,9 +32,18 @@ def train_ranker(
     weight_decay: float = 0.0,
     seed: int = 42,
     mask_empty: bool = False,
-) -> LogisticRegressionModel:
-    """The ranker learns from pooled history times candidate, element by element."""
-    vectors = user_vector_additive(behaviors, news_vectors, pooling, history_size, mask_empty)
-    with_user = attach_history_vector(behaviors, vectors, history_size)
-    sample = sampled_candidates(with_user, npratio, seed, keep=("user_vec",))
-    return fit_ranker(ranker_features(sample, news_vectors), epochs, weight_decay)
+    start: LinearRanker | None = None,
+) -> LinearRanker:
+    """The ranker learns from pooled history times candidate, element by element.
+
+    Every epoch draws its own sample (X4 of that epoch) and starts from the weights of the one before. User vectors are
+    computed once and written.
+    """
+    fits = fits_broadcast(news_vectors)
+    vectors = user_vector_additive(behaviors, news_vectors, pooling, history_size, mask_empty, fits=fits)
+    with_user = stage(attach_history_vector(behaviors, vectors, history_size).select("impression_id", "impressions", "user_vec"), "with-user")
+
+    def drawn(epoch: int) -> DataFrame:
+        return with_products(sampled_candidates(with_user, npratio, seed, epoch, keep=("user_vec",)), news_vectors, fits=fits)
+
+    return fit_epochs(drawn, len(pooling.w), epochs, weight_decay, start)[0]
