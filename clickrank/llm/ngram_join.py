@@ -1,6 +1,6 @@
 """Jaccard self-join of documents on word n-grams: rare-first prefixes, length, positional and suffix filters.
 
-1. Hashed counters of all shingles (a fixed number of them) give the global order "rare first, then by hash". Any
+1. Counts of the frequent shingles, gathered by task and summed, give the global order "rare first, then by hash". Any
    total order is right; this one moves frequent shingles out of the prefixes.
 2. Equal sets are one class, named by its smallest id. A class of n shingles has a prefix of n - ceil(t n) + 1, and two
    classes that link share the first of their common shingles in both prefixes.
@@ -37,8 +37,11 @@ from clickrank.llm import textbatch as tb
 from clickrank.llm.tables import components, join_ids
 from clickrank.session import stage
 
-COUNTERS = 1 << 18   # hashed shingle counters: 2 MB, whatever the corpus
+LISTED = 1 << 18     # frequent shingles with a count of their own: 4 MB, broadcast
+PER_TASK = 1 << 14   # frequent shingles that a task reports
+STEP = 1 << 21       # shingles that a task counts at once: 16 MB
 RANGES = 64          # hash ranges of the suffix filter
+MOST = 127           # a range's size is cut here, to be one byte
 
 
 @dataclass(frozen=True)
@@ -68,21 +71,57 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield first + i, tb.shingle_set(hashes[words[i] : words[i + 1]], width)
 
 
-def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """Number of documents by hashed shingle, over all rows; the driver gets ``COUNTERS`` numbers at most."""
+def _frequent(shingles: np.ndarray, counts: np.ndarray, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``held`` most frequent shingles, those of one document left out; ties by hash."""
+    twice = counts > 1
+    shingles, counts = shingles[twice], counts[twice]
+    if len(shingles) > held:
+        best = np.sort(np.lexsort((shingles, -counts))[:held])
+        shingles, counts = shingles[best], counts[best]
+    return shingles, counts
+
+
+def _added(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    shingles, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return shingles, np.bincount(at, np.concatenate([a[1], b[1]]), len(shingles)).astype(np.int64)
+
+
+def frequent_shingles(docs: DataFrame, width: int, listed: int = LISTED, per_task: int = PER_TASK) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of the shingles that many documents have, over all rows; ``listed`` of them at most.
+
+    A task counts its rows in steps and keeps the ``per_task`` most frequent shingles of each; counts of tasks are summed.
+    Shingles that are too rare to be listed count as one. What is listed decides about costs alone, as any total order
+    of shingles gives the same links.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        step, size = [], 0
         for batch in batches:
             for _, found in _sets(batch, width):
-                np.add.at(counts, (found & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["slot", "n"])
-
-    rows = docs.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
-    return out
+                step.append(found)
+                size += len(found)
+                if size >= STEP:
+                    held = _frequent(*_added(held, np.unique(np.concatenate(step), return_counts=True)), per_task)
+                    step, size = [], 0
+        if step:
+            held = _added(held, np.unique(np.concatenate(step), return_counts=True))
+        shingles, counts = _frequent(*held, per_task)
+        yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(counts)], ["shingle", "n"])
+
+    summed = stage(docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
+    # The least count of which there are few enough, from a histogram of powers of two.
+    sizes = sorted(summed.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect(), reverse=True)
+    least, total = None, 0
+    for power, n in sizes:
+        total += n
+        if total > listed:
+            break
+        least = 1 << power
+    rows = summed.where(F.col("n") >= least if least else F.lit(False)).toArrow()
+    shingles = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], rows.column("n").to_numpy()[order]
 
 
 def _lists(values: list[np.ndarray], dtype: type) -> pa.ListArray:
@@ -92,27 +131,36 @@ def _lists(values: list[np.ndarray], dtype: type) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(dtype)))
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, how: Similarity) -> DataFrame:
-    """Per row: doc_id, n, digest of the set, sizes by hash range, and the prefix in global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _counts_of(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Listed counts of sorted shingles, 1 for those not listed."""
+    shingles, counts = frequent
+    if not len(shingles):
+        return np.ones(len(found), np.int64)
+    at = np.minimum(np.searchsorted(shingles, found), len(shingles) - 1)
+    return np.where(shingles[at] == found, counts[at], 1)
+
+
+def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], how: Similarity) -> DataFrame:
+    """Per row: doc_id, n, digest of the set, sizes by hash range up to ``MOST``, and the prefix in global order."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             n, digests, ranges, tokens = [], [], [], []
             for _, found in _sets(batch, how.width):
-                rare = np.lexsort((found, known[(found & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                rare = np.lexsort((found, _counts_of(found, known)))
                 n.append(len(found))
                 digests.append(hashlib.md5(found.tobytes()).digest())
-                ranges.append(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=RANGES))
+                ranges.append(np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=RANGES), MOST))
                 tokens.append(found[rare[: how.prefix(len(found)) if len(found) else 0]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digests, pa.binary()),
-                 _lists(ranges, np.int32), _lists(tokens, np.int64)],
+                 _lists(ranges, np.int8), _lists(tokens, np.int64)],
                 ["doc_id", "n", "digest", "ranges", "tokens"],
             )
 
-    return docs.mapInArrow(cut, "doc_id long, n int, digest binary, ranges array<int>, tokens array<long>")
+    return docs.mapInArrow(cut, "doc_id long, n int, digest binary, ranges array<tinyint>, tokens array<long>")
 
 
 def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -125,8 +173,11 @@ def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _apart(a: str, b: str) -> Column:
-    """Least possible size of the symmetric difference, from the sizes within hash ranges."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    """Least possible size of the symmetric difference, from the sizes within hash ranges.
+
+    Sizes that were cut at ``MOST`` differ by no more than the whole ones.
+    """
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("int") - y)), F.lit(0), lambda s, x: s + x)
 
 
 def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, how: Similarity) -> DataFrame:
@@ -159,23 +210,27 @@ def _open_pairs(buckets: DataFrame, found: DataFrame, labels: DataFrame, how: Si
             F.min("component").alias("_low"), F.max("component").alias("_high"),
             F.min("n").alias("_least"), F.max(rest).alias("_rest"),
         )
+        # Written, so that both sides of the join are shuffled and a hot token can be split.
+        bounds = stage(bounds.where("_low < _high").drop("_low", "_high"), "bounds")
         other = F.greatest(F.col("_least"), F.ceil(F.col("n") * how.least / how.parts))
         fits = how.overlaps(F.least(rest, F.col("_rest")), F.col("n"), other)
-        return rows.join(bounds.where("_low < _high"), "token").where(fits).select(rows.columns)
+        return rows.join(bounds, "token").where(fits).select(rows.columns)
 
-    rows = still_open(stage(still_open(rows), "open"))
+    rows = stage(still_open(stage(still_open(stage(rows, "labelled")), "open")), "open")
     ranges = found.select(F.col("doc_id").alias("cls"), "ranges")
     rows = stage(rows.join(ranges, "cls"), "open")
-    size = F.floor(F.log(F.col("n")) / float(np.log(how.parts / how.least)))
+    # Sets that link lie in one length bin or in two next to each other; the smaller set of a pair is on side a.
+    size = F.floor(F.log(F.col("n")) / float(np.log(how.parts / how.least)) + 1e-9).cast("int")  # borders go up in any rounding
     a = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns], size.alias("bin"))
-    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns], F.explode(F.array(size, size - 1, size + 1)).alias("bin"))
+    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns], F.explode(F.array(size, size - 1)).alias("bin"))
+    ahead = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("cls_a") < F.col("cls_b")))
     meet = (
-        (a["token_a"] == b["token_b"]) & (a["bin"] == b["bin"]) & (F.col("cls_a") < F.col("cls_b"))
+        (a["token_a"] == b["token_b"]) & (a["bin"] == b["bin"]) & ahead
         & (F.col("component_a") != F.col("component_b")) & how.sizes(F.col("n_a"), F.col("n_b"))
         & how.overlaps(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")), F.col("n_a"), F.col("n_b"))
         & how.overlaps((F.col("n_a") + F.col("n_b") - _apart("ranges_a", "ranges_b")) / 2, F.col("n_a"), F.col("n_b"))
     )
-    return a.join(b, meet).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+    return a.join(b, meet).select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
 
 def _buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
@@ -189,7 +244,7 @@ def _buckets(found: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, how: Similarity = Similarity(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id reachable by links."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = stage(prefixes(docs, shingle_counts(docs, how.width), how), "prefixes")
+    found = stage(prefixes(docs, frequent_shingles(docs, how.width), how), "prefixes")
     classes = found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls"))
     buckets = _buckets(found, classes)
 
@@ -227,7 +282,7 @@ def jaccard_links(docs: DataFrame, how: Similarity = Similarity(), id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text).alias("text")).where("_id IS NOT NULL")
     rows = stage(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
     docs = rows.select("doc_id", "text")
-    found = stage(prefixes(docs, shingle_counts(docs, how.width), how), "prefixes")
+    found = stage(prefixes(docs, frequent_shingles(docs, how.width), how), "prefixes")
     classes = stage(found.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("cls")), "classes")
     nothing = docs.sparkSession.createDataFrame([], "node long, component long")
     links = _verified(docs, found, _open_pairs(_buckets(found, classes), found, nothing, how), how)
