@@ -94,11 +94,11 @@ def encoded_pieces(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(path, True).encode
+        encode = tokens.encoder(path, True).encode_column
         for batch in batches:
             rows, at, parts = [], [], []
-            for i, one in enumerate(batch.column("text")):
-                ids = encode(one.as_py() or "") + end
+            for i, one in enumerate(encode(batch.column("text"))):
+                ids = one + end
                 n = len(ids) // 4
                 for start, length in cuts(n, size, block):
                     part = ids[4 * start : 4 * (start + length)]

@@ -36,9 +36,9 @@ def encoded(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = tokens.encoder(path, spaces_dropped).encode
+        encode = tokens.encoder(path, spaces_dropped).encode_column
         for batch in batches:
-            ids = [one(t.as_py() or "") + end for t in batch.column("text")]
+            ids = [x + end for x in encode(batch.column("text"))]
             lengths = np.array([len(x) // 4 for x in ids], np.int64)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum(lengths, out=offsets[1:])
