@@ -40,6 +40,33 @@ def test_against_brute_force(table):
     assert found(l.drop_lines(table([]))) == []
 
 
+def test_a_line_that_fills_many_parts(spark, table):
+    """One line in most rows, and documents whose lines reach over the borders of parts."""
+    rows = [(i, "\n".join([LONG] * (1 + 40 * (i % 7 == 0)))) for i in range(120)] + [(None, LONG)] * 30 + [(200 + i, OTHER) for i in range(4)] * 9
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (1, 13, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert found(l.drop_lines(table(rows))) == brute(rows)
+            assert found(l.drop_lines(table(rows), min_docs=4)) == brute(rows, min_docs=4)
+            assert found(l.drop_lines(table(rows), min_docs=1)) == brute(rows, min_docs=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_border_lines_are_counted_once_for_each_document(spark):
+    """Documents 9 and 7 of line b lie in two parts each, and part 1 holds nothing else."""
+    rows = [("a", 5, 0, 0), ("b", 9, 1, 0), ("b", 9, 2, 1), ("b", 7, 3, 1), ("b", 7, 4, 2), ("b", None, 5, 2), ("c", 1, 6, 2)]
+    placed = spark.createDataFrame(rows, "line string, doc_id long, row long, part long")
+    counted = placed.withColumn("docs", l.F.when((l.F.col("line") == "b") & (l.F.col("part") > 0), 2).otherwise(1))
+    got = {r["line"]: (r["keeper"], r["docs"]) for r in l._border_lines(counted, placed).collect()}
+    assert got == {"a": (5, 1), "b": (9, 3), "c": (1, 1)}
+
+
+def test_more_documents_than_are_broadcast(table):
+    assert found(l.drop_lines(table(ROWS), limit=2)) == brute(ROWS)
+
+
 def test_bitmaps_hold_no_text_and_no_full_words(table):
     bitmaps = {r.doc_id: r for r in l.dropped_lines(table(ROWS + [(21, "keeper\n" + LONG)])).collect()}
     assert set(bitmaps) == {None, 0, 1, 2, 3, 4, 5, 20}
