@@ -9,8 +9,9 @@ document of smaller id; a document loses the words that its removed windows cove
 3. Runs of windows with the same shared anchor are segments. Equal segments are one content, with the least id of its
    documents (combined on the map side). Contents go to the shard of their anchor; where an anchor is very frequent,
    each window is a content of its own in the shard of its hash, so that no anchor fills a shard.
-4. Each shard builds an FM-index of its contents and streams them through it. Where the matching statistic reaches the
-   window, the interval of suffixes gives the least id of all documents that hold the window.
+4. Each shard builds an FM-index of the contents with the smaller ids and streams all contents through it. Where the
+   matching statistic of a window reaches the threshold, the interval of suffixes gives the least id of all documents that
+   hold it. Windows that fail the threshold are streamed through an index of the other contents.
 5. Segments of documents with a larger id than that report their windows, and texts lose what these cover.
 
 Word sequences are compared as 64-bit word hashes. Texts are moved only for documents with shared anchors or removed
@@ -132,17 +133,49 @@ def _segments(docs: DataFrame, shards: int, window: int, anchor: int) -> DataFra
     return docs.mapInArrow(work, "shard int, content binary, words binary, doc_id long, text_hash long, start int")
 
 
+def _streamed(index: FMIndex, contents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(the symbols that ``index`` has for the contents, with an unknown one before each, and where each begins)."""
+    lengths = np.array([len(c) + 1 for c in contents], np.int64)
+    starts = np.cumsum(lengths) - lengths + 1
+    symbols = np.full(int(lengths.sum()), -1, np.int64)
+    inside = np.ones(len(symbols), bool)
+    inside[starts - 1] = False
+    symbols[inside] = index.encode(np.concatenate(contents))
+    return symbols, starts
+
+
+def _windows_of(starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
+    """Ends (exclusive) of all windows of contents that begin at ``starts``."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum())) + window
+
+
 def earliest(contents: list[np.ndarray], holders: np.ndarray, window: int) -> list[np.ndarray]:
-    """For every window of every content, the least holder of a content that has the same window."""
-    lengths = np.array([len(c) for c in contents], np.int64)
-    index = FMIndex(np.concatenate(contents), lengths)
-    streamed = np.concatenate([[-1], np.where(index.text == 0, -1, index.text)])  # as each content's symbols, in turn
-    counts = lengths - window + 1
-    firsts = np.repeat(index.starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    reached, low, high = index.matching(streamed, firsts + window + 1, window)
-    assert (reached == window).all()
-    by_place = np.repeat(holders, lengths + 1)
-    return np.split(index.minima(by_place, low, high), np.cumsum(counts)[:-1])
+    """For every window of every content, the least holder of a content that has the same window.
+
+    The half of smaller holders is indexed, and all contents are streamed through it. Where the matching statistic of a
+    window reaches the threshold, which is the window, its interval of suffixes gives the least holder. Windows that fail
+    it are in no content of that half; they are streamed through an index of the other half.
+    """
+    order = np.argsort(holders, kind="stable")
+    counts = np.array([len(c) - window + 1 for c in contents], np.int64)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    least = np.full(bounds[-1], -1, np.int64)
+    waiting = np.ones(len(least), bool)
+    half = max(1, len(order) // 2)
+    for indexed, asking in ((order[:half], order), (order[half:], order[half:])):
+        if not len(indexed) or not len(asking):
+            continue
+        index = FMIndex(np.concatenate([contents[i] for i in indexed]), np.array([len(contents[i]) for i in indexed], np.int64))
+        symbols, starts = _streamed(index, [contents[i] for i in asking])
+        ends = _windows_of(starts, counts[asking], window)
+        into = _windows_of(bounds[asking], counts[asking], 0)  # place of each window in ``least``
+        ends, into = ends[waiting[into]], into[waiting[into]]
+        reached, low, high = index.matching(symbols, ends, window)
+        found = reached >= window
+        by_place = np.repeat(holders[indexed], [len(contents[i]) + 1 for i in indexed])
+        least[into[found]] = index.minima(by_place, low[found], high[found])
+        waiting[into[found]] = False
+    return np.split(least, bounds[1:-1])
 
 
 def _search(contents: DataFrame, window: int) -> DataFrame:

@@ -74,3 +74,27 @@ def test_matching_statistics_against_brute_force():
             counts = [sum(p[i : i + m].tolist() == query[end - m : end].tolist() for p in parts for i in range(len(p) - m + 1)) for m in range(1, min(13, end) + 1)]
             assert n == sum(c > 0 for c in counts)
             assert not n or b - a == counts[n - 1]
+
+
+def test_the_threshold_decides_which_windows_the_smaller_ids_hold(monkeypatch):
+    """Contents that share words but not whole windows fail the threshold in the index of the smaller ids."""
+    rng = np.random.default_rng(5)
+    failed = []
+    matching = FMIndex.matching
+
+    def seen(self, symbols, ends, most):
+        reached, low, high = matching(self, symbols, ends, most)
+        failed.append(int((reached < most).sum()))
+        return reached, low, high
+
+    monkeypatch.setattr(FMIndex, "matching", seen)
+    for n in (1, 2, 3, 9, 30):
+        contents = [rng.integers(0, 3, rng.integers(5, 25)).astype(np.uint64) for _ in range(n)]
+        holders = rng.integers(0, max(2, n // 2), n).astype(np.int64)
+        window = 5
+        least = d.earliest(contents, holders, window)
+        for mine, got in zip(contents, least):
+            windows = [mine[i : i + window].tolist() for i in range(len(mine) - window + 1)]
+            want = [min(h for c, h in zip(contents, holders) if any(c[j : j + window].tolist() == w for j in range(len(c) - window + 1))) for w in windows]
+            assert got.tolist() == want
+    assert sum(failed) > 0
