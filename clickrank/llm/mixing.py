@@ -7,7 +7,7 @@ order of a hash of seed, id and text; the document at the cut is taken in part,
 floor of its target.
 
 Defined cases: null and empty texts have size 0 and are never taken; a null source is a source of its own, the last; a
-null id is hashed as null; repeated rows tie and are taken one after the other, each within its own size; an empty
+null id is left out of the hash; repeated rows tie and are taken one after the other, each within its own size; an empty
 table gives an empty result; other columns are ignored by ``mix`` and kept by ``mixed_documents``. No task holds a
 source, however large. The table of sources is small (one row a source) and meets in one task.
 """
@@ -51,7 +51,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
 
 
 def _draw(seed: int, doc_id: Column, text_hash: Column) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id, text_hash)
+    """MD5, so that any engine finds the same order; a null id or text is left out of what is hashed."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"), text_hash))
 
 
 def _word_count(text: Column) -> Column:
@@ -63,7 +64,7 @@ def _drawn(docs: DataFrame, weights: Sequence[float], epochs: int, seed: int, id
     epoch) and ``before`` (words of the source drawn before the row)."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source).alias("source"), _word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.col(text)).alias("text_hash"),
+        F.md5(F.col(text)).alias("text_hash"),
     ).withColumn("draw", _draw(seed, F.col("doc_id"), F.col("text_hash")))
     rows = stage(rows, "sizes")
     budget = F.floor("target")
@@ -106,7 +107,7 @@ def mixed_documents(
     place = F.struct("draw", "doc_id", "text_hash")
     beyond = F.min(F.when((F.col("size") > 0) & (F.col("before") + F.col("size") > F.col("rest")), place))
     cuts = stage(drawn.groupBy(F.col("source").alias("_source")).agg(beyond.alias("_cut"), F.first("whole").alias("_whole")), "cuts")
-    mine = F.xxhash64(docs["text"])
+    mine = F.md5(docs["text"])
     here = docs.withColumns({"_hash": mine, "_size": _word_count(docs["text"])})
     here = here.withColumn("_place", F.struct(
         _draw(seed, docs["doc_id"].cast("long"), F.col("_hash")).alias("draw"), docs["doc_id"].cast("long").alias("doc_id"),

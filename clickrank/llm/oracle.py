@@ -114,6 +114,34 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM f GROUP BY doc_id
 """
 
+OP8 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size, md5(text) AS text_hash,
+         md5(concat_ws(':', '42', doc_id, md5(text))) AS draw
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::DOUBLE AS most,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM d GROUP BY source
+), f AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s
+), t AS (
+  SELECT source, source_size,
+         least(most, coalesce(weight * (SELECT arg_min(level, most / weight) FROM f WHERE most / weight >= level), most)) AS target
+  FROM f
+), c AS (
+  SELECT doc_id, size, source_size, target, d.source, floor(target)::BIGINT AS budget,
+         CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS whole,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, text_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, source,
+       (whole * size + greatest(0, least(size, budget - whole * source_size - before)))::BIGINT AS taken
+FROM c
+"""
+
 
 def _integers(scale: int) -> str:
     """Rows whose vector is whole and finite, as whole numbers; products of them are exact as doubles."""
@@ -198,5 +226,6 @@ SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, posi
 
 STATEMENTS: dict[str, str] = {
     "op1_substring_dedup": OP1, "op2_exact_dedup": OP2, "op3_ngram_join": OP3, "op4_quality_rules": OP4, "op7_line_dedup": OP7,
+    "op8_mixing": OP8,
     "op11_exact_topk": OP11, "op12_filter_audit": OP12, "op13_hard_negatives": OP13,
 }
