@@ -4,7 +4,7 @@ The index is a Parquet table ``(digest, keep_id, n_chars, group_size)`` of ``buc
 A batch is reduced to one row per digest on the map side, loses the digests that the index has by a sort-merge
 anti-join (the index side is neither shuffled nor broadcast), and what is new is appended. Within a batch the row with
 the most code points stays, then the smallest id. An indexed digest keeps its row for ever, so a batch that is run
-again after a failure gets the same answer.
+again after a failure gets the same answer. ``group_size`` counts the rows of the batch that brought the digest.
 
 Defined cases: a null text counts as empty; rows with equal text, id and all are one group, of which exactly one id
 stays (repeated rows of one id stay or go together); a null id loses to any other and is a group's ``keep_id`` only
@@ -100,9 +100,9 @@ def drop_duplicates(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id",
     Only rows of an id that loses a row, or repeats one, are compared by digest; the others pass without being moved as
     long as these ids can be broadcast.
     """
-    decided = deduplicate(docs, index, id_col, text)
+    # Written, so that the join before it can split a large group of copies.
+    decided = stage(deduplicate(docs, index, id_col, text), "decided")
     if not repeats:
-        decided = stage(decided, "decided")
         again = decided.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
         again = stage(again.select("doc_id", "digest"), "again")
     gone = stage(decided.where(~F.col("kept")).select("doc_id", "digest").distinct(), "gone")
