@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from clickrank.session import stage
 
 SHARD_ROWS = 65_536  # rows of a shard at most, about; all of them are in the memory of one task
-PART_ROWS = 8_192    # queries that are searched in a shard at once, about
+PART_ROWS = 65_536   # queries that are searched in a shard at once, about; shards are copied once per part
 EXACT = 1 << 53      # whole numbers up to here are exact as doubles
 
 
