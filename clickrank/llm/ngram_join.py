@@ -39,7 +39,7 @@ from clickrank.session import stage
 
 LISTED = 1 << 18     # frequent shingles with a count of their own: 4 MB, broadcast
 PER_TASK = 1 << 14   # frequent shingles that a task reports
-STEP = 1 << 21       # shingles that a task counts at once: 16 MB
+STEP = 1 << 19       # shingles that a task counts at once: 4 MB
 RANGES = 64          # hash ranges of the suffix filter
 MOST = 127           # a range's size is cut here, to be one byte
 
