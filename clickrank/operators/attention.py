@@ -172,6 +172,7 @@ def personalized_attention_pool(
     empty: Sequence[float] | None = None,
     strict: bool = False,
     fits: bool | None = None,
+    user_fits: bool | None = None,
 ) -> DataFrame:
     """M3: as M2, with logits from the user's query; ``items`` has the keys, ``news_id`` and ``user_idx``.
 
@@ -182,7 +183,7 @@ def personalized_attention_pool(
         require_keys(items, vectors, "news_id")
     vec = empty_vector(weights.w2.shape[1], empty)
     queries = personal_queries(user_vectors, weights)
-    asked = lookup(items.withColumn("times", F.lit(1)), queries, "user_idx", size_of=user_vectors)
+    asked = lookup(items.withColumn("times", F.lit(1)), queries, "user_idx", size_of=user_vectors, fits=user_fits)
     joined = lookup(asked, vectors.select("news_id", "vec"), "news_id", fits=fits)
     filled = joined.withColumns({"vec": F.coalesce("vec", _literal(vec)), "query": F.coalesce("query", _literal([0.0] * len(vec)))})
     bound = max(_l1_bound(vectors), float(np.abs(vec).sum()))
@@ -247,6 +248,7 @@ def user_vector_personalized(
     mask_empty: bool = False,
     empty: Sequence[float] | None = None,
     fits: bool | None = None,
+    user_fits: bool | None = None,
 ) -> DataFrame:
     """M6: ``(user_idx, history_key, user_vec)``; ``behaviors`` carries ``user_idx``. Unknown users as in M3."""
     fill = {"vec": _literal(empty_vector(weights.w2.shape[1], empty))}
@@ -254,7 +256,7 @@ def user_vector_personalized(
     vectors = news_vectors.select("news_id", "vec")
     packed = packed_items(_item_vectors(items, vectors, fill, mask_empty, fits=fits), ["user_idx", "history_key"])
     queries = personal_queries(user_vectors, weights)
-    asked = lookup(packed, queries, "user_idx", size_of=user_vectors)
+    asked = lookup(packed, queries, "user_idx", size_of=user_vectors, fits=user_fits)
     asked = asked.withColumn("query", F.coalesce("query", _literal([0.0] * weights.w2.shape[1])))
     return pool_packed(asked, ["user_idx", "history_key"])
 

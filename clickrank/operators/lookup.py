@@ -1,6 +1,7 @@
 """Text and vectors for news ids.
 
-``keys`` name a row where impression ids start anew in each split of a table.
+``keys`` name a row where impression ids start anew in each split of a table. ``fits`` says whether the dimension can be
+broadcast, for callers who know; without it the dimension is measured against ``broadcast_bytes``, which takes a job.
 """
 
 from __future__ import annotations
@@ -38,34 +39,42 @@ def require_keys(fact: DataFrame, dim: DataFrame, key: str) -> None:
         raise KeyError(f"{key} not found: {unknown}")
 
 
-def with_text(rows: DataFrame, news_text: DataFrame, strict: bool, fits: bool | None = None) -> DataFrame:
+def with_text(
+    rows: DataFrame, news_text: DataFrame, strict: bool, fits: bool | None = None, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Text columns for every row's news id; unknown news have empty ones unless ``strict``."""
     texts = [c for c in news_text.columns if c != "news_id"]
     known = with_empty_news(news_text)
     if strict:
         require_keys(rows, known, "news_id")
-    joined = lookup(rows, known, "news_id", fits=fits)
+    joined = lookup(rows, known, "news_id", fits=fits, broadcast_bytes=broadcast_bytes)
     return joined.select(*rows.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in texts])
 
 
-def by_impression(rows: DataFrame, news_text: DataFrame, keys: Sequence[str] = IMPRESSION) -> tuple[DataFrame, bool]:
+def by_impression(
+    rows: DataFrame, news_text: DataFrame, keys: Sequence[str] = IMPRESSION, fits: bool | None = None, broadcast_bytes: int | None = None
+) -> tuple[DataFrame, bool]:
     """Rows placed by impression while they are still packed ids, if the text can be broadcast to them.
 
     The items unrolled from such a row stay where they are, so packing them again with their text needs no
     exchange of the text. Otherwise the text join moves the items anyway and the rows are left alone.
     """
-    fits = fits_broadcast(news_text)
+    fits = fits_broadcast(news_text, broadcast_bytes) if fits is None else fits
     return (rows.repartition(*keys) if fits else rows), fits
 
 
-def candidate_titles(candidates: DataFrame, news: DataFrame, strict: bool = False) -> DataFrame:
+def candidate_titles(
+    candidates: DataFrame, news: DataFrame, strict: bool = False, fits: bool | None = None, broadcast_bytes: int | None = None
+) -> DataFrame:
     """The title of every candidate; unknown news have an empty one unless ``strict``."""
-    return with_text(candidates, news.select("news_id", "title"), strict)
+    return with_text(candidates, news.select("news_id", "title"), strict, fits, broadcast_bytes)
 
 
-def candidate_texts(candidates: DataFrame, news_text: DataFrame, strict: bool = False) -> DataFrame:
+def candidate_texts(
+    candidates: DataFrame, news_text: DataFrame, strict: bool = False, fits: bool | None = None, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Title and category description of every candidate."""
-    return with_text(candidates, news_text.select("news_id", "title", "category_description"), strict)
+    return with_text(candidates, news_text.select("news_id", "title", "category_description"), strict, fits, broadcast_bytes)
 
 
 def history_slots(
@@ -76,9 +85,12 @@ def history_slots(
     return behaviors.select(*keys, *keep, F.posexplode(fitted).alias("slot", "news_id"))
 
 
-def _history(behaviors: DataFrame, text: DataFrame, history_size: int, strict: bool, keys: Sequence[str]) -> DataFrame:
+def _history(
+    behaviors: DataFrame, text: DataFrame, history_size: int, strict: bool, keys: Sequence[str],
+    fits: bool | None = None, broadcast_bytes: int | None = None,
+) -> DataFrame:
     texts = [c for c in text.columns if c != "news_id"]
-    placed, fits = by_impression(behaviors.select(*keys, "history"), text, keys)
+    placed, fits = by_impression(behaviors.select(*keys, "history"), text, keys, fits, broadcast_bytes)
     rows = with_text(history_slots(placed, history_size, keys=keys), text, strict, fits)
     # At most history_size rows per impression.
     return rows.groupBy(*keys).agg(
@@ -87,32 +99,39 @@ def _history(behaviors: DataFrame, text: DataFrame, history_size: int, strict: b
 
 
 def history_titles(
-    behaviors: DataFrame, news: DataFrame, history_size: int, strict: bool = False, keys: Sequence[str] = IMPRESSION
-) -> DataFrame:
+    behaviors: DataFrame, news: DataFrame, history_size: int, strict: bool = False, keys: Sequence[str] = IMPRESSION,
+    fits: bool | None = None, broadcast_bytes: int | None = None,
+) -> DataFrame:
     """Per impression the ``(slot, news_id, title)`` of the padded history, order kept."""
-    return _history(behaviors, news.select("news_id", "title"), history_size, strict, keys)
+    return _history(behaviors, news.select("news_id", "title"), history_size, strict, keys, fits, broadcast_bytes)
 
 
 def history_texts(
-    behaviors: DataFrame, news_text: DataFrame, history_size: int, strict: bool = False, keys: Sequence[str] = IMPRESSION
-) -> DataFrame:
+    behaviors: DataFrame, news_text: DataFrame, history_size: int, strict: bool = False, keys: Sequence[str] = IMPRESSION,
+    fits: bool | None = None, broadcast_bytes: int | None = None,
+) -> DataFrame:
     """As ``history_titles`` with the category description."""
-    return _history(behaviors, news_text.select("news_id", "title", "category_description"), history_size, strict, keys)
+    return _history(behaviors, news_text.select("news_id", "title", "category_description"), history_size, strict, keys, fits, broadcast_bytes)
 
 
-def attach_description(news: DataFrame, descriptions: DataFrame, strict: bool = False) -> DataFrame:
+def attach_description(
+    news: DataFrame, descriptions: DataFrame, strict: bool = False, fits: bool | None = None, broadcast_bytes: int | None = None
+) -> DataFrame:
     """``(news_id, title, category_description)``; the description is looked up by subcategory."""
     by_subcategory = descriptions.select(
         F.col("category").alias("subcategory"), F.col("description").alias("category_description")
     )
     if strict:
         require_keys(news, by_subcategory, "subcategory")
-    joined = lookup(news.select("news_id", "subcategory", "title"), by_subcategory, "subcategory")
+    joined = lookup(news.select("news_id", "subcategory", "title"), by_subcategory, "subcategory", fits=fits, broadcast_bytes=broadcast_bytes)
     return joined.select(
         "news_id", "title", F.coalesce("category_description", F.lit("")).alias("category_description")
     )
 
 
-def attach_user_vector(rows: DataFrame, user_vectors: DataFrame) -> DataFrame:
+def attach_user_vector(
+    rows: DataFrame, user_vectors: DataFrame, fits: bool | None = None, broadcast_bytes: int | None = None
+) -> DataFrame:
     """The vector of the row's user index as ``user_vec``; repeated for each of the user's rows."""
-    return lookup(rows, user_vectors.select("user_idx", F.col("vec").alias("user_vec")), "user_idx")
+    vectors = user_vectors.select("user_idx", F.col("vec").alias("user_vec"))
+    return lookup(rows, vectors, "user_idx", fits=fits, broadcast_bytes=broadcast_bytes)

@@ -76,7 +76,9 @@ def draw_sample(
     return shuffled.select("*", target_index(F.transform("sample", lambda x: x["clicked"])).alias("target"))
 
 
-def _attach_texts(rows: DataFrame, news_text: DataFrame, strict: bool, keys: Sequence[str]) -> DataFrame:
+def _attach_texts(
+    rows: DataFrame, news_text: DataFrame, strict: bool, keys: Sequence[str], fits: bool | None = None, broadcast_bytes: int | None = None
+) -> DataFrame:
     """Replaces ids by ``(news_id, text...)``: one join for candidates and history together."""
     carried = [c for c in rows.columns if c not in ("candidates", "history")]
     texts = [c for c in news_text.columns if c != "news_id"]
@@ -93,7 +95,7 @@ def _attach_texts(rows: DataFrame, news_text: DataFrame, strict: bool, keys: Seq
         tagged("candidates", 0, lambda x: x["news_id"], lambda x: x["clicked"]),
         tagged("history", 1, lambda x: x, lambda x: F.lit(None).cast("int")),
     )
-    placed, fits = by_impression(rows, news_text, keys)
+    placed, fits = by_impression(rows, news_text, keys, fits, broadcast_bytes)
     flat = with_text(placed.select(*carried, F.inline(items)), news_text, strict, fits)
     item = F.struct("part", "slot", "news_id", "clicked", *texts)
     # A group is the content of one behaviour row: its candidates and at most history_size slots.
@@ -120,6 +122,8 @@ def training_examples(
     epoch: int = 0,
     strict: bool = False,
     keys: Sequence[str] = IMPRESSION,
+    fits: bool | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """One row per impression with a click: shuffled candidates, padded history, user index, target.
 
@@ -133,7 +137,7 @@ def training_examples(
         *keys, "user_idx", "target", candidates.alias("candidates"),
         fit_history(F.col("history"), history_size).alias("history"),
     )
-    return rows if news_text is None else _attach_texts(rows, news_text, strict, keys)
+    return rows if news_text is None else _attach_texts(rows, news_text, strict, keys, fits, broadcast_bytes)
 
 
 def evaluation_examples(
@@ -144,6 +148,8 @@ def evaluation_examples(
     include_empty: bool = True,
     strict: bool = False,
     keys: Sequence[str] = IMPRESSION,
+    fits: bool | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """One row per impression with every candidate, the empty one at the end, and the label vector."""
     shown = append_empty_candidate(F.col("impressions")) if include_empty else F.col("impressions")
@@ -151,7 +157,7 @@ def evaluation_examples(
         *keys, "user_idx", shown.alias("candidates"), fit_history(F.col("history"), history_size).alias("history")
     )
     if news_text is not None:
-        rows = _attach_texts(rows, news_text, strict, keys)
+        rows = _attach_texts(rows, news_text, strict, keys, fits, broadcast_bytes)
     return rows.select("*", label_vector(F.col("candidates")).alias("labels"))
 
 

@@ -18,6 +18,7 @@ from clickrank.session import stage
 HOT_ROWS = 1_000_000          # a larger group is spread over several tasks
 MAX_HOT_GROUPS = 100_000      # bound on the list of hot groups, which is broadcast
 BROADCAST_BYTES = 64 << 20    # measured size up to which a dimension is broadcast
+FAR_LARGER = 8                # times that many bytes of files are not measured
 SALTS = 64                    # parts a hot join key is split into
 
 
@@ -134,8 +135,30 @@ def dense_index(df: DataFrame, order: Sequence[Column], name: str, start: int =
     return range_number(df, [], order, name, start)
 
 
+def scanned_bytes(df: DataFrame) -> int | None:
+    """Bytes of the files whose every row is in ``df``, from their listing, or None where rows are joined, filtered or made."""
+    total, left = 0, [df._jdf.queryExecution().optimizedPlan()]
+    while left:
+        node = left.pop()
+        if node.nodeName() in ("Project", "Union"):
+            children = node.children()
+            left += [children.apply(i) for i in range(children.size())]
+        elif node.nodeName() == "Range":
+            continue  # adds rows, and no bytes to a least size
+        elif node.nodeName().startswith(("LogicalRelation", "Relation")):
+            total += int(str(node.stats().sizeInBytes()))
+        else:
+            return None
+    return total
+
+
 def fits_broadcast(dim: DataFrame, limit: int | None = None) -> bool:
-    return measured_bytes(dim) <= (BROADCAST_BYTES if limit is None else limit)
+    """Is the measured size within the limit? Plain scans of far larger files are not measured, as they cannot be."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    files = scanned_bytes(dim)
+    if files is not None and files > FAR_LARGER * limit:
+        return False
+    return measured_bytes(dim) <= limit
 
 
 def _splits_skew(spark: SparkSession) -> bool:
