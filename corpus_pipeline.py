@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written and read again as the next one's
 documents. All but the last return the columns of documents.
+
+Defined cases: a null, empty or short text is rejected by the first stage, as it has fewer than 50 words. Rows with a
+null id are judged and mixed like others; the exact stage keeps one only where all of its group have none, and the near
+stage links them with nothing. Rows that repeat both id and text stay together in the exact and the near stage, and are
+mixed and packed as often. A null source is a source of its own. Ties go to the smaller id, in the exact stage after the
+longer text. An empty table gives an empty result. Columns of any name pass through the first four stages.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document id of each group of equal texts stays; rows that repeat this id and text stay with it."""
     index = exact_dedup.new_index(spark)
     kept = exact_dedup.drop_duplicates(docs, index)
     index.drop()
