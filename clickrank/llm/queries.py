@@ -48,9 +48,9 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Spans of secrets in all documents, with the frequent words of all of them as a dictionary."""
+    """Spans of secrets in all documents, with the words of all of them as a dictionary."""
     docs = read(spark, folder, "documents")
-    return secret_scan.scan(docs, words=secret_scan.corpus_words(docs))
+    return secret_scan.scan(docs, ranks=secret_scan.word_ranks(docs))
 
 
 def op6_token_output(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,10 +3,11 @@
 The patterns are searched on UTF-8 bytes (all their characters are ASCII) and reported in code points. A value after a
 credential word is segmented at minimum cost, by dynamic programming over its characters, into words of the same
 document, of the corpus or of a short list, dates, repeats, keyboard walks and brute-force spans; its guess cost in bits
-decides, also for digits only and letters of one case. ``corpus_words`` ranks the frequent words of all documents, outside
-of values in a credential context; a word costs as many guesses as its best rank says. A value of letters only may be prose, so frequent words of English are words of
-the list for it, and after ' is ' it is not reported if it is written as prose is: in small letters, with or without a
-capital first, or all in capitals after ' IS '.
+decides, also for digits only and letters of one case. ``word_ranks`` ranks every word that the documents hold twice or more,
+outside of values in a credential context; a word costs as many guesses as its best rank says. The ranked words stay a table:
+a document meets those of them that are part of its own values. A value of letters only may be prose, so frequent words of
+English are words of the list for it, and after ' is ' it is not reported if it is written as prose is: in small letters,
+with or without a capital first, or all in capitals after ' IS '.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned each; null ids are kept; an empty table
 gives an empty result; other columns are ignored; a long text is scanned whole, and a long value costs time in
@@ -20,21 +21,22 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickrank.operators.scale import dense_index, lookup
 from clickrank.session import stage
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_BITS = 36.0
-LISTED = 1 << 16     # words of the corpus that are ranked: some MB, sent to the tasks
-PER_TASK = 1 << 14   # frequent words that a task reports
-HELD = 1 << 20       # different words that a task counts before the rare ones go
+LISTED = 1 << 16     # words of a list for callers who send one to the tasks: some MB
+HELD = 1 << 19       # different words that a task counts before it passes its counts on
+BATCH = 1 << 15      # rows of a batch that a task passes on
 WIDEST = 512         # characters of a block and its repetition
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
@@ -100,10 +102,10 @@ _WORD = re.compile(r"[^\W\d_]{3,}")
 
 
 class Ranks(dict):
-    """Word to rank from 1, for words in order."""
+    """Word to rank from 1, for words in order or with their ranks."""
 
-    def __init__(self, words: Sequence[str] = ()):
-        super().__init__((w, i + 1) for i, w in enumerate(words))
+    def __init__(self, words: Sequence[str] | dict[str, int] = ()):
+        super().__init__(words if isinstance(words, dict) else ((w, i + 1) for i, w in enumerate(words)))
         self.longest = max(map(len, words), default=0)
 
 
@@ -166,14 +168,16 @@ def _is_prose(value: str, verb: bytes | None) -> bool:
     return verb is not None and plain.isalpha() and (plain[1:] == plain[1:].lower() or verb == b"IS" and plain.isupper())
 
 
-def corpus_words(docs: DataFrame, text: str = "text", listed: int = LISTED, per_task: int = PER_TASK) -> list[str]:
-    """The frequent words of all documents, most frequent first, ties in code point order; ``listed`` of them at most.
+def _batches(rows: Iterable[tuple], names: Sequence[str], types: Sequence[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    rows = iter(rows)
+    while some := list(islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*some), types)], names)
 
-    Every task counts the words of its rows, in lower case, and reports the most frequent; sums of tasks rank them.
-    Words in one task's rows only once, or too rare there to be reported, are left out: they are not cheap to guess.
-    """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_counts(docs: DataFrame, text: str = "text", held: int = HELD) -> DataFrame:
+    """``(word, n)``: every word in lower case and how often all documents have it, outside of values, if twice or more."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for one in batch.column("text").cast(pa.large_binary()):
@@ -181,13 +185,27 @@ def corpus_words(docs: DataFrame, text: str = "text", listed: int = LISTED, per_
                 if _is_keyed(raw.lower()):
                     raw = CONTEXT.sub(b" ", raw)
                 counts.update(_WORD.findall(raw.decode(errors="ignore").lower()))
-                if len(counts) > HELD:
-                    counts = Counter(dict(counts.most_common(HELD // 8)))
-        found = [(w, n) for w, n in counts.most_common(per_task) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["word", "n"])
+                if len(counts) > held:
+                    yield from counts.items()
+                    counts.clear()
+        yield from counts.items()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(counted(batches), ("word", "n"), (pa.string(), pa.int64()))
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long")
-    summed = stage(rows.groupBy("word").agg(F.sum("n").alias("n")), "corpus-words")
+    return rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def word_ranks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(word, rank)`` of all words of ``word_counts``, the most frequent first from 1, ties in code point order."""
+    return dense_index(word_counts(docs, text), [F.col("n").desc(), F.col("word").asc()], "rank").select("word", "rank")
+
+
+def corpus_words(docs: DataFrame, text: str = "text", listed: int = LISTED) -> list[str]:
+    """The first words of ``word_ranks`` as a list: at most ``listed`` of them, and none whose count is as high, within a power
+    of two, as that of a word left out."""
+    summed = stage(word_counts(docs, text), "corpus-words")
     # The least count of which there are few enough, from a histogram of powers of two.
     least, total = None, 0
     for power, n in sorted(summed.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).count().collect(), reverse=True):
@@ -199,6 +217,36 @@ def corpus_words(docs: DataFrame, text: str = "text", listed: int = LISTED, per_
     return [r["word"] for r in sorted(kept, key=lambda r: (-r["n"], r["word"]))]
 
 
+def _forms(value: str) -> set[str]:
+    return {value.lower(), value.lower().translate(_LEET)}
+
+
+def value_words(docs: DataFrame, ranks: DataFrame, min_bits: float = MIN_BITS, text: str = "text") -> DataFrame:
+    """``(key, known)``: per distinct text, by its SHA-256, the ranked words inside its values, with their ranks.
+
+    Parts of a value are looked up where they are letters only and as long as some ranked word.
+    """
+    lengths = sorted(r[0] for r in ranks.select(F.length("word")).distinct().collect())
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+        for batch in batches:
+            for one in batch.column("text").cast(pa.large_binary()):
+                raw = one.as_py() or b""
+                values = _values(raw, _base_spans(raw), min_bits)
+                if not values:
+                    continue
+                key = hashlib.sha256(raw).hexdigest()
+                for run in {run for _, v in values for form in _forms(v) for run in _WORD.findall(form)}:
+                    for width in lengths[: bisect_right(lengths, len(run))]:
+                        yield from ((key, run[a : a + width]) for a in range(len(run) - width + 1))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(parts(batches), ("key", "word"), (pa.string(), pa.string()))
+
+    found = docs.select(F.col(text).alias("text")).mapInArrow(find, "key string, word string").distinct()
+    return lookup(found, ranks, "word", "inner", derived=True).groupBy("key").agg(F.collect_list(F.struct("word", "rank")).alias("known"))
+
+
 def _ranked_words(text: str, values: list[str], corpus: Ranks) -> dict[str, int]:
     """Ranks of the words of the list and the document's own, the frequent ones first, and of the corpus; a value's own place
     does not count."""
@@ -213,7 +261,7 @@ def _ranked_words(text: str, values: list[str], corpus: Ranks) -> dict[str, int]
     ranks = {w: i + 1 for i, w in reversed(list(enumerate([*COMMON, *own])))}
     ranks = {w: min(rank, corpus.get(w, rank)) for w, rank in ranks.items()}
     # Of the corpus, only words within the values can be segments of them.
-    forms = {form for value in values for form in (value.lower(), value.lower().translate(_LEET))}
+    forms = {form for value in values for form in _forms(value)}
     inside = {v[a:b] for v in forms for a in range(len(v)) for b in range(a + 3, min(len(v), a + corpus.longest) + 1)}
     return {w: corpus[w] for w in inside if w in corpus} | ranks
 
@@ -230,18 +278,28 @@ def _meets(spans: list[tuple[int, int, str]]) -> Callable[[int, int], bool]:
     return meets
 
 
-def find_spans(raw: bytes, min_bits: float = MIN_BITS, widest: int = WIDEST, corpus: Ranks = Ranks()) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in bytes, by start, then kind as listed."""
-    folded, shortest = raw.lower(), least_length(min_bits)
-    keyed = _is_keyed(folded)
-    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= 12] if keyed else []
+def _base_spans(raw: bytes) -> list[tuple[int, int, str]]:
+    found = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(raw) if m.end(2) - m.start(2) >= 12] if _is_keyed(raw.lower()) else []
     found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(raw)]
-    found += [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
-    values = [(*m.span("value"), m["verb"]) for m in CONTEXT.finditer(raw) if len(m["value"]) >= shortest] if keyed else []
-    meets = _meets(found)
+    return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(raw)]
+
+
+def _values(raw: bytes, base: list[tuple[int, int, str]], min_bits: float) -> list[tuple[int, str]]:
+    """(start, value) of what stands in a credential context, meets no base span, is long enough and no prose."""
+    shortest = least_length(min_bits)
+    if not _is_keyed(raw.lower()):
+        return []
+    values = [(*m.span("value"), m["verb"]) for m in CONTEXT.finditer(raw) if len(m["value"]) >= shortest]
+    meets = _meets(base)
     values = [(a, b, verb) for a, b, verb in values if not meets(a, b)]
     values = [(a, raw[a:b].rstrip(b".:!?)").decode(), verb) for a, b, verb in values]
-    values = [(a, v) for a, v, verb in values if len(v) >= shortest and not _is_prose(v, verb)]
+    return [(a, v) for a, v, verb in values if len(v) >= shortest and not _is_prose(v, verb)]
+
+
+def find_spans(raw: bytes, min_bits: float = MIN_BITS, widest: int = WIDEST, corpus: Ranks = Ranks()) -> list[tuple[int, int, str]]:
+    """(start, end, kind) in bytes, by start, then kind as listed."""
+    found = _base_spans(raw)
+    values = _values(raw, found, min_bits)
     if values:
         words = _ranked_words(raw.decode(), [v for _, v in values], corpus)
         lettered = {w: min(len(PROSE), words.get(w, len(PROSE))) for w in PROSE}
@@ -258,11 +316,13 @@ def _code_points(raw: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[in
 
 
 def scan(
-    docs: DataFrame, min_bits: float = MIN_BITS, id_col: str = "doc_id", text: str = "text", widest: int = WIDEST, words: Sequence[str] = ()
-) -> DataFrame:
+    docs: DataFrame, min_bits: float = MIN_BITS, id_col: str = "doc_id", text: str = "text", widest: int = WIDEST, words: Sequence[str] = (),
+    ranks: DataFrame | None = None,
+) -> DataFrame:
     """Per row: doc_id, the numbers of base spans, their sha256, and all spans, as ``kind:start:end`` in code points.
 
-    ``words`` are dictionary words in the order of their frequency, as from ``corpus_words``.
+    ``words`` are dictionary words in the order of their frequency, as from ``corpus_words``; ``ranks`` is a table of any size
+    instead, as from ``word_ranks``, of which a row gets the words inside its own values.
     """
     shared = docs.sparkSession.sparkContext.broadcast(list(words))
 
@@ -271,9 +331,11 @@ def scan(
         for batch in batches:
             counts: dict[str, list[int]] = {k: [] for k in KINDS}
             base, every = [], []
-            for one in batch.column("text").cast(pa.large_binary()):
+            own = batch.column("known").to_pylist() if "known" in batch.schema.names else [None] * len(batch)
+            for one, known in zip(batch.column("text").cast(pa.large_binary()), own):
                 raw = one.as_py() or b""
-                spans = _code_points(raw, find_spans(raw, min_bits, widest, corpus))
+                ranked = Ranks({w["word"]: w["rank"] for w in known}) if known else corpus
+                spans = _code_points(raw, find_spans(raw, min_bits, widest, ranked))
                 for k in KINDS:
                     counts[k].append(sum(s[2] == k for s in spans))
                 written = [f"{k}:{a}:{b}" for a, b, k in spans]
@@ -283,4 +345,7 @@ def scan(
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if ranks is not None:
+        known = stage(value_words(docs, ranks, min_bits, text), "value-words")
+        rows = lookup(rows.withColumn("key", F.sha2("text", 256)), known, "key").select("doc_id", "text", "known")
     return rows.mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string")

@@ -183,3 +183,33 @@ def test_words_of_the_corpus_make_values_cheap(table, by_id):
     assert alone == {1: "guess:5:21", 2: "guess:5:16"} and known == {1: "", 2: "guess:5:16"}
     found = s.find_spans(b"pwd: z4mbur4kquindle", corpus=s.Ranks(["xx", "zamburak", "quindle"]))
     assert found == []
+
+
+def brute_ranks(texts):
+    from collections import Counter
+
+    counts = Counter(w for text in texts for w in re.findall(r"[^\W\d_]{3,}", (text or "").lower()))
+    return {w: i + 1 for i, (w, _) in enumerate(sorted(((w, n) for w, n in counts.items() if n > 1), key=lambda x: (-x[1], x[0])))}
+
+
+def test_every_word_of_the_corpus_is_ranked(table, by_id):
+    """More words than a task once reported (2^14), all equally frequent, in documents that lie in different tasks."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    made = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:40_000]
+    texts = [" ".join(made[i : i + 500]) for i in range(0, len(made), 500)]
+    texts = [*texts, *reversed(texts), None, "", f"{made[39_999]}zzqx once"]
+    docs = table(list(enumerate(texts))).repartition(4)
+    ranks = {r["word"]: r["rank"] for r in s.word_ranks(docs).collect()}
+    assert len(ranks) == 40_000 and ranks == brute_ranks(texts)
+    few = table(list(enumerate(texts[-10:])))
+    assert {(r["word"], r["n"]) for r in s.word_counts(few, held=3).collect()} == {(r["word"], r["n"]) for r in s.word_counts(few).collect()}
+
+
+def test_rare_words_of_the_corpus_make_values_cheap(table, by_id):
+    rows = [(i, f"alpha{chr(97 + i)} zamburak7 x") for i in range(20)] + [(30, "Florbish here"), (31, "florbish there")]
+    keyed = [(40, "pwd: Zamburak7florbish"), (41, "pwd: zx7!Qwv0pLk"), (41, "pwd: zx7!Qwv0pLk"), (None, "pwd: z4mbur4k7florbish"), (42, "pwd: Zamburak7gnorbish"), (43, None)]
+    docs = table(rows + keyed)
+    found = by_id(s.scan(docs, ranks=s.word_ranks(docs)))
+    assert [r["spans"] for r in found[40] + found[None]] == ["", ""] and [r["spans"] for r in found[42]] == ["guess:5:22"]
+    assert [r["spans"] for r in found[41]] == ["guess:5:16"] * 2 and len(found[43]) == 1
+    assert s.scan(table([]), ranks=s.word_ranks(table([]))).count() == 0
