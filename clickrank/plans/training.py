@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickrank.operators.attention import AdditiveWeights, attach_history_vector, user_vector_additive
+from clickrank.operators.attention import AdditiveWeights, attach_history_vector, history_key, user_vector_additive
+from clickrank.operators.bundles import LIST_BYTES, meet_users
 from clickrank.operators.ranker import LinearRanker, fit_epochs, with_products
 from clickrank.operators.sampling import draw_sample
 from clickrank.operators.scale import fits_broadcast
+from clickrank.operators.scoring import SCORE_DECIMALS, score_candidates
 from clickrank.session import stage
 
 
@@ -22,6 +24,22 @@ def sampled_candidates(
     )
 
 
+def sampled_values(
+    behaviors: DataFrame, news_vectors: DataFrame, user_vectors: DataFrame, history_size: int, npratio: int, seed: int, epoch: int = 0,
+    products: bool = False, fits: bool | None = None,
+) -> DataFrame:
+    """The drawn candidates with the ``score`` or the ``product`` of candidate and user vector (M8 and M10 of a sample)."""
+    if fits_broadcast(news_vectors.select("news_id", "vec"), LIST_BYTES) if fits is None else fits:
+        drawn = sampled_candidates(attach_history_vector(behaviors, user_vectors, history_size), npratio, seed, epoch, keep=("user_vec",))
+        return with_products(drawn, news_vectors, fits=True) if products else score_candidates(drawn, news_vectors, fits=True)
+    sample = F.transform("sample", lambda x: F.struct(x["news_id"].alias("news_id"), x["clicked"].alias("clicked")))
+    drawn = draw_sample(behaviors, npratio, seed, epoch).withColumns({"history_key": history_key(F.col("history"), history_size), "sample": sample})
+    met = meet_users(drawn, F.transform("sample", lambda x: x["news_id"]), news_vectors, user_vectors, ("impression_id", "sample"), products, fits=fits)
+    item = F.get("sample", F.col("place"))
+    value = F.col("value").alias("product") if products else F.round("value", SCORE_DECIMALS).alias("score")
+    return met.select("impression_id", F.col("place").alias("slot"), item["news_id"].alias("news_id"), item["clicked"].alias("clicked"), value)
+
+
 def train_ranker(
     behaviors: DataFrame,
     news_vectors: DataFrame,
@@ -33,17 +51,18 @@ def train_ranker(
     seed: int = 42,
     mask_empty: bool = False,
     start: LinearRanker | None = None,
+    user_vectors: DataFrame | None = None,
 ) -> LinearRanker:
     """The ranker learns from pooled history times candidate, element by element.
 
     Every epoch draws its own sample (X4 of that epoch) and starts from the weights of the one before. User vectors are
-    computed once and written.
+    computed once and written, unless the caller has them (``user_vectors``).
     """
-    fits = fits_broadcast(news_vectors)
-    vectors = user_vector_additive(behaviors, news_vectors, pooling, history_size, mask_empty, fits=fits)
-    with_user = stage(attach_history_vector(behaviors, vectors, history_size).select("impression_id", "impressions", "user_vec"), "with-user")
+    fits = fits_broadcast(news_vectors, LIST_BYTES)
+    if user_vectors is None:
+        user_vectors = stage(user_vector_additive(behaviors, news_vectors, pooling, history_size, mask_empty, fits=fits), "user-vectors")
 
     def drawn(epoch: int) -> DataFrame:
-        return with_products(sampled_candidates(with_user, npratio, seed, epoch, keep=("user_vec",)), news_vectors, fits=fits)
+        return sampled_values(behaviors, news_vectors, user_vectors, history_size, npratio, seed, epoch, products=True, fits=fits)
 
     return fit_epochs(drawn, len(pooling.w), epochs, weight_decay, start)[0]
