@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_bundles import ADDITIVE, DIM, PERSONAL, SCHEMA, SELF, SIZE, log, rounded, users, vectors  # noqa: F401
 
+from clickrank.operators import attention as att
 from clickrank.operators import bundles
 from clickrank.operators.pages import Additive, Personalized, SelfAttention, stored_pages
 from clickrank.operators.ranker import LinearRanker
@@ -86,3 +87,25 @@ def test_empty_log(spark, vectors):  # noqa: F811
     way = Additive(ADDITIVE, SIZE)
     assert score_behaviors(none, vectors, way, SIZE, fits=False).count() == 0
     assert score_behaviors(stored_pages(none, vectors, way, fits=False), vectors, None, SIZE).count() == 0
+
+
+def test_items_are_pooled_by_bundles(spark, vectors, users, monkeypatch):  # noqa: F811
+    """M3: groups over several bundles and users, rows and users that repeat, unknown and null ids, users and keys (null keys only
+    while no maximum is joined)."""
+    rows = [(g if g % 7 else None, f"k{g % 2}", [0, 1, 2, 77, None][g % 5], f"N{(g * 3 + i) % 33}") for g in range(30) for i in range(6)]
+    items = spark.createDataFrame([*rows, rows[4], (3, "k1", 1, None), (3, "k1", 2, "gone")], "g int, k string, user_idx long, news_id string")
+    twice = users.union(users.where("user_idx = 1"))
+    met = []
+
+    def counted(pairs, *args, _plain=bundles.lookup, **kwargs):
+        met.append(pairs.columns)
+        return _plain(pairs, *args, **kwargs)
+
+    for log_items, news in ((items, vectors), (items.where("g is not null"), vectors.withColumn("vec", F.transform("vec", lambda x: (x * 200).cast("float"))))):
+        pooled = lambda fits: rounded(att.personalized_attention_pool(log_items, ["g", "k"], news, twice, PERSONAL, empty=[0.1] * DIM, fits=fits))  # noqa: B023, E731
+        want = pooled(True)
+        with monkeypatch.context() as patched:
+            patched.setattr(bundles, "lookup", counted)
+            patched.setattr(att, "ITEM_BITS", 3)
+            assert pooled(False) == want
+    assert sorted(met) == [["_of", "news_id"]] * 2 + [["_of", "user_idx"]] * 2
